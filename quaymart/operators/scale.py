@@ -69,12 +69,12 @@ def _orderable(df: DataFrame, column: str) -> tuple[Column, bool]:
     if kind == "date":
         return F.unix_date(F.col(column)).cast("double"), True
     if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double"), False
+        return F.unix_micros(F.col(column).cast("timestamp")).cast("double"), True
     if kind == "string":
         # The first six bytes keep the byte order of the text.
-        head = F.rpad(F.hex(F.encode(F.substring(column, 1, 6), "utf-8")), 12, "0").substr(1, 12)
+        head = F.substring(F.rpad(F.hex(F.encode(F.substring(column, 1, 6), "utf-8")), 12, "0"), 1, 12)
         return F.conv(head, 16, 10).cast("double"), False
-    return F.col(column).cast("double"), kind in ("int", "smallint", "tinyint", "double", "float", "boolean")
+    return F.col(column).cast("double"), not kind.startswith("decimal")
 
 
 def with_ordered_buckets(df: DataFrame, order: Sequence[str], buckets: int = 256) -> tuple[DataFrame, list[str]]:
@@ -102,10 +102,12 @@ def with_ordered_buckets(df: DataFrame, order: Sequence[str], buckets: int = 256
                                   handleInvalid="keep")
             out = splitter.transform(out)
             # Buckets are [cut, next cut); the cut itself is split off in front of its bucket.
-            at_cut = F.col(image).isin(cuts) if len(cuts) <= 16 else F.array_contains(F.array(*map(F.lit, cuts)), F.col(image))
+            edge = F.get(F.array(*map(F.lit, cuts)), F.col(f"_raw{i}").cast("int") - 1)
+            at_cut = F.coalesce(edge == F.col(image), F.lit(False))
             place = F.col(f"_raw{i}") * 2 + F.when(at_cut, 0).otherwise(1)
             place = F.when(F.col(image).isNull(), F.lit(-1.0)).otherwise(place)
-            single = at_cut & F.lit(exact)
+            # Beyond 2^53 different whole numbers may share an image.
+            single = at_cut & F.lit(exact) & (F.abs(F.col(image)) < 2.0 ** 53)
             out = out.withColumn(name, F.when(alone, place).otherwise(F.lit(0.0)))
             out = out.withColumn(f"_s{i}", alone & (F.coalesce(single, F.lit(False)) | F.col(image).isNull()))
         else:
