@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import clip
 from .columns import is_numeric
-from .scale import exact_quantiles, one_row, with_scalars
+from .scale import column_quantiles, exact_quantiles, one_row, with_scalars
 
 
 def column_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -61,11 +62,16 @@ def imputation(df: DataFrame, protected: Sequence[str] = (), drop_above: float =
     dropped = [c for c in columns if stats[c]["n_rows"] and stats[c]["nulls"] / stats[c]["n_rows"] > drop_above]
     open_columns = [c for c in columns if c not in dropped and stats[c]["nulls"] > 0]
     fills: dict[str, object] = dict(modes(df, [c for c in open_columns if not stats[c]["is_numeric"]]))
-    for c in (c for c in open_columns if stats[c]["is_numeric"]):
+    def is_skewed(c):
         s = stats[c]
         varied = s["min_value"] is not None and s["min_value"] != s["max_value"]
-        skewed = not always_mean and varied and s["skew"] is not None and abs(s["skew"]) > skew_limit
-        value = exact_quantiles(df, c, {"m": 0.5}).first()["m"] if skewed else s["mean_value"]
+        return not always_mean and varied and s["skew"] is not None and abs(s["skew"]) > skew_limit
+
+    numeric = [c for c in open_columns if stats[c]["is_numeric"]]
+    skewed = [c for c in numeric if is_skewed(c)]
+    medians = {r["column"]: r["m"] for r in column_quantiles(df, skewed, {"m": 0.5}).collect()} if skewed else {}
+    for c in numeric:
+        value = medians.get(c, stats[c]["mean_value"])
         if value is not None:
             fills[c] = float(value)
     return Imputation(dropped, fills)
@@ -109,11 +115,8 @@ def without_outliers(df: DataFrame, columns: Sequence[str], mode: str = "single_
     """Drop rows outside the bounds, then clamp the rest to the 1st and 99th percentile.
 
     ``sequential`` goes column by column, each on the rows the earlier ones left, as the rule is
-    defined; every step is a pass, and long plans are cut by a reliable checkpoint. ``single_pass``
-    takes all bounds from the input and filters once. ``report`` receives one entry per column.
+    defined. ``single_pass`` takes all bounds from the input and filters once. ``report`` receives one entry per column.
     """
-    from ..session import durable
-
     if mode == "single_pass":
         bounds = outlier_bounds(df, columns).where("method <> 'skipped'").collect()
         keep = F.lit(True)
@@ -125,7 +128,7 @@ def without_outliers(df: DataFrame, columns: Sequence[str], mode: str = "single_
             report.extend({**b.asDict(), "flagged": counts[b["column"]]} for b in bounds)
         return winsorised(df.where(keep), [b["column"] for b in bounds])
     out = df
-    for i, c in enumerate(columns):
+    for c in columns:
         bound = outlier_bounds(out, [c]).first()
         if bound["method"] == "skipped":
             continue
@@ -133,23 +136,22 @@ def without_outliers(df: DataFrame, columns: Sequence[str], mode: str = "single_
         if report is not None:
             counts = out.agg(F.count("*").alias("n"), F.count_if(~inside).alias("flagged")).first()
             report.append({**bound.asDict(), "flagged": counts["flagged"], "rows_before": counts["n"]})
-        out = winsorised(out.where(inside), [c])
-        if i % 4 == 3:
-            out = durable(out)
+        out = out.where(inside)
+        # Two numbers come back, so the plan stays a chain of filters and projections over the input.
+        marks = exact_quantiles(out, c, {"low": 0.01, "high": 0.99}).first()
+        out = out.withColumn(c, clip(F.col(c).cast("double"), marks["low"], marks["high"]))
     return out
 
 
 def winsorised(df: DataFrame, columns: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Clamp columns to two of their own quantiles; no row is lost."""
-    out = df
-    for c in columns:
-        marks = exact_quantiles(df, c, {"_p_lo": low, "_p_hi": high})
-        kind = dict(df.dtypes)[c]
-        rows = out.join(F.broadcast(marks))
-        value = F.col(c).cast("double")
-        clamped = F.when(value < F.col("_p_lo"), F.col("_p_lo")).when(value > F.col("_p_hi"), F.col("_p_hi")).otherwise(value)
-        out = rows.withColumn(c, clamped if kind != "float" else clamped.cast("float")).drop("_p_lo", "_p_hi")
-    return out
+    if not columns:
+        return df
+    marks = column_quantiles(df, columns, {"lo": low, "hi": high})
+    row = marks.agg(*[F.max(F.when(F.col("column") == c, F.col(side))).alias(f"_{side}_{c}") for c in columns for side in ("lo", "hi")])
+    rows = with_scalars(df, row)
+    inside = {c: F.greatest(F.least(F.col(c).cast("double"), F.col(f"_hi_{c}")), F.col(f"_lo_{c}")) for c in columns}
+    return rows.select(*[F.when(F.col(c).isNotNull(), inside[c]).alias(c) if c in inside else F.col(c) for c in df.columns])
 
 
 def min_max_scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -186,5 +188,6 @@ def z_restored(df: DataFrame, column: str, mean: float, std: float) -> DataFrame
 def filled_with_medians(df: DataFrame, columns: Sequence[str], medians: Mapping[str, float] | None = None) -> tuple[DataFrame, dict[str, float]]:
     """Fill numbers by medians taken from this frame or handed in from the training part."""
     if medians is None:
-        medians = {c: (exact_quantiles(df, c, {"m": 0.5}).first() or {"m": 0.0})["m"] or 0.0 for c in columns}
+        found = {r["column"]: r["m"] for r in column_quantiles(df, columns, {"m": 0.5}).collect()}
+        medians = {c: found.get(c) or 0.0 for c in columns}
     return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in columns}), dict(medians)

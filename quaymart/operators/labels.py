@@ -12,7 +12,7 @@ from ..functions.scalars import (UNFILLED_PROMO_TEXTS, UNSET_CAMPAIGN_TEXTS, cal
                                  looks_discounted)
 from ..session import shared
 from .columns import aliased, is_numeric, ordinal_codes
-from .scale import attach_group_stats, exact_quantiles, with_scalars
+from .scale import attach_group_stats, exact_quantiles, quantile_row, with_scalars
 
 
 def scaled_by_max(df: DataFrame, expressions: Mapping[str, Column]) -> DataFrame:
@@ -281,12 +281,11 @@ def buyer_churn_proxy(df: DataFrame) -> DataFrame:
     rows = df.withColumns(n)
     buyers = rows.where("is_buyer = 1")
     cuts = buyers.agg(((F.max("_rec") > F.min("_rec")) & (F.max("_rec") > 0)).alias("_usable"))
-    for c in n:
-        cuts = with_scalars(cuts, exact_quantiles(buyers, c, {f"{c}_cut": 0.5}))
+    cuts = with_scalars(cuts, quantile_row(buyers, list(n), 0.5, "_cut"))
     rows = with_scalars(rows, cuts)
-    weak = (F.col("_freq") <= F.col("_freq_cut")) | (F.col("_bd") > F.col("_bd_cut"))
-    usual = (F.col("_rec") > F.col("_rec_cut")) & weak
-    other = (F.col("_bd") > F.col("_bd_cut")) & (F.col("_eng") < F.col("_eng_cut"))
+    weak = (F.col("_freq") <= F.col("_cut_freq")) | (F.col("_bd") > F.col("_cut_bd"))
+    usual = (F.col("_rec") > F.col("_cut_rec")) & weak
+    other = (F.col("_bd") > F.col("_cut_bd")) & (F.col("_eng") < F.col("_cut_eng"))
     hit = (F.col("is_buyer") == 1) & F.when(F.col("_usable"), usual).otherwise(other)
     return rows.withColumn("churn_proxy", F.coalesce(hit, F.lit(False)).cast("int")).select(*df.columns, "churn_proxy")
 

@@ -158,20 +158,42 @@ def bounded_quantiles(df: DataFrame, column: str, probs: Mapping[str, float], by
                                      for name, p in probs.items()])
 
 
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, float], accuracy: int = 10000) -> DataFrame:
+    """Interpolated quantiles of several columns in the passes of one: ``column`` and one field per quantile."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    return exact_quantiles(df.select(F.inline(cells)), "value", probs, ["column"], accuracy, few_groups=True)
+
+
+def quantile_row(df: DataFrame, columns: Sequence[str], prob: float, prefix: str) -> DataFrame:
+    """One quantile of several columns as a one-row frame with fields ``prefix + column``."""
+    long = column_quantiles(df, columns, {"_q": prob})
+    return long.agg(*[F.max(F.when(F.col("column") == c, F.col("_q"))).alias(f"{prefix}{c}") for c in columns])
+
+
 def exact_quantiles(df: DataFrame, column: str, probs: Mapping[str, float], by: Sequence[str] = (),
-                    accuracy: int = 10000) -> DataFrame:
+                    accuracy: int = 10000, few_groups: bool = False) -> DataFrame:
     """Interpolated quantiles of any numeric column, exact at any size.
 
     A sketch proposes two cut points around each quantile, exact counts below the cut points show
     where the wanted ranks lie, and only values between two cut points are ordered.
+    ``few_groups`` promises a number of groups that the schema fixes, such as one per column; their
+    cut points are then broadcast.
     """
     by = list(by)
+
+    def attach(rows, stats):
+        if not by:
+            return with_scalars(rows, stats.drop("_w"))
+        if few_groups:
+            return rows.join(F.broadcast(stats.drop("_w")), by)
+        return attach_group_stats(rows, stats, by, "_w")
+
     value = F.col(column).cast("double")
     base = df.select(*by, value.alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
     margin = 5.0 / accuracy
     wanted = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-margin, margin)})
     cuts = base.groupBy(*by).agg(F.percentile_approx("_v", wanted, accuracy).alias("_c"), F.count("*").alias("_w"))
-    placed = attach_group_stats(base, cuts, by, "_w") if by else with_scalars(base, cuts.select("_c"))
+    placed = attach(base, cuts)
     size = len(wanted)
     counted = placed.groupBy(*by).agg(
         F.count("*").alias("_n"), F.first("_c").alias("_c"),
@@ -192,7 +214,7 @@ def exact_quantiles(df: DataFrame, column: str, probs: Mapping[str, float], by:
             F.lit(i).alias("i"), low_cut.alias("lo"), high_cut.alias("hi"), below.alias("below"),
             first.alias("first"), last.alias("last"), (spot - first).alias("part")))
     spots = targets.select(*by, F.col("_n").alias("_w"), F.array(*[f"_t{i}" for i in range(len(probs))]).alias("_ts"))
-    found = attach_group_stats(base, spots, by, "_w") if by else with_scalars(base, spots.select("_ts"))
+    found = attach(base, spots)
     hits = found.select(*by, "_v", F.explode(F.filter(
         "_ts", lambda t: (F.col("_v") > t["lo"]) & (F.col("_v") <= t["hi"]))).alias("_t"))
     runs = hits.groupBy(*by, "_t", "_v").agg(F.count("*").alias("_k"))
