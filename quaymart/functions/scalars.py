@@ -40,6 +40,11 @@ def guarded_ratio(numerator, denominator, default=0.0) -> Column:
                       F.lit(float(default)))
 
 
+def cents(money) -> Column:
+    """Money as whole cents, so that sums are exact and cheap."""
+    return F.round(_c(money).cast("double") * 100).cast("bigint")
+
+
 def batch_ceiling(quantity, batch: int) -> Column:
     """Smallest multiple of ``batch`` that is not below the quantity."""
     return (F.ceil(_c(quantity) / F.lit(float(batch))) * F.lit(batch)).cast("bigint")

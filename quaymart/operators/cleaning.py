@@ -117,6 +117,8 @@ def without_outliers(df: DataFrame, columns: Sequence[str], mode: str = "single_
     ``sequential`` goes column by column, each on the rows the earlier ones left, as the rule is
     defined. ``single_pass`` takes all bounds from the input and filters once. ``report`` receives one entry per column.
     """
+    if not columns:
+        return df
     if mode == "single_pass":
         bounds = outlier_bounds(df, columns).where("method <> 'skipped'").collect()
         keep = F.lit(True)

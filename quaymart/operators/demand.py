@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import clip
+from ..functions.scalars import cents, clip
 
 
 def daily_demand(sales: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
@@ -47,53 +47,67 @@ def trend_momentum(daily: DataFrame, keys: Sequence[str] = ("sku_id",), low: flo
         F.round(clip(ratio, low, high), 4).alias("trend_adjustment"))
 
 
+def _counted(frame: DataFrame) -> DataFrame:
+    """Sales lines in the columns of a supply cube, each line counted once; a cube stays as it is."""
+    if "orders" in frame.columns:
+        return frame
+    money = lambda c: cents(c).cast("decimal(18,0)") if c in frame.columns else F.lit(None).cast("decimal(18,0)")
+    units = F.col("units_sold").cast("bigint")
+    return frame.withColumns({
+        "orders": F.lit(1).cast("bigint"), "stock_outs": F.col("stock_out_flag").cast("bigint"), "units": units,
+        "value": (cents("list_price") * units).cast("decimal(18,0)"), "price_sum": money("list_price"), "cost_sum": money("purchase_cost"),
+        "margin_sum": F.col("margin_pct") if "margin_pct" in frame.columns else F.lit(None).cast("double")})
+
+
 def supply_cube(sales: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
-    """Sales lines counted per item, supplier and lead time in one pass.
+    """Sales lines counted per item, supplier and lead time in one pass; money in cents.
 
-    Lead times are whole days, so the cube is small whatever the number of lines, and a very
-    frequent item or supplier is already folded before the first shuffle. The statistics below
-    all read it.
+    Lead times are whole days, so the cube does not grow with the number of lines of a pair, and a
+    very frequent item or supplier is folded before the first shuffle. The statistics below read
+    either a cube or plain lines; a cube pays when several of them are wanted.
     """
-    units = F.col("units_sold").cast("decimal(18,0)")
-    have = set(sales.columns)
-    extra = []
-    if "purchase_cost" in have:
-        extra.append(F.sum(F.col("purchase_cost").cast("decimal(18,2)")).alias("cost_sum"))
-    if "margin_pct" in have:
-        extra.append(F.sum("margin_pct").alias("margin_sum"))
-    return sales.groupBy(*keys, "supplier_id", "lead_time_days").agg(
-        F.count("*").alias("orders"), F.sum("stock_out_flag").alias("stock_outs"), F.sum("units_sold").alias("units"),
-        F.sum(F.col("list_price").cast("decimal(18,2)") * units).alias("value"),
-        F.sum(F.col("list_price").cast("decimal(18,2)")).alias("price_sum"), *extra)
-
-
-def lead_time_statistics(cube: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
-    """Median, mean and 90th percentile of lead time per item."""
-    days = cube.where("lead_time_days IS NOT NULL").groupBy(*keys, "lead_time_days").agg(F.sum("orders").alias("_n"))
-    value = F.col("lead_time_days").cast("double")
-    return days.groupBy(*keys).agg(
-        F.percentile(value, F.lit(0.5), F.col("_n")).alias("lead_time_median"),
-        (F.sum(F.col("lead_time_days") * F.col("_n")) / F.sum("_n")).alias("lead_time_mean"),
-        F.percentile(value, F.lit(0.9), F.col("_n")).alias("lead_time_p90"))
-
-
-def weighted_list_price(cube: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
+    sums = ("orders", "stock_outs", "units", "value", "price_sum", "cost_sum", "margin_sum")
+    return _counted(sales).groupBy(*keys, "supplier_id", "lead_time_days").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def _lead_time_columns() -> list[Column]:
+    days = F.col("lead_time_days").cast("double")
+    dated = F.when(days.isNotNull(), F.col("orders"))
+    return [F.percentile(days, F.lit(0.5), F.col("orders")).alias("lead_time_median"),
+            (F.sum(F.col("lead_time_days") * F.col("orders")) / F.sum(dated)).alias("lead_time_mean"),
+            F.percentile(days, F.lit(0.9), F.col("orders")).alias("lead_time_p90")]
+
+
+def _list_price_column() -> Column:
+    ratio = lambda a, b: F.round(F.try_divide(F.sum(a).cast("decimal(30,0)"), F.sum(b).cast("decimal(18,0)")), 0)
+    price = F.when(F.sum("units") > 0, ratio("value", "units")).otherwise(ratio("price_sum", "orders"))
+    return (price.cast("bigint") / 100).alias("weightage_list_price")
+
+
+def lead_time_statistics(lines: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
+    """Median, mean and 90th percentile of lead time per item. The state of a quantile is one count
+    per distinct number of days."""
+    return _counted(lines).groupBy(*keys).agg(*_lead_time_columns())
+
+
+def weighted_list_price(lines: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
     """Volume-weighted price; the plain mean where nothing was sold."""
-    agg = cube.groupBy(*keys).agg(F.sum("value").alias("_value"), F.sum("units").alias("_units"),
-                                  F.sum("price_sum").alias("_prices"), F.sum("orders").alias("_n"))
-    ratio = lambda a, b: F.try_divide(F.col(a).cast("decimal(28,4)"), F.col(b).cast("decimal(18,0)"))
-    return agg.select(*keys, F.round(F.when(F.col("_units") > 0, ratio("_value", "_units")).otherwise(ratio("_prices", "_n")), 2)
-                      .cast("double").alias("weightage_list_price"))
+    return _counted(lines).groupBy(*keys).agg(_list_price_column())
+
 
+def item_statistics(lines: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
+    """Lead time and price of each item from one aggregate."""
+    return _counted(lines).groupBy(*keys).agg(*_lead_time_columns(), _list_price_column())
 
-def vendor_profile(cube: DataFrame, keys: Sequence[str] = ("sku_id",), min_orders: int = 10) -> DataFrame:
+
+def vendor_profile(lines: DataFrame, keys: Sequence[str] = ("sku_id",), min_orders: int = 10) -> DataFrame:
     """Per item and supplier: supplier count of the item and estimated defect rate.
 
     A supplier with fewer than ``min_orders`` orders takes the item's stock-out rate and a
     volatility of 1.
     """
     days = F.col("lead_time_days").cast("bigint")
-    pair = cube.groupBy(*keys, "supplier_id").agg(
+    pair = _counted(lines).groupBy(*keys, "supplier_id").agg(
         F.sum("orders").alias("orders"), F.sum("stock_outs").alias("_out"),
         F.sum(F.when(days.isNotNull(), F.col("orders"))).alias("_n"),
         F.sum(days * F.col("orders")).alias("_s"), F.sum(days * days * F.col("orders")).alias("_ss"))
@@ -109,13 +123,13 @@ def vendor_profile(cube: DataFrame, keys: Sequence[str] = ("sku_id",), min_order
     return both.select(*keys, "supplier_id", "orders", "vendor_count", F.round(defect, 4).alias("vendor_defect_rate"))
 
 
-def vendor_facts(cube: DataFrame, keys: Sequence[str] = ("sku_id",), candidates: DataFrame | None = None,
+def vendor_facts(lines: DataFrame, keys: Sequence[str] = ("sku_id",), candidates: DataFrame | None = None,
                  limit: int = 5) -> DataFrame:
     """Mean cost, lead time, reliability and margin of the candidate suppliers of each item.
 
     Without ``candidates`` these are the ``limit`` suppliers with most orders.
     """
-    pair = cube.groupBy(*keys, "supplier_id").agg(
+    pair = _counted(lines).groupBy(*keys, "supplier_id").agg(
         F.sum("orders").alias("orders"), F.sum("stock_outs").alias("_out"), F.sum("cost_sum").alias("_cost"),
         F.sum("margin_sum").alias("_margin"), F.sum(F.col("lead_time_days") * F.col("orders")).alias("_lead"),
         F.sum(F.when(F.col("lead_time_days").isNotNull(), F.col("orders"))).alias("_dated"))
@@ -125,13 +139,20 @@ def vendor_facts(cube: DataFrame, keys: Sequence[str] = ("sku_id",), candidates:
     else:
         pair = pair.join(candidates.select(*keys, "supplier_id"), [*keys, "supplier_id"], "left_semi")
     n = F.col("orders")
-    price = F.col("_cost").cast("decimal(26,2)") / n.cast("decimal(12,0)")
+    price = F.round(F.col("_cost").cast("decimal(28,0)") / n.cast("decimal(18,0)"), 0).cast("bigint") / 100
     return pair.select(
-        *keys, "supplier_id", F.round(price, 2).cast("double").alias("predicted_price"),
+        *keys, "supplier_id", price.alias("predicted_price"),
         F.round(F.col("_lead") / F.col("_dated"), 2).alias("lead_time"),
         F.round(F.lit(1.0) - F.col("_out") / n, 4).alias("reliability"), F.round(F.col("_margin") / n, 4).alias("margin_pct"))
 
 
+def main_vendor(profile: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
+    """Supplier with most orders of each item, with the item's supplier count and its defect rate."""
+    best = F.min_by(F.struct("supplier_id", "vendor_count", "vendor_defect_rate"), F.struct(-F.col("orders"), F.col("supplier_id")))
+    picked = profile.groupBy(*keys).agg(best.alias("_best"))
+    return picked.select(*keys, F.col("_best.supplier_id").alias("main_supplier_id"), "_best.vendor_count", "_best.vendor_defect_rate")
+
+
 def top_suppliers(sales: DataFrame, keys: Sequence[str] = ("sku_id",), limit: int = 5) -> DataFrame:
     """Suppliers with most orders per item; ties go to the smaller id.
 

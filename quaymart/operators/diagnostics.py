@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import cents
 from .scale import exact_quantiles, one_row, with_scalars
 
 
@@ -143,11 +144,11 @@ def supplier_concentration(sales: DataFrame, keys: Sequence[str] = ()) -> DataFr
 
 def cost_and_margin(sales: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Cost range and spread, gross margin with its reading, and revenue."""
-    cents = lambda c: F.sum((F.col(c).cast("decimal(18,2)") * 100).cast("bigint"))
     agg = sales.groupBy(*keys).agg(
         F.min("purchase_cost").cast("double").alias("min_cost"), F.max("purchase_cost").cast("double").alias("max_cost"),
-        (cents("purchase_cost") / F.count("*") / 100).alias("mean_cost"), (cents("list_price") / F.count("*") / 100).alias("_price"),
-        F.sum(F.col("list_price").cast("decimal(18,2)") * F.col("units_sold").cast("decimal(18,0)")).cast("double").alias("_revenue"))
+        (F.sum(cents("purchase_cost")) / F.count("*") / 100).alias("mean_cost"),
+        (F.sum(cents("list_price")) / F.count("*") / 100).alias("_price"),
+        (F.sum((cents("list_price") * F.col("units_sold")).cast("decimal(18,0)")).cast("double") / 100).alias("_revenue"))
     margin = F.when(F.col("_price") > 0, (F.col("_price") - F.col("mean_cost")) / F.col("_price") * 100)
     rating = (F.when(margin > 40, "Robust Enterprise Margin Cushion").when(margin > 20, "Healthy Operational Margin")
               .otherwise("Compressed Margin"))

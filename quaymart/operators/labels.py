@@ -12,7 +12,7 @@ from ..functions.scalars import (UNFILLED_PROMO_TEXTS, UNSET_CAMPAIGN_TEXTS, cal
                                  looks_discounted)
 from ..session import shared
 from .columns import aliased, is_numeric, ordinal_codes
-from .scale import attach_group_stats, exact_quantiles, quantile_row, with_scalars
+from .scale import attach_group_stats, bounded_quantiles, exact_quantiles, quantile_row, with_scalars
 
 
 def scaled_by_max(df: DataFrame, expressions: Mapping[str, Column]) -> DataFrame:
@@ -252,7 +252,7 @@ def retention_signals(df: DataFrame, day: str = "day") -> DataFrame:
     last = df.agg(F.max(day).alias("_last"))
     gap = F.datediff("_last", F.col(day))
     rows = with_scalars(df, last).withColumn("_gap", gap.cast("double"))
-    middle = exact_quantiles(rows, "_gap", {"_mid": 0.5})
+    middle = bounded_quantiles(rows, "_gap", {"_mid": 0.5})
     rows = with_scalars(rows, middle)
     campaign = find_column(df.columns, "sessionCampaign", "firstUserCampaign")
     clicks = (_number(df, "promo_clicks") > 0).cast("double") if "promo_clicks" in df.columns else F.lit(0.0)
@@ -266,7 +266,7 @@ def retention_signals(df: DataFrame, day: str = "day") -> DataFrame:
 
 def quiet_traffic(df: DataFrame) -> DataFrame:
     """Low activity: last activity longer ago than for half of the rows."""
-    middle = exact_quantiles(df, "recency_days", {"activity_label_threshold_days": 0.5})
+    middle = bounded_quantiles(df, "recency_days", {"activity_label_threshold_days": 0.5})
     return with_scalars(df, middle).withColumn(
         "is_low_activity", (F.coalesce("recency_days", F.lit(0.0)) > F.col("activity_label_threshold_days")).cast("int")) \
         .withColumn("target_source", F.lit("derived_recency"))

@@ -42,22 +42,25 @@ def chosen_lead_time(manual=None, predicted=None, median=None) -> tuple[Column,
 def inventory_plan(days: DataFrame, facts: DataFrame, keys: Sequence[str] = ("sku_id",), z: float = 1.65) -> DataFrame:
     """Lead-time demand, safety stock, reorder point and replenishment per item.
 
-    ``facts`` has one row per item: ``lead_time``, ``rmse_error``, ``vendor_defect_rate``,
-    ``weightage_list_price``, ``stock_on_hand`` and optionally ``in_transit`` and ``backorders``.
-    A missing fact gives a NULL result for what depends on it.
+    ``facts`` has one row per item: ``lead_time``, ``vendor_defect_rate``, ``weightage_list_price``,
+    ``stock_on_hand`` and optionally ``in_transit`` and ``backorders``; the forecast error is its
+    ``rmse_error`` or, without one, the fit error that came with the forecast. A missing fact gives
+    a NULL result for what depends on it.
     """
     for name in ("in_transit", "backorders"):
         if name not in facts.columns:
             facts = facts.withColumn(name, F.lit(0).cast("bigint"))
-    lead_days = F.ceil(F.greatest(F.col("lead_time"), F.lit(1.0))).cast("int")
-    facts = facts.withColumn("lead_days", lead_days)
-    within = days.join(facts.select(*keys, "lead_days"), list(keys), "left")
-    totals = within.groupBy(*keys).agg(
+    carried = "rmse_error" not in facts.columns
+    error = [F.round(F.max("fit_rmse"), 2).alias("rmse_error")] if carried else []
+    # The days of one item are at most the planning horizon, so they fit in an array.
+    totals = days.groupBy(*keys).agg(
         F.sum("adjusted_plan").cast("bigint").alias("global_plan_demand_quantity"),
         F.round(F.avg("adjusted_plan"), 2).alias("mean_daily_forecast_demand"),
-        F.sum(F.when(F.col("day_no") <= F.col("lead_days"), F.col("adjusted_plan")).otherwise(0))
-         .cast("bigint").alias("lead_time_demand"))
+        F.collect_list(F.struct("day_no", "adjusted_plan")).alias("_days"), *error)
     plan = totals.join(facts, list(keys), "left")
+    plan = plan.withColumn("lead_days", F.ceil(F.greatest(F.col("lead_time"), F.lit(1.0))).cast("int"))
+    soon = F.filter("_days", lambda d: d["day_no"] <= F.col("lead_days"))
+    plan = plan.withColumn("lead_time_demand", F.aggregate(soon, F.lit(0).cast("bigint"), lambda acc, d: acc + d["adjusted_plan"]))
     safety = F.ceil(F.lit(z) * F.col("rmse_error") * F.sqrt(F.col("lead_days").cast("double"))).cast("bigint")
     plan = plan.withColumn("safety_stock", safety)
     plan = plan.withColumn("reorder_point", F.col("lead_time_demand") + F.col("safety_stock"))

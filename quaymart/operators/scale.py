@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 HEAVY_SHARE = 0.001
 SPREAD = 1024
+SMALL_GROUP = 20_000
 
 
 def one_row(df: DataFrame, *aggregates: Column) -> DataFrame:
@@ -172,10 +173,12 @@ def quantile_row(df: DataFrame, columns: Sequence[str], prob: float, prefix: str
 
 def exact_quantiles(df: DataFrame, column: str, probs: Mapping[str, float], by: Sequence[str] = (),
                     accuracy: int = 10000, few_groups: bool = False) -> DataFrame:
-    """Interpolated quantiles of any numeric column, exact at any size.
+    """Interpolated quantiles of any numeric column, exact at any size, in two passes.
 
-    A sketch proposes two cut points around each quantile, exact counts below the cut points show
-    where the wanted ranks lie, and only values between two cut points are ordered.
+    A sketch brackets each quantile; the second pass counts equal values inside the brackets and
+    folds everything between them, so about a thousandth of the values is ever ordered. Groups of
+    up to ``SMALL_GROUP`` rows are counted whole. A rank outside its bracket would break the
+    sketch's error bound and raises an error instead of giving a near value.
     ``few_groups`` promises a number of groups that the schema fixes, such as one per column; their
     cut points are then broadcast.
     """
@@ -191,37 +194,30 @@ def exact_quantiles(df: DataFrame, column: str, probs: Mapping[str, float], by:
     value = F.col(column).cast("double")
     base = df.select(*by, value.alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
     margin = 5.0 / accuracy
-    wanted = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-margin, margin)})
-    cuts = base.groupBy(*by).agg(F.percentile_approx("_v", wanted, accuracy).alias("_c"), F.count("*").alias("_w"))
+    sides = {name: (max(0.0, p - margin), min(1.0, p + margin)) for name, p in probs.items()}
+    wanted = sorted({x for pair in sides.values() for x in pair})
+    cuts = base.groupBy(*by).agg(F.percentile_approx("_v", wanted, accuracy).alias("_c"), F.count("*").alias("_w"), F.count("*").alias("_n"))
     placed = attach(base, cuts)
-    size = len(wanted)
-    counted = placed.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.first("_c").alias("_c"),
-        *[F.count_if(F.col("_v") <= F.col("_c")[j]).alias(f"_le{j}") for j in range(size)])
-    inf = F.lit(float("inf"))
-    targets = counted
-    for i, p in enumerate(probs.values()):
-        spot = (F.col("_n") - 1) * F.lit(float(p))
-        first, last = F.floor(spot), F.ceil(spot)
-        low_cut, below, high_cut = -inf, F.lit(0).cast("bigint"), inf
-        for j in range(size):
-            skip = F.col(f"_le{j}") <= first
-            low_cut = F.when(skip, F.col("_c")[j]).otherwise(low_cut)
-            below = F.when(skip, F.col(f"_le{j}")).otherwise(below)
-        for j in reversed(range(size)):
-            high_cut = F.when(F.col(f"_le{j}") > last, F.col("_c")[j]).otherwise(high_cut)
-        targets = targets.withColumn(f"_t{i}", F.struct(
-            F.lit(i).alias("i"), low_cut.alias("lo"), high_cut.alias("hi"), below.alias("below"),
-            first.alias("first"), last.alias("last"), (spot - first).alias("part")))
-    spots = targets.select(*by, F.col("_n").alias("_w"), F.array(*[f"_t{i}" for i in range(len(probs))]).alias("_ts"))
-    found = attach(base, spots)
-    hits = found.select(*by, "_v", F.explode(F.filter(
-        "_ts", lambda t: (F.col("_v") > t["lo"]) & (F.col("_v") <= t["hi"]))).alias("_t"))
-    runs = hits.groupBy(*by, "_t", "_v").agg(F.count("*").alias("_k"))
-    upto = F.col("_t.below") + F.sum("_k").over(Window.partitionBy(*by, "_t").orderBy("_v"))
-    ends = runs.select(*by, "_t", "_v", upto.alias("_upto")).groupBy(*by, "_t").agg(
-        F.min(F.when(F.col("_upto") > F.col("_t.first"), F.col("_v"))).alias("_a"),
-        F.min(F.when(F.col("_upto") > F.col("_t.last"), F.col("_v"))).alias("_b"))
-    solved = ends.withColumn("_q", F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t.part"))
-    picks = [F.max(F.when(F.col("_t.i") == i, F.col("_q"))).alias(name) for i, name in enumerate(probs)]
-    return solved.groupBy(*by).agg(*picks)
+    v, cut = F.col("_v"), lambda x: F.col("_c")[wanted.index(x)]
+    zone: Column = F.lit(0)
+    for x in wanted:
+        zone = zone + (v > cut(x)).cast("int")
+    kept = F.col("_n") <= SMALL_GROUP
+    for low, high in sides.values():
+        kept = kept | ((v >= cut(low)) & (v <= cut(high)))
+    folded = placed.groupBy(*by, zone.alias("_z"), F.when(kept, v).alias("_v")).agg(F.count("*").alias("_k"))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    # Folded values of a zone lie below a kept one, which can only be the zone's upper cut.
+    run = folded.select(*by, "_v", F.sum("_k").over(group.orderBy("_z", F.asc_nulls_first("_v"))).alias("_upto"), F.sum("_k").over(group).alias("_n"))
+    spot = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    entry = F.struct("_upto", "_v")
+    found = run.groupBy(*by).agg(F.max("_n").alias("_n"), *[
+        F.min(F.when(F.col("_upto") > side(spot[name]), entry)).alias(f"_{tag}_{name}") for name in probs for tag, side in (("a", F.floor), ("b", F.ceil))])
+    lost = F.raise_error(F.lit("quantile rank outside its bracket")).cast("double")
+
+    def solved(name):
+        low, high = F.col(f"_a_{name}")["_v"], F.col(f"_b_{name}")["_v"]
+        between = low + (high - low) * (spot[name] - F.floor(spot[name]))
+        return F.when(F.col("_n").isNull(), F.lit(None).cast("double")).when(low.isNull() | high.isNull(), lost).otherwise(between).alias(name)
+
+    return found.select(*by, *[solved(name) for name in probs])

@@ -4,27 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import demand, forecasting, planning, procurement
 from ..session import shared
 
 
-def plan_facts(cube: DataFrame, inventory: DataFrame, forecast: DataFrame, keys: Sequence[str] = ("sku_id",),
+def plan_facts(cube: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("sku_id",),
                predicted_lead_time: DataFrame | None = None) -> DataFrame:
     """Per-item inputs of the plan. The defect rate is that of the item's main supplier.
 
     ``predicted_lead_time`` (keys, ``predicted_lead_time``) takes precedence over the median.
     """
     keys = list(keys)
-    vendors = demand.vendor_profile(cube, keys)
-    main = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("orders"), "supplier_id"))
-    defect = vendors.withColumn("_i", main).where("_i = 1").select(
-        *keys, "vendor_count", "vendor_defect_rate", F.col("supplier_id").alias("main_supplier_id"))
-    rmse = forecast.groupBy(*keys).agg(F.round(F.max("fit_rmse"), 2).alias("rmse_error"))
-    facts = (demand.lead_time_statistics(cube, keys).join(demand.weighted_list_price(cube, keys), keys)
-             .join(defect, keys).join(rmse, keys).join(inventory, keys, "left"))
+    vendor = demand.main_vendor(demand.vendor_profile(cube, keys), keys)
+    facts = demand.item_statistics(cube, keys).join(vendor, keys).join(inventory, keys, "left")
     predicted = None
     if predicted_lead_time is not None:
         facts = facts.join(predicted_lead_time.select(*keys, "predicted_lead_time"), keys, "left")
@@ -38,10 +33,10 @@ def demand_plan(sales: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("
     """Plan per item. Raw lines are read twice: for the daily panel and for the supply cube."""
     daily = shared(demand.daily_demand(sales, keys))
     cube = shared(demand.supply_cube(sales, keys)) if cube is None else cube
-    forecast = shared(forecasting.seasonal_baseline(daily, horizon, keys))
-    ahead = forecast.where(F.col("y").isNull()).withColumn("yhat", F.round("yhat", 2))
+    ahead = forecasting.seasonal_baseline(daily, horizon, keys).where(F.col("y").isNull())
+    ahead = ahead.withColumn("yhat", F.round("yhat", 2))
     days = planning.consensus_days(ahead, demand.trend_momentum(daily, keys), keys, horizon)
-    facts = plan_facts(cube, inventory, forecast, keys, predicted_lead_time)
+    facts = plan_facts(cube, inventory, keys, predicted_lead_time)
     return shared(planning.inventory_plan(days, facts, keys))
 
 

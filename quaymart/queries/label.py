@@ -296,7 +296,9 @@ def b11(spark, sf):
 @query("b12_contract_results")
 def b12(spark, sf):
     """Rows, features and label rate of every contract on the web rows."""
-    web, out = bindings.web_rows(spark, sf), None
+    from ..session import shared
+
+    web, out = shared(bindings.web_rows(spark, sf)), None
     for number in (1, 3, 5, 7, 8):
         result = contracts.build(number, web)
         row = result.frame.agg(F.lit(number).alias("contract"), F.lit(len(result.features)).alias("n_features"), F.count("*").alias("n_rows"), F.avg(result.contract.target).alias("target_mean"))

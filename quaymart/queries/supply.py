@@ -66,10 +66,6 @@ trend AS (SELECT sku_id, active_days, CASE WHEN active_days >= 90 THEN m30 ELSE
           FROM tr0)"""
 
 
-def _cube(spark, sf):
-    return demand.supply_cube(bindings.brand_sales(spark, sf))
-
-
 def _brand_daily(spark, sf):
     return demand.daily_demand(bindings.brand_sales(spark, sf))
 
@@ -94,7 +90,7 @@ def w1_short(spark, sf):
 SELECT sku_id, median(lead_time_days) AS lead_time_median, round(avg(lead_time_days), 6) AS lead_time_mean,
        quantile_cont(CAST(lead_time_days AS DOUBLE), 0.9) AS lead_time_p90 FROM sales GROUP BY 1"""))
 def a5(spark, sf):
-    s = demand.lead_time_statistics(demand.supply_cube(bindings.sales(spark, sf, orders=True)))
+    s = demand.lead_time_statistics(bindings.sales(spark, sf, orders=True))
     return s.withColumn("lead_time_mean", r("lead_time_mean", 6))
 
 
@@ -106,7 +102,7 @@ price AS (SELECT sku_id, ((2 * sum(list_cents * units_sold) + sum(units_sold)) /
 @query("a6_weighted_list_price", with_ctes(SALES, PRICE, """
 SELECT sku_id, CAST(p AS DOUBLE) AS weightage_list_price FROM price"""))
 def a6(spark, sf):
-    return demand.weighted_list_price(demand.supply_cube(bindings.sales(spark, sf, orders=True)))
+    return demand.weighted_list_price(bindings.sales(spark, sf))
 
 
 BRAND = "bs AS (SELECT * REPLACE (brand AS sku_id) FROM (SELECT * EXCLUDE (sku_id), CAST(NULL AS VARCHAR) AS sku_id FROM sales))"
@@ -124,7 +120,7 @@ vendor AS (SELECT sku_id, supplier_id, orders, vendor_count,
 @query("a7_vendor_profile", with_ctes(SALES, BRAND, VENDOR, """
 SELECT sku_id, supplier_id, orders, vendor_count, vendor_defect_rate FROM vendor"""))
 def a7(spark, sf):
-    return demand.vendor_profile(_cube(spark, sf))
+    return demand.vendor_profile(bindings.brand_sales(spark, sf))
 
 
 TOP5 = """
@@ -203,7 +199,7 @@ SELECT sku_id, CAST(CASE WHEN sku_id = 'Brand#1' THEN 9.5 ELSE ceil(greatest(med
        CAST(ceil(greatest(CASE WHEN sku_id = 'Brand#1' THEN 9.5 ELSE ceil(greatest(med, 1)) END, 1)) AS INTEGER) AS lead_time_days
 FROM lt"""))
 def k2(spark, sf):
-    stats = demand.lead_time_statistics(_cube(spark, sf))
+    stats = demand.lead_time_statistics(bindings.brand_sales(spark, sf))
     value, source = planning.chosen_lead_time(F.when(F.col("sku_id") == "Brand#1", F.lit(9.5)), None, F.col("lead_time_median"))
     return stats.select("sku_id", value.alias("lead_time"), source.alias("lead_time_source"),
                         F.ceil(F.greatest(value, F.lit(1.0))).cast("int").alias("lead_time_days"))
@@ -300,13 +296,13 @@ SELECT sku_id, supplier_id, pp AS predicted_price, lt AS lead_time, rel AS relia
        round(sl, 6) AS score_lead_time, round(sr, 6) AS score_reliability, round(sg, 6) AS score_margin, score AS composite_score,
        CAST(rank AS INTEGER) AS rank FROM ranked"""))
 def k7(spark, sf):
-    s = procurement.vendor_scores(demand.vendor_facts(_cube(spark, sf)))
+    s = procurement.vendor_scores(demand.vendor_facts(bindings.brand_sales(spark, sf)))
     return s.withColumns({c: r(c, 6) for c in s.columns if c.startswith("score_")})
 
 
 @query("w9_rank_by_score", with_ctes(SALES, BRAND, TOP5, SCORES, "SELECT sku_id, supplier_id, CAST(rank AS INTEGER) AS rank FROM ranked"))
 def w9(spark, sf):
-    return procurement.vendor_scores(demand.vendor_facts(_cube(spark, sf))).select("sku_id", "supplier_id", "rank")
+    return procurement.vendor_scores(demand.vendor_facts(bindings.brand_sales(spark, sf))).select("sku_id", "supplier_id", "rank")
 
 
 SPLIT = """

@@ -11,22 +11,21 @@ from pyspark.sql import functions as F
 
 from .readers import table
 
-MONEY = "decimal(18,2)"
-
-
 def sales(spark: SparkSession, folder: str, *, orders: bool = False, parts: bool = False,
           stores: bool = False) -> DataFrame:
     """Sales lines. ``orders`` adds channel and lead time, ``parts`` brand and stock, ``stores`` the store."""
     line = table(spark, folder, "lineitem")
-    price = F.round(F.col("l_extendedprice").cast(MONEY) / F.col("l_quantity").cast("decimal(10,0)"), 2).cast(MONEY)
-    cost = F.round(F.col("list_price") * (F.lit("0.90").cast("decimal(4,2)") - F.col("l_tax").cast("decimal(4,2)")), 2)
-    cents = lambda c: (F.col(c) * 100).cast("bigint")
+    # Half-up rounding in whole cents: (2a + b) div 2b.
+    price = F.expr("(2 * cast(round(l_extendedprice * 100) AS bigint) + units_sold) div (2 * units_sold)")
+    cost = F.expr("(2 * _price * (90 - cast(round(l_tax * 100) AS bigint)) + 100) div 200")
     out = (line
            .withColumn("date", F.to_date("l_shipdate"))
-           .withColumn("list_price", price)
-           .withColumn("purchase_cost", cost.cast(MONEY))
-           .withColumn("margin_pct", (cents("list_price") - cents("purchase_cost")) / cents("list_price"))
            .withColumn("units_sold", F.col("l_quantity").cast("bigint"))
+           .withColumn("_price", price)
+           .withColumn("_cost", cost)
+           .withColumn("list_price", F.col("_price") / 100)
+           .withColumn("purchase_cost", F.col("_cost") / 100)
+           .withColumn("margin_pct", (F.col("_price") - F.col("_cost")) / F.col("_price"))
            .withColumn("promo_flag", (F.col("l_discount") >= 0.05).cast("int"))
            .withColumn("stock_out_flag", (F.col("l_returnflag") == "R").cast("int"))
            .withColumnsRenamed({"l_partkey": "sku_id", "l_suppkey": "supplier_id", "l_discount": "discount_pct"}))

@@ -10,7 +10,6 @@ from pyspark.sql.types import StructType
 
 # Fixed values, in the order in which they are tried.
 DELIMITERS = (",", ";", "\t", "|")
-REPLACEMENT = "\ufffd"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,7 +32,7 @@ def header_delimiter(line: str) -> str:
 def text_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 (with or without a byte order mark) unless some line is not valid UTF-8; then the
     Windows code page if the file has bytes only that one prints, else Latin-1."""
-    invalid = spark.read.text(path).where(F.contains("value", F.lit(REPLACEMENT))).limit(1)
+    invalid = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
     if invalid.isEmpty():
         return "utf-8"
     # Bytes 0x80-0x9f are control codes in Latin-1 and letters or quotes in the code page.
