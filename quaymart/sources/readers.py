@@ -29,16 +29,20 @@ def header_delimiter(line: str) -> str:
     return max(DELIMITERS[1:], key=line.count) if any(d in line for d in DELIMITERS[1:]) else ","
 
 
+# The Windows code page differs from Latin-1 in these characters only; five of its codes are unused.
+_CODE_PAGE = {chr(i): bytes([i]).decode("cp1252", "ignore") for i in range(0x80, 0xA0)}
+_UNUSED = [c for c, shown in _CODE_PAGE.items() if not shown]
+
+
 def text_encoding(spark: SparkSession, path: str) -> str:
     """UTF-8 (with or without a byte order mark) unless some line is not valid UTF-8; then the
-    Windows code page if the file has bytes only that one prints, else Latin-1."""
-    invalid = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1)
-    if invalid.isEmpty():
+    Windows code page, or Latin-1 if the file has bytes that the code page does not know."""
+    if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty():
         return "utf-8"
-    # Bytes 0x80-0x9f are control codes in Latin-1 and letters or quotes in the code page.
-    latin = spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0001").schema("value string").csv(path)
-    controls = latin.where(F.col("value").rlike("[\\x80\\x82-\\x8c\\x8e\\x91-\\x9c\\x9e\\x9f]")).limit(1)
-    return "iso-8859-1" if controls.isEmpty() else "windows-1252"
+    # One column per line: the separator is a byte that text files do not hold.
+    lines = spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0001").schema("value string").csv(path)
+    odd = lines.where(F.col("value").rlike("[" + "".join(_UNUSED) + "]")).limit(1)
+    return "cp1252" if odd.isEmpty() else "latin1"
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
@@ -51,10 +55,16 @@ def csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
     if delimiter is None:
         head = spark.read.text(path).first()
         delimiter = header_delimiter(head[0] if head else "")
-    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", encoding)
+    charset = {"cp1252": "ISO-8859-1", "latin1": "ISO-8859-1"}.get(encoding, encoding)
+    reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", charset)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.csv(path)
+    rows = reader.csv(path)
+    if encoding != "cp1252":
+        return rows
+    shown = {c: s for c, s in _CODE_PAGE.items() if s}
+    fix = lambda c: F.translate(F.col(f"`{c}`"), "".join(shown), "".join(shown.values()))
+    return rows.select(*[(fix(c) if t == "string" else F.col(f"`{c}`")).alias(c.translate(str.maketrans(shown))) for c, t in rows.dtypes])
 
 
 def json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
