@@ -17,6 +17,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared
+
 HEAVY_SHARE = 0.001
 SPREAD = 1024
 SMALL_GROUP = 20_000
@@ -28,7 +30,10 @@ def one_row(df: DataFrame, *aggregates: Column) -> DataFrame:
 
 
 def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
-    """Attach a one-row frame to every row; the broadcast side is one row by construction."""
+    """Attach a one-row frame, always a global aggregate, to every row by broadcasting that row.
+
+    Nested scalar subqueries say the same but multiply the plan each time a projection is merged.
+    """
     return df.join(F.broadcast(scalars))
 
 
@@ -44,6 +49,8 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], wei
     added = [c for c in stats.columns if c not in keys and c != weight]
     if weight is None:
         return df.join(stats.select(*keys, *added), keys, "left")
+    # Read three times below: one folded row per key, never the rows themselves.
+    stats = shared(stats)
     total = stats.agg(F.sum(weight).alias("_total"))
     marked = with_scalars(stats, total).withColumn("_heavy", F.col(weight) >= F.col("_total") * F.lit(heavy_share))
     heavy = marked.where("_heavy").select(*[F.col(k).alias(f"_h_{k}") for k in keys],

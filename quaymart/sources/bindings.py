@@ -63,9 +63,11 @@ def brand_inventory(spark: SparkSession, folder: str) -> DataFrame:
         F.floor(F.avg(F.col("p_size") * 10)).cast("bigint").alias("stock_on_hand"))
 
 
-def item_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """Stock position per event item: the parts folded onto the 100 item codes of the events."""
+def item_inventory(spark: SparkSession, folder: str, brand: str | None = None) -> DataFrame:
+    """Stock position per event item, of all brands or of one: parts folded onto the item codes of the events."""
     part = table(spark, folder, "part").withColumn("item_id", F.pmod("p_partkey", F.lit(100)).cast("string"))
+    if brand is not None:
+        part = part.where(F.col("p_brand") == brand)
     return part.groupBy("item_id").agg(
         F.sum(F.col("p_size") * 10).cast("bigint").alias("stock_units"),
         F.round(F.avg("p_retailprice"), 4).alias("unit_cost"),
