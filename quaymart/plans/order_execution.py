@@ -29,9 +29,13 @@ def plan_facts(cube: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("sk
 
 
 def demand_plan(sales: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("sku_id",), horizon: int = 30,
-                predicted_lead_time: DataFrame | None = None, cube: DataFrame | None = None) -> DataFrame:
-    """Plan per item. Raw lines are read twice: for the daily panel and for the supply cube."""
-    daily = shared(demand.daily_demand(sales, keys))
+                predicted_lead_time: DataFrame | None = None, cube: DataFrame | None = None,
+                lines: DataFrame | None = None) -> DataFrame:
+    """Plan per item. Raw lines are read twice: for the daily panel and for the supply cube.
+
+    ``lines`` may give the sales lines without lead times where those cost a join.
+    """
+    daily = shared(demand.daily_demand(sales if lines is None else lines, keys))
     cube = shared(demand.supply_cube(sales, keys)) if cube is None else cube
     ahead = forecasting.seasonal_baseline(daily, horizon, keys).where(F.col("y").isNull())
     ahead = ahead.withColumn("yhat", F.round("yhat", 2))
@@ -55,11 +59,12 @@ def procure(cube: DataFrame, plan: DataFrame, as_of: str, keys: Sequence[str] =
             "orders": procurement.purchase_orders(allocations, audit, orders, as_of, keys)}
 
 
-def order_execution(sales: DataFrame, inventory: DataFrame, as_of: str, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
+def order_execution(sales: DataFrame, inventory: DataFrame, as_of: str, keys: Sequence[str] = ("sku_id",),
+                    lines: DataFrame | None = None) -> DataFrame:
     """One row per item: plan, gate and resulting order."""
     keys = list(keys)
     cube = shared(demand.supply_cube(sales, keys))
-    plan = demand_plan(sales, inventory, keys, cube=cube)
+    plan = demand_plan(sales, inventory, keys, cube=cube, lines=lines)
     bought = procure(cube, plan, as_of, keys)
     order = bought["orders"].select(*keys, "po_id", "order_quantity", "total_order_cost", "po_status", "expected_delivery_date")
     gate = bought["gate"].select(*keys, "order_validation_flag")

@@ -484,7 +484,7 @@ c AS (SELECT 'promo_flag' AS feature, corr(promo_flag, y) AS c FROM d UNION ALL
 def x16(spark, sf):
     from ..operators.demand import daily_demand
 
-    daily = daily_demand(bindings.brand_sales(spark, sf))
+    daily = daily_demand(bindings.brand_lines(spark, sf))
     out = selection.target_correlations(daily, "y", ["promo_flag", "discount_pct", "stock_out_flag"])
     return out.where(F.abs("corr") >= 0.05).select("feature", r("corr", 6).alias("corr"))
 

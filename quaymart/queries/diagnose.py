@@ -18,7 +18,7 @@ def _items(spark, sf):
 
 
 def _brands(spark, sf):
-    return demand.daily_demand(bindings.sales(spark, sf, parts=True).drop("sku_id").withColumnRenamed("brand", "sku_id"))
+    return demand.daily_demand(bindings.brand_lines(spark, sf))
 
 
 @query("a8_supplier_concentration", with_ctes(SALES, """

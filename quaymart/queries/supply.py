@@ -4,12 +4,16 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import batch_ceiling
 from ..operators import demand, forecasting, planning, procurement
-from ..sources import bindings, readers
+from ..sources import bindings, readers, writers
 from .registry import query
 from .sqlbase import SALES, with_ctes
 
 r = F.round
 
+BRAND_DAILY = """
+daily AS (SELECT brand AS sku_id, date AS ds, sum(units_sold) AS y, max(promo_flag) AS promo_flag,
+                 avg(discount_pct) AS discount_pct FROM sales GROUP BY 1, 2)"""
+
 
 @query("s3_pruned_scan", """
 SELECT CAST(l_shipdate AS DATE) AS date, l_partkey AS sku_id, CAST(l_quantity AS BIGINT) AS units_sold FROM lineitem""")
@@ -24,6 +28,44 @@ def s4(spark, sf):
     return readers.table(spark, sf, "part")
 
 
+def _written(spark, frame, write):
+    """Write a frame to a fresh folder of the shared scratch space and return the folder."""
+    from ..session import scratch_folder
+
+    folder = f"{scratch_folder(spark)}/table"
+    write(frame, folder)
+    return folder
+
+
+@query("s1_csv_scan", "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer")
+def s1(spark, sf):
+    """The customers written with semicolons and read back; the reader finds the delimiter itself."""
+    c = readers.table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    folder = _written(spark, c, lambda f, path: f.write.option("header", True).option("sep", ";").csv(path))
+    return readers.csv(spark, folder, c.schema)
+
+
+@query("s2_json_scan", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def s2(spark, sf):
+    o = readers.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return readers.json(spark, _written(spark, o, writers.write_json), o.schema)
+
+
+@query("s5_partitioned_sink", with_ctes(SALES, BRAND_DAILY, "SELECT sku_id, ds, CAST(y AS BIGINT) AS y, CAST(year(ds) AS INTEGER) AS year FROM daily"))
+def s5(spark, sf):
+    daily = _brand_daily(spark, sf).select("sku_id", "ds", "y", F.year("ds").alias("year"))
+    folder = _written(spark, daily, lambda f, path: writers.write_table(f, path, partition_by=["year"]))
+    return spark.read.parquet(folder)
+
+
+@query("s7_category_summary", "SELECT c_mktsegment AS category, count(*) AS n, round(avg(c_acctbal), 4) AS mean_balance, 'run-1' AS run_id FROM customer GROUP BY 1")
+def s7(spark, sf):
+    c = readers.table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("category")).agg(
+        F.count("*").alias("n"), r(F.avg("c_acctbal"), 4).alias("mean_balance"))
+    folder = _written(spark, c, lambda f, path: writers.write_category_summary(f, f, path, "run-1"))
+    return spark.read.parquet(f"{folder}/summary")
+
+
 @query("p1_item_store_filter", with_ctes(SALES, """
 SELECT date, sku_id, store_id, supplier_id, units_sold FROM sales WHERE sku_id = 42 OR (store_id = 7 AND supplier_id = 12)"""))
 def p1(spark, sf):
@@ -51,10 +93,6 @@ def p2(spark, sf):
                                     F.min("ds").alias("first_day"), F.max("ds").alias("last_day"))
 
 
-BRAND_DAILY = """
-daily AS (SELECT brand AS sku_id, date AS ds, sum(units_sold) AS y, max(promo_flag) AS promo_flag,
-                 avg(discount_pct) AS discount_pct FROM sales GROUP BY 1, 2)"""
-
 TREND = """
 aged AS (SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY ds DESC) AS age FROM daily),
 tr0 AS (SELECT sku_id, count(*) AS active_days, avg(y) AS m_all, avg(CASE WHEN age <= 30 THEN y END) AS m30,
@@ -67,7 +105,7 @@ trend AS (SELECT sku_id, active_days, CASE WHEN active_days >= 90 THEN m30 ELSE
 
 
 def _brand_daily(spark, sf):
-    return demand.daily_demand(bindings.brand_sales(spark, sf))
+    return demand.daily_demand(bindings.brand_lines(spark, sf))
 
 
 @query("w1_trend_momentum", with_ctes(SALES, BRAND_DAILY, TREND, """
@@ -135,6 +173,15 @@ def t3(spark, sf):
     return demand.top_suppliers(bindings.brand_sales(spark, sf))
 
 
+@query("t1_series_order", with_ctes(SALES, BRAND_DAILY, """
+SELECT sku_id, ds, CAST(y AS BIGINT) AS y, CAST(row_number() OVER (PARTITION BY sku_id ORDER BY ds) AS INTEGER) AS place FROM daily"""))
+def t1(spark, sf):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("sku_id").orderBy("ds"))
+    return _brand_daily(spark, sf).select("sku_id", "ds", "y", place.alias("place"))
+
+
 @query("t2_first_last_days", with_ctes(SALES, BRAND_DAILY, """
 SELECT sku_id, ds, CAST(y AS BIGINT) AS y, 'first' AS edge FROM (SELECT *, row_number() OVER (PARTITION BY sku_id ORDER BY ds) AS i FROM daily) WHERE i <= 30
 UNION ALL
@@ -232,7 +279,7 @@ def plan_of(spark, sf):
     """Inventory plan of every brand from the sales history, the part stock and the forecast."""
     from ..plans.order_execution import demand_plan
 
-    return demand_plan(bindings.brand_sales(spark, sf), bindings.brand_inventory(spark, sf))
+    return demand_plan(bindings.brand_sales(spark, sf), bindings.brand_inventory(spark, sf), lines=bindings.brand_lines(spark, sf))
 
 
 @query("k3_reorder_point", with_ctes(*PLAN, """
@@ -321,7 +368,7 @@ def _procure(spark, sf):
 
     sales = bindings.brand_sales(spark, sf)
     cube = shared(demand.supply_cube(sales))
-    return procure(cube, demand_plan(sales, bindings.brand_inventory(spark, sf), cube=cube), as_of="2026-01-05")
+    return procure(cube, demand_plan(sales, bindings.brand_inventory(spark, sf), cube=cube, lines=bindings.brand_lines(spark, sf)), as_of="2026-01-05")
 
 
 @query("k8_order_split", with_ctes(*PLAN, ORDERQ, TOP5, SCORES, SPLIT, """
@@ -367,7 +414,8 @@ FROM plan p JOIN gate g ON p.sku_id = g.sku_id LEFT JOIN al2 a ON a.sku_id = p.s
 def k11(spark, sf):
     from ..plans.order_execution import order_execution
 
-    return order_execution(bindings.brand_sales(spark, sf), bindings.brand_inventory(spark, sf), as_of="2026-01-05").select(
+    return order_execution(bindings.brand_sales(spark, sf), bindings.brand_inventory(spark, sf), as_of="2026-01-05",
+                           lines=bindings.brand_lines(spark, sf)).select(
         "sku_id", "global_plan_demand_quantity", "safety_stock", "reorder_point", "quality_adjusted_nrq",
         "order_validation_flag", "order_quantity", "total_order_cost")
 

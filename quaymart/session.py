@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import SparkSession
@@ -31,6 +32,15 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return builder.getOrCreate()
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A fresh folder in the shared space the cluster names in ``spark.checkpoint.dir``; only where
+    that is unset, as in local tests, a temporary folder."""
+    shared_space = spark.conf.get("spark.checkpoint.dir", None)
+    if shared_space:
+        return f"{shared_space.rstrip('/')}/quaymart-{uuid.uuid4().hex}"
+    return tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
 def durable(df):
     """Cut the lineage of ``df`` by a reliable checkpoint that outlives a lost executor.
 
@@ -40,8 +50,7 @@ def durable(df):
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp")))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or scratch_folder(spark))
     return df.checkpoint(eager=True)
 
 

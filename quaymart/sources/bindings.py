@@ -57,6 +57,11 @@ def brand_sales(spark: SparkSession, folder: str) -> DataFrame:
     return sales(spark, folder, orders=True, parts=True).drop("sku_id").withColumnRenamed("brand", "sku_id")
 
 
+def brand_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The same lines without the order columns: what demand needs takes no join with the orders."""
+    return sales(spark, folder, parts=True).drop("sku_id").withColumnRenamed("brand", "sku_id")
+
+
 def brand_inventory(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
     return part.groupBy(F.col("p_brand").alias("sku_id")).agg(
