@@ -10,19 +10,23 @@ from pyspark.sql import functions as F
 from .scale import attach_group_stats, one_row, prefix_sums, with_scalars
 
 
-def confusion(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    """Counts of the four cases and the rates made from them; the positive class is 1."""
-    pos, said = F.col(actual) == 1, F.col(predicted) == 1
-    c = df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count_if(pos & said).alias("tp"), F.count_if(~pos & said).alias("fp"),
-        F.count_if(pos & ~said).alias("fn"), F.count_if(~pos & ~said).alias("tn"))
+def _with_rates(counts: DataFrame) -> DataFrame:
+    """Rates from the four counts n, tp, fp, fn, tn."""
     rate = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    return c.withColumns({
+    return counts.withColumns({
         "accuracy": rate(tp + tn, F.col("n")), "precision": rate(tp, tp + fp), "recall": rate(tp, tp + fn),
         "class_0_correct_pct": rate(tn, tn + fp) * 100, "class_1_correct_pct": rate(tp, tp + fn) * 100})
 
 
+def confusion(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
+    """Counts of the four cases and the rates made from them; the positive class is 1."""
+    pos, said = F.col(actual) == 1, F.col(predicted) == 1
+    return _with_rates(df.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count_if(pos & said).alias("tp"), F.count_if(~pos & said).alias("fp"),
+        F.count_if(pos & ~said).alias("fn"), F.count_if(~pos & ~said).alias("tn")))
+
+
 def _score_counts(df: DataFrame, actual: str, score: str) -> DataFrame:
     s = F.col(score).cast("double")
     return df.where(s.isNotNull()).groupBy(s.alias("score")).agg(
@@ -53,14 +57,22 @@ def auc(df: DataFrame, actual: str, score: str) -> DataFrame:
 def threshold_search(df: DataFrame, actual: str, probability: str, by: Sequence[str] = ()) -> DataFrame:
     """Quality at 29 thresholds from 0.15 to 0.85, at 0.5 and at the base rate, with the ranking score.
 
-    Every row meets the 31 thresholds as an array inside the row, so there is no cross join.
+    A row is counted once, under the number of thresholds it reaches; the 31 tables of counts are
+    then made from those at most 32 x 2 numbers per group.
     """
     rate = df.groupBy(*by).agg(F.avg((F.col(actual) == 1).cast("double")).alias("_rate"), F.count("*").alias("_w"))
-    grid = [round(0.15 + i * 0.025, 4) for i in range(29)]
+    grid = sorted({*(round(0.15 + i * 0.025, 4) for i in range(29)), 0.5})
     rows = attach_group_stats(df, rate, by, "_w") if by else with_scalars(df, rate.drop("_w"))
-    marks = F.array_distinct(F.concat(F.array(*map(F.lit, sorted({*grid, 0.5}))), F.array(F.round("_rate", 4))))
-    cases = rows.select(*by, F.col(actual).alias("_y"), F.col(probability).alias("_p"), F.explode(marks).alias("threshold"))
-    table = confusion(cases.withColumn("_hat", (F.col("_p") >= F.col("threshold")).cast("int")), "_y", "_hat", [*by, "threshold"])
+    marks = F.array_sort(F.array_distinct(F.concat(F.array(*map(F.lit, grid)), F.array(F.round("_rate", 4)))))
+    reached = F.size(F.filter(marks, lambda m: m <= F.col(probability)))
+    folded = rows.groupBy(*by, "_rate", reached.alias("_reached")).agg(
+        F.count_if(F.col(actual) == 1).alias("_pos"), F.count_if(F.col(actual) != 1).alias("_neg"))
+    cases = folded.select(*by, "_pos", "_neg", "_reached", F.posexplode(marks).alias("_i", "threshold"))
+    said = F.col("_reached") > F.col("_i")
+    total = lambda c, keep: F.sum(F.when(keep, F.col(c)).otherwise(0)).cast("bigint")
+    table = _with_rates(cases.groupBy(*by, "threshold").agg(
+        F.sum(F.col("_pos") + F.col("_neg")).cast("bigint").alias("n"), total("_pos", said).alias("tp"), total("_neg", said).alias("fp"),
+        total("_pos", ~said).alias("fn"), total("_neg", ~said).alias("tn")))
     gap = F.abs((F.col("tp") + F.col("fp")) / F.col("n") - (F.col("tp") + F.col("fn")) / F.col("n"))
     return table.withColumn("calibration_gap", gap)
 
@@ -93,14 +105,16 @@ def score_rule(df: DataFrame, score: str, outcome: str, good=1, bad=0, alphas: S
     rows = with_scalars(above, high_share)
     high = F.when(F.col("_rate") > F.coalesce(F.col("_h") * 100, F.col("_rate")), F.lit(bad)).otherwise(F.lit(good))
     low = F.when(high == bad, F.lit(good)).otherwise(F.lit(bad))
-    cases = rows.select(F.col(outcome).alias("_y"), F.col(score).alias("_s"), high.alias("high_label"), low.alias("_low"), "_mean",
-                        F.explode(F.array(*map(F.lit, alphas))).alias("alpha"))
-    cases = cases.withColumn("_hat", F.when(F.col("_s") > F.col("alpha") * F.col("_mean"), F.col("high_label")).otherwise(F.col("_low")))
-    return cases.groupBy("alpha").agg(
-        F.first("high_label").alias("high_label"), (F.first("_mean") * F.first("alpha")).alias("threshold"), F.count("*").alias("n"),
-        F.count_if(F.col("_y") == F.col("_hat")).alias("correct"),
-        F.count_if((F.col("_hat") == good) & (F.col("_y") == good)).alias("good_correct"),
-        F.count_if((F.col("_hat") == bad) & (F.col("_y") == bad)).alias("bad_correct")).withColumn("accuracy", F.col("correct") / F.col("n"))
+    rows = rows.select(F.col(outcome).alias("_y"), F.col(score).alias("_s"), high.alias("high_label"), low.alias("_low"), "_mean")
+    cells = []
+    for alpha in alphas:
+        said = F.when(F.col("_s") > F.lit(float(alpha)) * F.col("_mean"), F.col("high_label")).otherwise(F.col("_low"))
+        cells.append(F.struct(
+            F.lit(float(alpha)).alias("alpha"), F.first("high_label").alias("high_label"), (F.first("_mean") * F.lit(float(alpha))).alias("threshold"),
+            F.count("*").alias("n"), F.count_if(F.col("_y") == said).alias("correct"),
+            F.count_if((said == good) & (F.col("_y") == good)).alias("good_correct"), F.count_if((said == bad) & (F.col("_y") == bad)).alias("bad_correct")))
+    # All alphas are counted side by side in one pass.
+    return rows.agg(F.array(*cells).alias("_a")).select(F.inline("_a")).withColumn("accuracy", F.try_divide("correct", "n"))
 
 
 def rule_probability(df: DataFrame, score: str, threshold: float, spread: float, high_is_bad: bool = True):

@@ -150,21 +150,22 @@ def top_weights(weights: DataFrame, limit: int) -> DataFrame:
 
 def weight_sweep(norm: DataFrame, outcome: str, weights: Mapping[str, float], boost: Mapping[str, float],
                  percents: Sequence[int]) -> DataFrame:
-    """Score quality when the boost vector is mixed in at several strengths, in one pass.
+    """Score quality when the boost vector is mixed in at several strengths, all side by side.
 
     A diagnostic of how stable the index is; it looks at the true outcome and is no accuracy.
     """
     def mixed(p):
         return score({f: w * (1 + p / 100.0 * (boost.get(f, 1.0) - 1)) for f, w in weights.items()})
 
-    scored = norm.select(F.col(outcome).alias("_y"), F.inline(F.array(*[
-        F.struct(F.lit(p).alias("percent"), mixed(p).alias("s")) for p in percents])))
-    means = scored.groupBy("percent").agg(F.avg("s").alias("mean_score"))
-    rows = scored.join(F.broadcast(means), "percent")
-    good, above = F.col("_y") == 1, F.col("s") >= F.col("mean_score")
-    return rows.groupBy("percent").agg(
-        F.first("mean_score").alias("mean_score"), F.count_if(above & good).alias("good_above"), F.count_if(above & ~good).alias("bad_above"),
-        F.count_if(~above & good).alias("good_below"), F.count_if(~above & ~good).alias("bad_below"))
+    scored = norm.select(F.col(outcome).alias("_y"), *[mixed(p).alias(f"_s{i}") for i, p in enumerate(percents)])
+    rows = with_scalars(scored, scored.agg(*[F.avg(f"_s{i}").alias(f"_m{i}") for i in range(len(percents))]))
+    good, cells = F.col("_y") == 1, []
+    for i, p in enumerate(percents):
+        above = F.col(f"_s{i}") >= F.col(f"_m{i}")
+        cells.append(F.struct(
+            F.lit(p).alias("percent"), F.first(f"_m{i}").alias("mean_score"), F.count_if(above & good).alias("good_above"),
+            F.count_if(above & ~good).alias("bad_above"), F.count_if(~above & good).alias("good_below"), F.count_if(~above & ~good).alias("bad_below")))
+    return rows.agg(F.array(*cells).alias("_a")).select(F.inline("_a"))
 
 
 def quadrants(df: DataFrame, score_column: str, outcome: str, good=1, bad=0, by: Sequence[str] = ()) -> DataFrame:
