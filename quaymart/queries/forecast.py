@@ -44,12 +44,12 @@ acc AS (SELECT model, sku_id, count(*) AS n_days, avg(abs(y - yhat)) AS mae, sqr
         FROM bt GROUP BY 1, 2)""")
 
 ACC = ("mae", "rmse", "mape_percent", "wmape_percent", "bias", "r2", "total_actual", "total_forecast")
-ACC_SQL = ", ".join(f"round({c}, 4) AS {c}" for c in ACC)
+ACC_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in ACC)
 
 
 @query("f1_forecast_accuracy", with_ctes(*BACKTEST, f"SELECT model, sku_id, n_days, {ACC_SQL} FROM acc"))
 def f1(spark, sf):
-    return rounded(forecasting.accuracy(_backtest(spark, sf), ["model", "sku_id"]), 4, *ACC)
+    return rounded(forecasting.accuracy(_backtest(spark, sf), ["model", "sku_id"]), 6, *ACC)
 
 
 @query("f2_model_comparison", with_ctes(*BACKTEST, """
