@@ -17,11 +17,12 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shared
+from ..session import durable, shared
 
 HEAVY_SHARE = 0.001
 SPREAD = 1024
 SMALL_GROUP = 20_000
+CROWD = 1_000_000
 
 
 def one_row(df: DataFrame, *aggregates: Column) -> DataFrame:
@@ -85,11 +86,13 @@ def _orderable(df: DataFrame, column: str) -> tuple[Column, bool]:
     return F.col(column).cast("double"), not kind.startswith("decimal")
 
 
-def with_ordered_buckets(df: DataFrame, order: Sequence[str], buckets: int = 256) -> tuple[DataFrame, list[str]]:
+def with_ordered_buckets(df: DataFrame, order: Sequence[str], buckets: int = 1024) -> tuple[DataFrame, list[str]]:
     """Add bucket columns that follow the ascending order of ``order``.
 
     A value that is itself a cut point and so may be very frequent gets a bucket of its own,
-    which the next order column divides further; rows equal in all order columns are spread last.
+    which the next order column divides further. Where every order column has values that fill
+    more than a bucket, very many rows may be equal in all of them; such rows are spread by task,
+    and because that spread must not change between two readings, the rows are checkpointed.
     NULLs come first, as in an ascending sort.
     """
     images, names = {}, []
@@ -99,18 +102,26 @@ def with_ordered_buckets(df: DataFrame, order: Sequence[str], buckets: int = 256
         images[column] = (f"_x{i}", exact)
         out = out.withColumn(f"_x{i}", image)
     probs = [j / buckets for j in range(1, buckets)]
-    cuts_row = out.agg(*[F.percentile_approx(images[c][0], probs, 10 * buckets).alias(c) for c in order]).first()
+    cuts_row = out.agg(*[F.percentile_approx(images[c][0], probs, 10 * buckets).alias(c) for c in order],
+                       *[F.count_if(F.col(images[c][0]).isNull()).alias(f"_null_{c}") for c in order], F.count("*").alias("_rows")).first()
     alone: Column = F.lit(True)
+    crowded = cuts_row["_rows"] > CROWD
     for i, column in enumerate(order):
         image, exact = images[column]
-        cuts = sorted(set(cuts_row[column] or []))
+        drawn = cuts_row[column] or []
+        cuts = sorted(c for c in set(drawn) if math.isfinite(c))
+        crowded = crowded and (len(cuts) < len(drawn) or cuts_row[f"_null_{column}"] * buckets > cuts_row["_rows"])
+        if cuts_row["_rows"] <= CROWD:
+            # A small table needs few buckets.
+            cuts = cuts[:: max(1, len(cuts) // 64)]
         name = f"_b{i}"
         if cuts:
             splitter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=image, outputCol=f"_raw{i}",
                                   handleInvalid="keep")
             out = splitter.transform(out)
             # Buckets are [cut, next cut); the cut itself is split off in front of its bucket.
-            edge = F.get(F.array(*map(F.lit, cuts)), F.col(f"_raw{i}").cast("int") - 1)
+            points = F.from_json(F.lit(str(cuts)), "array<double>")
+            edge = F.get(points, F.col(f"_raw{i}").cast("int") - 1)
             at_cut = F.coalesce(edge == F.col(image), F.lit(False))
             place = F.col(f"_raw{i}") * 2 + F.when(at_cut, 0).otherwise(1)
             place = F.when(F.col(image).isNull(), F.lit(-1.0)).otherwise(place)
@@ -122,13 +133,15 @@ def with_ordered_buckets(df: DataFrame, order: Sequence[str], buckets: int = 256
             out = out.withColumn(name, F.lit(0.0)).withColumn(f"_s{i}", alone & F.col(image).isNull())
         alone = F.col(f"_s{i}")
         names.append(name)
+    if not crowded:
+        return out.select(*df.columns, *names), names
     out = out.withColumn("_b_same", F.when(alone, F.spark_partition_id()).otherwise(F.lit(0)))
     names.append("_b_same")
-    return out.select(*df.columns, *names), names
+    return durable(out.select(*df.columns, *names)), names
 
 
 def prefix_sums(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = (),
-                buckets: int = 256) -> DataFrame:
+                buckets: int = 1024) -> DataFrame:
     """Running totals (current row included) of ``sums`` in ascending ``order`` within ``by``.
 
     ``order`` should identify rows; rows equal in all of it are taken in any sequence.
@@ -150,7 +163,7 @@ def prefix_sums(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column],
 
 
 def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "row_no",
-             buckets: int = 256) -> DataFrame:
+             buckets: int = 1024) -> DataFrame:
     """Dense 1-based row number in ascending ``order`` within ``by``."""
     out = prefix_sums(df, order, {name: F.lit(1).cast("bigint")}, by, buckets)
     return out.withColumn(name, F.col(name).cast("bigint"))

@@ -69,8 +69,12 @@ def test_row_numbers_per_key(skewed):
     assert len(both) == 60_000 and (both["row_no_x"] == both["row_no_y"]).all()
 
 
-def test_identical_rows_get_different_numbers(spark):
+@pytest.mark.parametrize("crowd", [0, 1_000_000])
+def test_identical_rows_get_different_numbers(spark, monkeypatch, crowd):
+    monkeypatch.setattr(scale, "CROWD", crowd)
     same = spark.range(5000, numPartitions=5).select(F.lit(1.0).alias("v"))
+    cut, names = scale.with_ordered_buckets(same, ["v"])
+    assert cut.select(*names).distinct().count() == (5 if crowd == 0 else 1)
     assert sorted(r[0] for r in scale.numbered(same, ["v"]).select("row_no").collect()) == list(range(1, 5001))
 
 
