@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language
+from . import language, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +25,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held_out = remainder(3) == 1
+    bag = toxicity.train(docs.join(labels.where(~held_out), "doc_id"))
+    scored = toxicity.score(docs.withColumn("held_out", held_out), bag)
+    return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op9_language_id": op9_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 
 CHECKS: dict[str, str] = {}
