@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, toxicity
+from ..session import scratch_folder
+from . import language, pieces, tokenfiles, toxicity, unigram
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+PIECES_END, WORDS_END = 2, 1
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +23,26 @@ def remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    counted = unigram.token_counts(docs, unigram.rank_vocabulary(PIECES))
+    return counted.select("doc_id", "n_tokens", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    coded = pieces.encode(docs, PIECES, end_id=PIECES_END, decode=True)
+    listed = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_folder(spark)
+    tokenfiles.write_token_files(documents(spark, sf_dir).select("doc_id", "text"), folder, WORDS, WORDS_END)
+    return tokenfiles.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = remainder(4) == 2
@@ -29,12 +55,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     held_out = remainder(3) == 1
-    bag = toxicity.train(docs.join(labels.where(~held_out), "doc_id"))
+    bag = toxicity.train(docs, labels.where(~held_out))
     scored = toxicity.score(docs.withColumn("held_out", held_out), bag)
     return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
 
 QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op4_pieces": op4_pieces,
+    "op5_token_files": op5_token_files,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }

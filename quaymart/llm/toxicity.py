@@ -25,7 +25,7 @@ from .words import mix, slices, text_buffers, word_hashes
 
 BUCKETS_LOG2, WIDTH, PASSAGE = 18, 8, 16
 GRAMS = (3, 4, 5)
-SAMPLE = {1: 5000, 0: 9000}   # bound of the labelled rows that are fitted on, per label
+SAMPLE = {1: 4000, 0: 8000}   # bound of the labelled rows that are fitted on, per label
 SAMPLE_CHARS = 20_000         # longer labelled texts are not fitted on
 STEPS, BATCH, RATE = 900, 128, 0.4
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -75,6 +75,19 @@ def different_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return hashes[at], first[at], end[at], np.searchsorted(at, word_offsets)
 
 
+def _different_words_by_parts(raw: np.ndarray, offsets: np.ndarray, part: int = 4 << 20) -> tuple[np.ndarray, ...]:
+    """The same in pieces of about ``part`` bytes, so that only what is kept is held whole."""
+    found, at = [], 0
+    while at < len(offsets) - 1:
+        end = min(max(int(np.searchsorted(offsets, offsets[at] + part, side="right")) - 1, at + 1), len(offsets) - 1)
+        base = offsets[at]
+        h, a, b, w = different_words(raw[base:offsets[end]], offsets[at:end + 1] - base)
+        found.append((h, a + base, b + base, np.diff(w)))
+        at = end
+    h, a, b, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    return h, a, b, np.concatenate([[0], np.cumsum(counts)])
+
+
 def passages(word_offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word of every passage (plus the end) and ``n + 1`` passage offsets of the texts."""
     counts = np.diff(word_offsets)
@@ -116,7 +129,7 @@ class SubwordBag:
 
     def fit(self, raw: np.ndarray, offsets: np.ndarray, label: np.ndarray, steps: int = STEPS, seed: int = 6) -> SubwordBag:
         """Adagrad. The first quarter of the epochs weighs passages by their probability, later ones take the best."""
-        hashes, first, end, word_offsets = different_words(raw, offsets)
+        hashes, first, end, word_offsets = _different_words_by_parts(raw, offsets)
         _, one, ids = np.unique(hashes, return_index=True, return_inverse=True)
         buckets, at = word_features(raw, first[one], end[one], hashes[one])
         rng = np.random.default_rng(seed)
@@ -181,12 +194,19 @@ def document_scores(projection: np.ndarray, bias: float, raw: np.ndarray, offset
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", sample: dict[int, int] = SAMPLE) -> SubwordBag:
-    """Fit on at most ``sample[k]`` rows of label ``k``; a hash of the text decides which."""
-    rows = labelled.where(F.col(label).isin(0, 1) & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_CHARS)) \
-        .select(F.lower(F.col(text)).alias("text"), F.col(label).cast("int").alias("label"), F.xxhash64(F.lit(9), text).alias("o"))
-    taken = [rows.where(F.col("label") == k).orderBy("o", "text").limit(n).toArrow() for k, n in sorted(sample.items())]
-    table = pa.concat_tables(taken)
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic",
+          sample: dict[int, int] = SAMPLE) -> SubwordBag:
+    """Fit on at most ``sample[k]`` labelled rows of label ``k``; a hash of the key decides which.
+
+    The sampled keys, a bounded number, are broadcast to the documents, so no text is shuffled.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("label"))
+    hashed = known.withColumn("o", F.xxhash64(F.lit(9), "k"))
+    some = [hashed.where(F.col("label") == k).orderBy("o", "k").limit(n) for k, n in sorted(sample.items())]
+    few = some[0].unionAll(some[1])
+    rows = docs.where(F.length(text) <= SAMPLE_CHARS).select(F.col(key).alias("k"), F.col(text).alias("text")) \
+        .join(F.broadcast(few), "k").select(F.lower("text").alias("text"), "label", "o")
+    table = rows.orderBy("o", "text").toArrow()
     bag = SubwordBag()
     label_of = table["label"].to_numpy()
     if len(set(label_of.tolist())) < 2:
