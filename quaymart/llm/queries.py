@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import language, pieces, tokenfiles, toxicity, unigram
+from . import decontaminate, language, lines, pieces, tokenfiles, toxicity, unigram
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,10 @@ def remainder(modulus: int, column: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     counted = unigram.token_counts(docs, unigram.rank_vocabulary(PIECES))
@@ -43,6 +47,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = lines.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select("doc_id", "n_lines", "n_removed", "n_left", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = remainder(4) == 2
@@ -61,9 +70,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
     "op4_pieces": op4_pieces,
     "op5_token_files": op5_token_files,
+    "op7_line_dedup": op7_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }
