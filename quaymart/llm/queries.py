@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import decontaminate, language, lines, pieces, tokenfiles, toxicity, unigram
+from . import decontaminate, language, lines, nearcopies, passages, pieces, tokenfiles, toxicity, unigram
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_tokens", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n_chars"))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     coded = pieces.encode(docs, PIECES, end_id=PIECES_END, decode=True)
@@ -52,6 +56,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_lines", "n_removed", "n_left", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held_out = remainder(4) == 2
@@ -72,9 +80,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_token_counts": op2_token_counts,
+    "op3_near_dedup": op3_near_dedup,
     "op4_pieces": op4_pieces,
     "op5_token_files": op5_token_files,
     "op7_line_dedup": op7_line_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
 }
