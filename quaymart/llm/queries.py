@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_folder
-from . import decontaminate, language, lines, nearcopies, passages, pieces, tokenfiles, toxicity, unigram
+from . import decontaminate, language, lines, nearcopies, neighbours, passages, pieces, tokenfiles, toxicity, unigram
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -51,6 +51,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.read_token_files(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = lines.line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return cut.select("doc_id", "n_lines", "n_removed", "n_left", F.md5(F.col("text").cast("binary")).alias("text_md5"))
@@ -83,6 +87,7 @@ QUERIES = {
     "op3_near_dedup": op3_near_dedup,
     "op4_pieces": op4_pieces,
     "op5_token_files": op5_token_files,
+    "op6_neighbours": op6_neighbours,
     "op7_line_dedup": op7_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_language_id": op9_language_id,
