@@ -10,10 +10,13 @@ Each of ``BANDS * ROWS`` samples draws one shingle with consistent weighted samp
 agree in all samples of a band are candidates, and candidates are near copies if their weighted
 Jaccard similarity is at least ``SIMILARITY``. Groups are the connected components.
 
-Exact copies are collapsed first. In a bucket of candidates every text is compared with the first
-one; then, where a bucket still holds different components, all pairs between these, and only
-those, are compared too. A group of thousands of copies thus costs one comparison per text, and
-no link between components is left out.
+Exact copies are collapsed first. In a bucket of candidates every text is compared with the bucket's
+hub, the text that shares most buckets with most others. Where a bucket still holds different
+components, pairs between these are compared too. In large buckets most such pairs are ruled out
+first by a bound that cannot lose a link: shingles that no other text of these buckets has cannot be
+common to a pair, so two texts of weight v and w, of which p and q are in such shingles, have at most
+m = min(v - p, w - q) in common and a similarity of at most m / (v + w - m). A group of thousands of
+copies thus costs about one comparison per text.
 
 Defined results: a null text counts as empty; equal texts, also empty ones, are one class; a text
 without words is like no other text. A text of one to four words is one shingle. ``class_id`` is
@@ -39,6 +42,7 @@ FREQUENT = 1 / 256
 CHUNK_DOCS = 4096          # documents counted together when candidates for frequent shingles are sought
 PASS_CANDIDATES = 4_000_000  # candidates counted in one pass
 ELEMENTS = 1 << 15
+SMALL_BUCKET = 32          # up to here the pairs between components are compared at once, without the bound
 
 
 def shingled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -231,6 +235,36 @@ def _verified(pairs: DataFrame, texts: DataFrame, shipped) -> DataFrame:
     return stored(with_both.mapInArrow(compare, "a binary, b binary, similarity double").where(F.col("similarity") >= SIMILARITY))
 
 
+def _weighed(open_: DataFrame, texts: DataFrame, shipped) -> DataFrame:
+    """``open_`` with the weight of each text and that of its shingles that no other text there has."""
+    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                h, counts, offsets = bags(*shingled(batch.column(1)))
+                owner = pa.array(np.repeat(np.arange(len(batch)), np.diff(offsets)))
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(owner), pa.array(counts * shipped.value.weights(h))], ["s", "u", "w"])
+
+    some = texts.join(open_.select("uid").distinct(), "uid").select(F.xxhash64("uid").alias("u"), "text")
+    parts = some.mapInArrow(exploded, "s long, u long, w double")
+    whole = parts.groupBy("u").agg(F.sum("w").alias("w"))
+    own = parts.groupBy("s").agg(F.count("*").alias("n"), F.max("u").alias("u"), F.max("w").alias("w")).where("n = 1").groupBy("u").agg(F.sum("w").alias("p"))
+    known = stored(whole.join(own, "u", "left").select("u", "w", F.coalesce("p", F.lit(0.0)).alias("p")))
+    # A text whose own shingles leave too little can be near no other one.
+    return open_.withColumn("u", F.xxhash64("uid")).join(known.where(F.col("w") - F.col("p") >= SIMILARITY * F.col("w") - 1e-6), "u").drop("u")
+
+
+def _across(open_: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts of one bucket in different components that may be similar enough."""
+    bounded = "w" in open_.columns
+    side = lambda n: open_.select("band", *[F.col(c).alias(c + n) for c in open_.columns if c != "band"])
+    condition = F.col("cx") < F.col("cy")
+    if bounded:
+        common = F.least(F.col("wx") - F.col("px"), F.col("wy") - F.col("py"))
+        condition = condition & (common >= SIMILARITY * (F.col("wx") + F.col("wy") - common) - 1e-6)
+    return side("x").join(side("y").withColumnRenamed("band", "band_y"), (F.col("band") == F.col("band_y")) & condition) \
+        .select(F.least("uidx", "uidy").alias("a"), F.greatest("uidx", "uidy").alias("b"))
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``uid`` (stands for the text) and ``class_id`` of every row of ``docs``."""
     frequent = frequencies(docs, text)
@@ -253,24 +287,24 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     units = stored(signed.groupBy("uid").agg(F.min(F.struct(order.alias("id"), "bands")).alias("x")).select("uid", "x.id", "x.bands"))
 
     members = units.select("uid", "id", F.explode("bands").alias("band"))
-    buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("id", "uid"))["uid"].alias("first")).where("n > 1")
-    inside = stored(members.join(buckets, "band").select("band", "uid", "first"))
-    stars = stored(inside.where(F.col("uid") != F.col("first")).select(F.least("first", "uid").alias("a"), F.greatest("first", "uid").alias("b")).distinct())
+    buckets = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    inside = stored(members.join(buckets, "band"))
+    met = inside.join(inside.groupBy("uid").agg(F.sum("n").alias("met")), "uid")
+    hubs = met.groupBy("band").agg(F.min(F.struct((-F.col("met")).alias("met"), "id", "uid"))["uid"].alias("hub"))
+    stars = stored(inside.join(hubs, "band").where(F.col("uid") != F.col("hub")).select(F.least("hub", "uid").alias("a"), F.greatest("hub", "uid").alias("b")).distinct())
 
     # The text of each unit that is in a bucket, from the row that holds its first id.
-    wanted = inside.select("uid").distinct().join(units.select("uid", "id"), "uid").select("uid", F.col("id.k").alias("k"))
-    met = rows.select("k", "uid", "text").join(wanted.select(F.col("uid").alias("u"), F.col("k").alias("uk")), (F.col("uid") == F.col("u")) & F.col("k").eqNullSafe(F.col("uk")))
-    texts = stored(met.groupBy("uid").agg(F.min("text").alias("text")))
+    wanted = inside.groupBy("uid").agg(F.min("id.k").alias("k"))
+    found_rows = rows.select("k", "uid", "text").join(wanted.select(F.col("uid").alias("u"), F.col("k").alias("uk")), (F.col("uid") == F.col("u")) & F.col("k").eqNullSafe(F.col("uk")))
+    texts = stored(found_rows.groupBy("uid").agg(F.min("text").alias("text")))
     edges = _verified(stars, texts, shipped)
 
     found = components(edges)
-    placed = inside.join(found.withColumnRenamed("node", "uid"), "uid", "left").select("band", "uid", F.coalesce("component", "uid").alias("c"))
+    placed = inside.join(found.withColumnRenamed("node", "uid"), "uid", "left").select("band", "uid", "n", F.coalesce("component", "uid").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("band")
     open_ = stored(placed.join(mixed, "band"))
-    other = open_.select("band", F.col("uid").alias("b"), F.col("c").alias("cb"))
-    across = open_.select("band", F.col("uid").alias("a"), F.col("c").alias("ca")).join(other, "band").where(F.col("ca") < F.col("cb"))
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(across, texts, shipped)
+    across = _across(open_.where(F.col("n") <= SMALL_BUCKET)).unionAll(_across(_weighed(open_.where(F.col("n") > SMALL_BUCKET), texts, shipped)))
+    more = _verified(across.distinct().join(stars, ["a", "b"], "left_anti"), texts, shipped)
     if more.limit(1).count():
         found = components(edges.select("a", "b").unionAll(more.select("a", "b")))
 

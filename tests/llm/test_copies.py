@@ -83,7 +83,9 @@ def brute_classes(docs, similarity=0.8):
     return {d: min(g) for g in groups.values() for d in g}
 
 
-def test_near_copies_are_those_of_brute_force(spark, corpus):
+@pytest.mark.parametrize("small", [nearcopies.SMALL_BUCKET, 0])
+def test_near_copies_are_those_of_brute_force(spark, corpus, monkeypatch, small):
+    monkeypatch.setattr(nearcopies, "SMALL_BUCKET", small)
     rng = random.Random(4)
     docs = dict(corpus)
     base = [words(k, 120) for k in range(12)]
