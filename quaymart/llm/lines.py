@@ -151,7 +151,9 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     uid, keeper, gone, rows, kept = free_names(docs.columns, "_uid", "_keeper", "_gone", "_rows", "_kept")
     n_lines, n_removed, n_left = free_names(docs.columns, "n_lines", "n_removed", "n_left")
     marked = docs.withColumn(uid, F.when(F.col(text).isNotNull(), text_key(text)))
-    joined = marked.join(decided.select(F.col("uid").alias(uid), F.col("keeper").alias(keeper), F.col("cut").alias(gone)), uid, "left")
+    # Decisions grow with the corpus; a merge join costs the same share of it at every size.
+    cuts = decided.select(F.col("uid").alias(uid), F.col("keeper").alias(keeper), F.col("cut").alias(gone))
+    joined = marked.join(cuts.hint("merge"), uid, "left")
     joined = joined.withColumn(rows, F.split(F.col(text), "\n"))
     is_copy = F.col(keeper).isNotNull() & ~F.col(keeper).eqNullSafe(order)
     inside = lambda i: F.coalesce(F.exists(F.col(gone), lambda g: (i >= g["a"]) & (i < g["b"])), F.lit(False))
