@@ -130,61 +130,70 @@ def region_coverage(df: DataFrame, paths: Sequence[Path], target: str) -> DataFr
         "leaf", "n", (F.col("n") / F.col("_all")).alias("coverage"), "mean_target", "target_p10", "target_p90")
 
 
-def simplified(conditions: Sequence[Condition], encoding: Mapping[str, tuple[str, str]] | None = None) -> tuple[list[Condition], list[str]]:
-    """Tightest bound per feature and side; indicator columns become "=" or "!=" of their category.
-    The second result names contradictions."""
-    encoding = encoding or {}
-    bounds: dict[str, dict[str, float]] = {}
-    chosen: dict[str, dict[str, set]] = {}
-    for c in conditions:
-        if c.feature in encoding and 0.0 <= c.threshold <= 1.0:
-            base, category = encoding[c.feature]
-            chosen.setdefault(base, {"=": set(), "!=": set()})["=" if c.operator == ">" else "!="].add(category)
-            continue
-        side = bounds.setdefault(c.feature, {})
-        tighter = min if c.operator == "<=" else max
-        side[c.operator] = tighter(side.get(c.operator, c.threshold), c.threshold)
-    out, wrong = [], []
-    for feature, side in bounds.items():
-        if ">" in side and "<=" in side and side[">"] >= side["<="]:
-            wrong.append(f"{feature} has incompatible bounds")
-            continue
-        out += [Condition(feature, o, side[o]) for o in (">", "<=") if o in side]
-    for base, picks in chosen.items():
-        if len(picks["="]) > 1:
-            wrong.append(f"{base} requires multiple categories")
-        elif picks["="] & picks["!="]:
-            wrong.append(f"{base} is both included and excluded")
-        else:
-            out += [Condition(base, o, c) for o in ("=", "!=") for c in sorted(picks[o])]
-    return out, wrong
-
-
-def path_similarity(left: Path, right: Path) -> float:
-    """Shared conditions over all conditions of two paths."""
-    a = {(c.feature, c.operator, c.threshold) for c in left.conditions}
-    b = {(c.feature, c.operator, c.threshold) for c in right.conditions}
-    return len(a & b) / len(a | b) if a and b else 0.0
-
-
-def region_score(path: Path, total: float, top_features: Sequence[str] = (), high: bool = True,
-                 encoding: Mapping[str, tuple[str, str]] | None = None) -> float:
-    """How well a path serves as an example of a high (or low) region."""
-    names = [c.feature for c in path.conditions]
-    most = max((names.count(n) for n in set(names)), default=0)
-    conditions, wrong = simplified(path.conditions, encoding)
-    bonus = min(path.samples / max(total, 1), 0.25) * 4.0 + 0.35 * len({c.feature for c in conditions} & set(top_features[:3]))
-    penalty = 0.15 * (len(names) - len(set(names))) + max((most / len(names) if names else 0.0) - 0.60, 0.0)
-    penalty += 2.0 * bool(wrong) + 0.5 * (len(conditions) < 2)
-    return (path.prediction if high else -path.prediction) + bonus - penalty
-
-
-def extreme_paths(paths: Sequence[Path]) -> tuple[Path, Path]:
-    """The lowest and the highest predicting path that do not contradict themselves, kept distinct."""
-    usable = [p for p in paths if p.conditions and not simplified(p.conditions)[1]] or list(paths)
-    low = min(usable, key=lambda p: p.prediction)
-    others = [p for p in usable if p.leaf != low.leaf and path_similarity(p, low) < 1.0] or [low]
-    return low, max(others, key=lambda p: p.prediction)
+def tightest_bounds(conditions: DataFrame, encoding: DataFrame | None = None) -> DataFrame:
+    """What the conditions of each leaf amount to: ``leaf``, ``feature``, ``operator`` and ``threshold``
+    or ``category``.
+
+    Of several conditions on one side of a feature the narrowest counts. ``encoding`` (feature, base,
+    category) names the columns that stand for one category each, a table the schema bounds; a
+    condition on such a column says that its base is, or is not, that category.
+    """
+    plain = conditions.select("leaf", "feature", "operator", "threshold", F.lit(None).cast("string").alias("category"))
+    if encoding is not None:
+        known = encoding.select(F.col("feature").alias("_f"), F.col("base").alias("_base"), F.col("category").alias("_category"))
+        joined = conditions.join(F.broadcast(known), F.col("feature") == F.col("_f"), "left")
+        is_category = F.col("_f").isNotNull() & F.col("threshold").between(0, 1)
+        plain = joined.select("leaf", F.when(is_category, F.col("_base")).otherwise(F.col("feature")).alias("feature"),
+                              F.when(~is_category, F.col("operator")).when(F.col("operator") == ">", "=").otherwise("!=").alias("operator"),
+                              F.when(~is_category, F.col("threshold")).alias("threshold"), F.when(is_category, F.col("_category")).alias("category"))
+    return plain.groupBy("leaf", "feature", "operator", "category").agg(F.min("threshold").alias("_low"), F.max("threshold").alias("_high")) \
+        .select("leaf", "feature", "operator", F.when(F.col("operator") == "<=", F.col("_low")).otherwise(F.col("_high")).alias("threshold"), "category")
+
+
+def contradictions(bounds: DataFrame) -> DataFrame:
+    """``leaf``, ``feature`` and ``reason`` where the conditions of a leaf leave no value."""
+    pick = lambda o, c: F.when(F.col("operator") == o, F.col(c))
+    sides = bounds.groupBy("leaf", "feature").agg(
+        F.max(pick(">", "threshold")).alias("above"), F.min(pick("<=", "threshold")).alias("upto"),
+        F.collect_set(pick("=", "category")).alias("wanted"), F.collect_set(pick("!=", "category")).alias("excluded"))
+    reason = (F.when(F.col("above") >= F.col("upto"), "empty interval").when(F.size("wanted") > 1, "several categories at once")
+              .when(F.arrays_overlap("wanted", "excluded"), "category wanted and excluded"))
+    return sides.select("leaf", "feature", reason.alias("reason")).where("reason IS NOT NULL")
+
+
+# What a region gains and loses as an example.
+SHARE_CAP, SHARE_GAIN, TOP_FEATURE_GAIN, TOP_FEATURES = 0.25, 4.0, 0.35, 3
+REPEAT_LOSS, FOCUS_FREE, CONTRADICTION_LOSS, SHORT_LOSS, SHORT_BELOW = 0.15, 0.60, 2.0, 0.5, 2
+
+
+def region_scores(conditions: DataFrame, total: float, top_features: Sequence[str] = (), high: bool = True, encoding: DataFrame | None = None) -> DataFrame:
+    """How well each leaf serves as an example of a high (or low) region: ``leaf`` and ``region_score``.
+
+    Size and leading features speak for a leaf; repeated features, one feature that makes up most
+    of the way, contradictions and a way of hardly any condition speak against it.
+    """
+    uses = conditions.groupBy("leaf", "feature").agg(F.count("*").alias("n"))
+    ways = uses.groupBy("leaf").agg(F.sum("n").alias("steps"), F.count("*").alias("features"), F.max("n").alias("most"))
+    leaves = conditions.groupBy("leaf").agg(F.max("prediction").alias("prediction"), F.max("samples").alias("samples"))
+    bounds = tightest_bounds(conditions, encoding)
+    leading = F.col("feature").isin(list(top_features)[:TOP_FEATURES])
+    tidy = bounds.groupBy("leaf").agg(F.count("*").alias("left"), F.count_distinct(F.when(leading, F.col("feature"))).alias("leading"))
+    wrong = contradictions(bounds).select("leaf").distinct().withColumn("wrong", F.lit(True))
+    rows = leaves.join(ways, "leaf").join(tidy, "leaf").join(wrong, "leaf", "left")
+    gain = F.least(F.col("samples") / max(total, 1), F.lit(SHARE_CAP)) * SHARE_GAIN + F.col("leading") * TOP_FEATURE_GAIN
+    loss = (F.col("steps") - F.col("features")) * REPEAT_LOSS + F.greatest(F.col("most") / F.col("steps") - FOCUS_FREE, F.lit(0.0)) \
+        + F.when(F.col("wrong"), CONTRADICTION_LOSS).otherwise(0.0) + F.when(F.col("left") < SHORT_BELOW, SHORT_LOSS).otherwise(0.0)
+    return rows.select("leaf", (F.col("prediction") * (1 if high else -1) + gain - loss).alias("region_score"))
+
+
+def extreme_leaves(conditions: DataFrame) -> DataFrame:
+    """One row: the leaves with the lowest and the highest prediction whose conditions can be met (ties
+    to the lower and the higher number) and the share of conditions that both have."""
+    usable = conditions.join(contradictions(tightest_bounds(conditions)).select("leaf").distinct(), "leaf", "left_anti")
+    ends = usable.agg(F.min(F.struct("prediction", "leaf"))["leaf"].alias("low"), F.max(F.struct("prediction", "leaf"))["leaf"].alias("high"))
+    marked = usable.join(F.broadcast(ends), F.col("leaf").isin(F.col("low"), F.col("high")))
+    shared = marked.groupBy("low", "high", "feature", "operator", "threshold").agg(F.count_distinct("leaf").alias("n"))
+    return shared.groupBy("low", "high").agg((F.count_if((F.col("n") == 2) | (F.col("low") == F.col("high"))) / F.count("*")).alias("similarity"))
 
 
 def path_costs(paths: Sequence[Path], weights: Mapping[str, float], alpha: float = 0.5) -> list[tuple[Path, float, float]]:
@@ -204,7 +213,7 @@ def path_costs(paths: Sequence[Path], weights: Mapping[str, float], alpha: float
 
 
 def path_table(spark, paths: Sequence[Path]) -> DataFrame:
-    rows = [(p.leaf, i + 1, c.feature, c.operator, float(c.threshold), p.prediction, p.samples, p.purity) for p in paths for i, c in enumerate(p.conditions)]
+    rows = [(p.leaf, i + 1, c.feature, c.operator, float(c.threshold), float(p.prediction), float(p.samples), float(p.purity)) for p in paths for i, c in enumerate(p.conditions)]
     return spark.createDataFrame(rows, "leaf int, step int, feature string, operator string, threshold double, prediction double, samples double, purity double")
 
 

@@ -268,22 +268,32 @@ def improvement_targets(line: DataFrame, goal: Goal, keys: Sequence[str] = ()) -
         F.col("_long").alias("longterm_outcome"), hold(reach(F.col("_long"))).alias("longterm_score"), change(F.col("_long")).alias("longterm_change_pct"))
 
 
-def score_on_curve(points: Sequence[tuple[float, float]], wanted: float, current: float, up: bool) -> float:
-    """Score at which a drawn curve (score, outcome) meets a wanted outcome, nearest to the current one.
-
-    ``points`` is the curve as drawn, a handful of pairs. Where several places fit, those in the
-    direction of movement are preferred.
+def curve_scores(curve: DataFrame, wanted: DataFrame, score: str = "mean_score", outcome: str = "outcome_rate") -> DataFrame:
+    """All columns of ``wanted`` plus ``score``: where a curve meets the outcome that is wanted.
+
+    ``curve`` has one row per bin, ``wanted`` one per goal with ``wanted_outcome``, ``current_score`` and
+    ``score_up``; both are bounded by their definition. Each pair of neighbouring bins is a segment,
+    and every segment that meets the outcome offers a score. Offers are ranked: scores of at least
+    zero first, then those in the direction of movement, then the nearest. If no segment meets it,
+    the bin with the nearest outcome is the only offer. The score is held within the curve.
     """
-    places = []
-    for (x1, y1), (x2, y2) in zip(points, points[1:]):
-        if (wanted - y1) * (wanted - y2) <= 0:
-            places.append((x1 + x2) / 2 if y1 == y2 else x1 + (wanted - y1) * (x2 - x1) / (y2 - y1))
-    if not places:
-        places = [min(points, key=lambda p: abs(p[1] - wanted))[0]]
-    places = [x for x in places if x >= 0] or places
-    places = [x for x in places if (x >= current if up else x <= current)] or places
-    low, high = min(x for x, _ in points), max(x for x, _ in points)
-    return round(min(max(min(places, key=lambda x: abs(x - current)), max(0.0, low)), high), 2)
+    along = Window.partitionBy(F.lit(0)).orderBy("_x1")
+    points = curve.select(F.col(score).cast("double").alias("_x1"), F.col(outcome).cast("double").alias("_y1"))
+    drawn = points.select("*", F.lead("_x1").over(along).alias("_x2"), F.lead("_y1").over(along).alias("_y2"))
+    ends = points.agg(F.min("_x1").alias("_left"), F.max("_x1").alias("_right"))
+    goals = wanted.withColumn("_goal", F.monotonically_increasing_id())
+    y = F.col("wanted_outcome")
+    pairs = goals.join(F.broadcast(with_scalars(drawn, ends)))
+    meets = F.col("_x2").isNotNull() & ((y - F.col("_y1")) * (y - F.col("_y2")) <= 0)
+    flat = F.col("_y1") == F.col("_y2")
+    on = F.when(flat, (F.col("_x1") + F.col("_x2")) / 2).otherwise(F.col("_x1") + (y - F.col("_y1")) * (F.col("_x2") - F.col("_x1")) / (F.col("_y2") - F.col("_y1")))
+    x = F.when(meets, on).otherwise(F.col("_x1"))
+    behind = F.when(F.col("score_up"), x < F.col("current_score")).otherwise(x > F.col("current_score"))
+    rank = F.struct((~meets).alias("a"), F.when(meets, 0.0).otherwise(F.abs(F.col("_y1") - y)).alias("b"), (x < 0).alias("c"), behind.alias("d"),
+                    F.abs(x - F.col("current_score")).alias("e"), x.alias("x"))
+    best = pairs.groupBy("_goal").agg(F.min(rank)["x"].alias("_x"), F.first("_left").alias("_left"), F.first("_right").alias("_right"))
+    held = F.least(F.greatest("_x", F.greatest(F.lit(0.0), "_left")), "_right")
+    return goals.join(F.broadcast(best), "_goal").select(*wanted.columns, F.round(held, 2).alias("score"))
 
 
 def split_at_mean(df: DataFrame, target: str, name: str) -> DataFrame:

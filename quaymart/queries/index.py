@@ -211,6 +211,27 @@ def d12(spark, sf):
     return out.withColumns({c: r(c, 6) for c in out.columns if c.endswith(("m_outcome", "e_outcome", "change_pct")) and c != "current_outcome"})
 
 
+@query("d12_curve_targets", with_ctes(*BASE, """
+qs AS (SELECT quantile_cont(s, [0.2, 0.4, 0.6, 0.8]) AS q FROM sc),
+bn AS (SELECT s, outcome, (s > q[1])::INTEGER + (s > q[2])::INTEGER + (s > q[3])::INTEGER + (s > q[4])::INTEGER AS bin FROM sc, qs),
+cv AS (SELECT avg(s) AS x, avg(outcome) * 100 AS y FROM bn GROUP BY bin),
+now_ AS (SELECT avg(s) AS x0, avg(outcome) * 100 AS y0 FROM sc),
+goal AS (SELECT goal, up, x0, y0 * f AS want FROM now_, (VALUES ('immediate', true, 1.1::DOUBLE), ('lower', false, 0.9::DOUBLE), ('beyond', true, 9.0::DOUBLE)) g(goal, up, f)),
+seg AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM cv a JOIN cv b ON b.x = (SELECT min(x) FROM cv c WHERE c.x > a.x)),
+met AS (SELECT goal, CASE WHEN y1 = y2 THEN (x1 + x2) / 2 ELSE x1 + (want - y1) * (x2 - x1) / (y2 - y1) END AS x FROM goal JOIN seg ON want BETWEEN least(y1, y2) AND greatest(y1, y2)),
+near_ AS (SELECT goal, x FROM goal JOIN cv ON true WHERE goal NOT IN (SELECT goal FROM met) QUALIFY row_number() OVER (PARTITION BY goal ORDER BY abs(y - want), x) = 1),
+pick AS (SELECT o.goal, o.x FROM (SELECT * FROM met UNION ALL SELECT * FROM near_) o JOIN goal g ON o.goal = g.goal
+ QUALIFY row_number() OVER (PARTITION BY o.goal ORDER BY o.x < 0, CASE WHEN up THEN o.x < x0 ELSE o.x > x0 END, abs(o.x - x0), o.x) = 1)""", """
+SELECT goal, round(want, 4) AS wanted_outcome, round(least(greatest(x, 0, (SELECT min(x) FROM cv)), (SELECT max(x) FROM cv)), 2) AS score FROM pick JOIN goal USING (goal)"""))
+def d12_curve(spark, sf):
+    scored = _scored(spark, sf)
+    curve = index_score.bin_curve(scored, "composite_index", "outcome")
+    now = scored.agg(F.avg("composite_index").alias("current_score"), (F.avg("outcome") * 100).alias("_y"))
+    goals = spark.createDataFrame([("immediate", True, 1.1), ("lower", False, 0.9), ("beyond", True, 9.0)], "goal string, score_up boolean, f double")
+    wanted = scale.with_scalars(goals, now).select("goal", "score_up", "current_score", (F.col("_y") * F.col("f")).alias("wanted_outcome"))
+    return index_score.curve_scores(curve, wanted).select("goal", r("wanted_outcome", 4).alias("wanted_outcome"), "score")
+
+
 @query("d13_split_at_mean", with_ctes(USER_DAYS, "SELECT user_pseudo_id, day, CASE WHEN spend >= (SELECT avg(spend) FROM ud) THEN 0 ELSE 1 END AS spend_class FROM ud"))
 def d13(spark, sf):
     return index_score.split_at_mean(bindings.user_days(spark, sf), "spend", "spend_class").select("user_pseudo_id", "day", "spend_class")
@@ -452,19 +473,78 @@ FIXED_PATHS = [attribution.Path(0, (attribution.Condition("views", "<=", 0.5), a
 
 
 @query("e5_region_coverage", with_ctes(USER_DAYS, "lf AS (SELECT CASE WHEN views > 0.5 THEN 2 WHEN errors > 0.5 THEN 1 ELSE 0 END AS leaf, spend FROM ud)", """
-SELECT leaf, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM ud) AS DOUBLE), 6) AS coverage, round(avg(spend), 4) AS mean_target, round(quantile_cont(spend, 0.1), 4) AS target_p10, round(quantile_cont(spend, 0.9), 4) AS target_p90 FROM lf GROUP BY 1"""))
+SELECT leaf, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM ud) AS DOUBLE), 6) AS coverage, round(sum(CAST(round(spend * 100) AS BIGINT)) / (100.0::DOUBLE * count(*)), 6) AS mean_target, round(quantile_cont(spend, 0.1), 4) AS target_p10, round(quantile_cont(spend, 0.9), 4) AS target_p90 FROM lf GROUP BY 1"""))
 def e5(spark, sf):
-    out = attribution.region_coverage(bindings.user_days(spark, sf), FIXED_PATHS, "spend")
-    return out.withColumns({"coverage": r("coverage", 6), **{c: r(c, 4) for c in ("mean_target", "target_p10", "target_p90")}})
+    # Whole cents add up exactly, so the mean does not depend on the order of the rows.
+    ud = bindings.user_days(spark, sf).withColumn("cents", r(F.col("spend") * 100).cast("bigint"))
+    out = attribution.region_coverage(ud, FIXED_PATHS, "cents")
+    return out.withColumns({"coverage": r("coverage", 6), "mean_target": r(F.col("mean_target") / 100, 6), **{c: r(F.col(c) / 100, 4) for c in ("target_p10", "target_p90")}})
+
+
+# Ways with repeated, contradicting and category conditions; thresholds are shares of what the data reach.
+WAYS_TO_LEAVES = [(0, 1, "views", "<=", 0.9), (0, 2, "views", "<=", 0.5), (0, 3, "errors", ">", 0.1), (0, 4, "errors", ">", 0.2),
+                  (1, 1, "views", ">", 0.5), (1, 2, "carts", "<=", 0.5), (1, 3, "carts", "<=", 0.25),
+                  (2, 1, "hours", ">", 0.6), (2, 2, "hours", "<=", 0.3), (3, 1, "views", ">", 0.5), (4, 1, "device_a", ">", 0.0), (4, 2, "device_b", ">", 0.0),
+                  (5, 1, "device_a", ">", 0.0), (5, 2, "device_a", "<=", 0.0), (6, 1, "device_b", "<=", 0.0), (6, 2, "views", ">", 0.1)]
+REACH = ["views", "errors", "carts", "hours"]
+DEVICES = {"device_a": "a", "device_b": "b"}
+
+
+def _ways(spark, sf):
+    """The conditions with thresholds, predictions and sample counts from the data."""
+    ud = bindings.user_days(spark, sf)
+    tops = ud.agg(*[F.max(c).alias(f"top_{c}") for c in REACH], F.count("*").alias("n"), F.sum(r(F.col("spend") * 100).cast("bigint")).alias("cents"))
+    rows = spark.createDataFrame(WAYS_TO_LEAVES, "leaf int, step int, feature string, operator string, part double")
+    top = F.coalesce(*[F.when(F.col("feature") == c, F.col(f"top_{c}")) for c in REACH], F.lit(1.0))
+    return scale.with_scalars(rows, tops).select("leaf", "step", "feature", "operator", (F.col("part") * top).alias("threshold"),
+                                                 (F.col("cents") % (F.col("leaf") + 7)).cast("double").alias("prediction"), (F.col("n") / (F.col("leaf") + 2)).alias("samples"))
+
+
+def _devices(spark):
+    return spark.createDataFrame([(f, "device", c) for f, c in DEVICES.items()], "feature string, base string, category string")
+
+
+WAYS_SQL = "tp AS (SELECT count(*) AS n, sum(CAST(round(spend * 100) AS BIGINT)) AS cents, " + ", ".join(f"max({c}) AS top_{c}" for c in REACH) + " FROM ud), wy AS (" + " UNION ALL ".join(
+    f"SELECT {leaf} AS leaf, '{f}' AS feature, '{o}' AS op, {p}::DOUBLE * {f'top_{f}' if f in REACH else '1'} AS thr, CAST(cents % {leaf + 7} AS DOUBLE) AS prediction, n / {leaf + 2}.0::DOUBLE AS samples FROM tp"
+    for leaf, _, f, o, p in WAYS_TO_LEAVES) + ")"
+TIDY_SQL = """
+tidy AS (SELECT leaf, feature, 'upto' AS side, min(thr) AS thr, NULL AS cat FROM wy WHERE op = '<=' AND feature NOT LIKE 'device%' GROUP BY 1, 2
+ UNION ALL SELECT leaf, feature, 'above', max(thr), NULL FROM wy WHERE op = '>' AND feature NOT LIKE 'device%' GROUP BY 1, 2
+ UNION SELECT leaf, 'device', CASE op WHEN '>' THEN 'is' ELSE 'not' END, NULL, right(feature, 1) FROM wy WHERE feature LIKE 'device%'),
+bad AS (SELECT l.leaf FROM tidy l JOIN tidy u ON l.leaf = u.leaf AND l.feature = u.feature AND l.side = 'above' AND u.side = 'upto' WHERE l.thr >= u.thr
+ UNION SELECT leaf FROM tidy WHERE side = 'is' GROUP BY leaf HAVING count(*) > 1
+ UNION SELECT x.leaf FROM tidy x JOIN tidy y ON x.leaf = y.leaf AND x.cat = y.cat AND x.side = 'is' AND y.side = 'not')"""
+
+
+@query("e6_path_bounds", with_ctes(USER_DAYS, WAYS_SQL, TIDY_SQL, """
+SELECT leaf, feature, CASE side WHEN 'upto' THEN '<=' WHEN 'above' THEN '>' WHEN 'is' THEN '=' ELSE '!=' END AS operator, round(thr, 6) AS threshold, cat AS category,
+ leaf IN (SELECT leaf FROM bad) AS contradicts FROM tidy"""))
+def e6_bounds(spark, sf):
+    bounds = attribution.tightest_bounds(_ways(spark, sf), _devices(spark))
+    wrong = attribution.contradictions(bounds).select("leaf").distinct().withColumn("hit", F.lit(True))
+    return bounds.join(wrong, "leaf", "left").select("leaf", "feature", "operator", r("threshold", 6).alias("threshold"), "category", F.coalesce("hit", F.lit(False)).alias("contradicts"))
+
+
+@query("e6_region_scores", with_ctes(USER_DAYS, WAYS_SQL, TIDY_SQL, """
+us AS (SELECT leaf, feature, count(*) AS k FROM wy GROUP BY 1, 2)""", """
+SELECT leaf, round(any_value(prediction) + least(any_value(samples) / (SELECT n FROM tp), 0.25) * 4
+ + 0.35 * (SELECT count(DISTINCT feature) FROM tidy t WHERE t.leaf = wy.leaf AND feature IN ('views', 'errors', 'hours'))
+ - 0.15 * (count(*) - count(DISTINCT feature)) - greatest((SELECT max(k) FROM us WHERE us.leaf = wy.leaf) / CAST(count(*) AS DOUBLE) - 0.6, 0)
+ - CASE WHEN leaf IN (SELECT leaf FROM bad) THEN 2 ELSE 0 END - CASE WHEN (SELECT count(*) FROM tidy t WHERE t.leaf = wy.leaf) < 2 THEN 0.5 ELSE 0 END, 6) AS region_score
+FROM wy GROUP BY leaf"""))
+def e6_scores(spark, sf):
+    ways = _ways(spark, sf)
+    total = bindings.user_days(spark, sf).count()
+    return attribution.region_scores(ways, total, ["views", "errors", "hours", "carts"], encoding=_devices(spark)).select("leaf", r("region_score", 6).alias("region_score"))
 
 
 @query("e6_region_choice")
 def e6(spark, sf):
     ud, paths = _tree(spark, sf)
-    low, high = attribution.extreme_paths(paths)
-    cover = attribution.region_coverage(ud, [low, high], "spend")
-    similar = attribution.path_similarity(low, high)
-    return cover.withColumns({"side": F.when(F.col("leaf") == high.leaf, "high").otherwise("low"), "similarity": F.lit(similar)})
+    ends = attribution.extreme_leaves(attribution.path_table(spark, paths))
+    cover = attribution.region_coverage(ud, paths, "spend")
+    return cover.join(F.broadcast(ends), F.col("leaf").isin(F.col("low"), F.col("high"))) \
+        .select(*cover.columns, F.when(F.col("leaf") == F.col("high"), "high").otherwise("low").alias("side"), "similarity")
 
 
 @query("e7_path_costs")

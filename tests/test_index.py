@@ -81,11 +81,10 @@ def test_pruning_and_blending():
     assert index_score.blended_weights([{"a": 1.0, "b": 0.0}, {"a": 0.5, "b": 0.0}]) == {"a": pytest.approx(0.825), "b": 0.0}
 
 
-def test_curve_lookup():
-    curve = [(10.0, 1.0), (20.0, 3.0), (30.0, 1.0)]
-    assert index_score.score_on_curve(curve, 2.0, 12.0, True) == 15.0
-    assert index_score.score_on_curve(curve, 2.0, 26.0, False) == 25.0
-    assert index_score.score_on_curve(curve, 9.0, 12.0, True) == 20.0
+def test_curve_lookup(spark):
+    curve = spark.createDataFrame([(10.0, 1.0), (20.0, 3.0), (30.0, 1.0)], "mean_score double, outcome_rate double")
+    wanted = spark.createDataFrame([("up", 2.0, 12.0, True), ("down", 2.0, 26.0, False), ("far", 9.0, 12.0, True)], "goal string, wanted_outcome double, current_score double, score_up boolean")
+    assert {r["goal"]: r["score"] for r in index_score.curve_scores(curve, wanted).collect()} == {"up": 15.0, "down": 25.0, "far": 20.0}
 
 
 def test_flat_line_and_targets(spark):
@@ -107,16 +106,19 @@ def test_threshold_is_inclusive(spark):
     assert (at["tp"], at["fp"], at["tn"], at["fn"]) == (1, 0, 1, 0)
 
 
-def test_path_rules():
+def test_path_rules(spark):
     c = attribution.Condition
-    tidy, wrong = attribution.simplified([c("a", "<=", 5.0), c("a", "<=", 3.0), c("a", ">", 1.0), c("t_x", ">", 0.5)], {"t_x": ("t", "x")})
-    assert tidy == [c("a", ">", 1.0), c("a", "<=", 3.0), c("t", "=", "x")] and not wrong
-    assert attribution.simplified([c("a", "<=", 1.0), c("a", ">", 2.0)])[1] == ["a has incompatible bounds"]
-    low = attribution.Path(0, (c("a", "<=", 1.0),), 1.0, 5)
-    high = attribution.Path(1, (c("a", ">", 1.0),), 9.0, 5)
-    assert attribution.extreme_paths([high, low]) == (low, high)
-    assert attribution.path_similarity(low, low) == 1.0 and attribution.path_similarity(low, high) == 0.0
-    assert attribution.region_score(high, 10) > attribution.region_score(low, 10)
+    ways = [attribution.Path(0, (c("a", "<=", 5.0), c("a", "<=", 3.0), c("a", ">", 1.0), c("t_x", ">", 0.5)), 3.0, 5),
+            attribution.Path(1, (c("a", "<=", 1.0), c("a", ">", 2.0)), 99.0, 5), attribution.Path(2, (c("a", "<=", 1.0),), 1.0, 5), attribution.Path(3, (c("a", ">", 1.0),), 9.0, 5)]
+    table = attribution.path_table(spark, ways)
+    codes = spark.createDataFrame([("t_x", "t", "x")], "feature string, base string, category string")
+    bounds = attribution.tightest_bounds(table, codes)
+    assert {(r["feature"], r["operator"], r["threshold"], r["category"]) for r in bounds.where("leaf = 0").collect()} == {("a", ">", 1.0, None), ("a", "<=", 3.0, None), ("t", "=", None, "x")}
+    assert [tuple(r) for r in attribution.contradictions(bounds).collect()] == [(1, "a", "empty interval")]
+    ends = attribution.extreme_leaves(table).first()
+    assert (ends["low"], ends["high"], ends["similarity"]) == (2, 3, 0.0)
+    scores = {r["leaf"]: r["region_score"] for r in attribution.region_scores(table, 10).collect()}
+    assert scores[3] > scores[2] and scores[1] == pytest.approx(99 + 1.0 - 0.15 - 0.4 - 2.0)
 
 
 def test_streams_match_batch(spark, tmp_path):
