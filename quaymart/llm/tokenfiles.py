@@ -21,6 +21,7 @@ text. A null id sorts first and is read back as null; a null text counts as empt
 
 from __future__ import annotations
 
+import os
 import struct
 import unicodedata
 import uuid
@@ -39,7 +40,7 @@ FRAME_IDS = 1 << 16
 LEVEL = 3
 SKIPPABLE, INDEX_MAGIC, SEEK_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
-WORDS_HELD = 350_000
+WORDS_HELD = 300_000
 ROWS = 384
 # Latin-1 characters by what the tokenizer's pattern sees: letters and numbers, blanks, and marks as full stops.
 MARKS = bytes(ord("a") if chr(c).isalpha() or unicodedata.category(chr(c))[0] == "N" else ord(" ") if chr(c) in " \t\n\v\f\r\x85\xa0" else ord(".") for c in range(256))
@@ -54,6 +55,8 @@ class WordIds:
     """
 
     def __init__(self, path: str):
+        # Spark deals the work to tasks; threads of the library's own would only compete with them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.held: dict[str, bytes] = {"": b""}
