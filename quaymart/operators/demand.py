@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cents, clip
+from .scale import attach_group_stats
 
 
 def daily_demand(sales: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
@@ -113,21 +114,22 @@ def vendor_profile(lines: DataFrame, keys: Sequence[str] = ("sku_id",), min_orde
         F.sum(days * F.col("orders")).alias("_s"), F.sum(days * days * F.col("orders")).alias("_ss"))
     n = F.col("_n")
     spread = F.sqrt(F.greatest(F.try_divide(F.col("_ss") - F.col("_s") * F.col("_s") / n, n - 1), F.lit(0.0)))
-    item = Window.partitionBy(*keys)
-    both = pair.select("*", spread.alias("_spread"), F.count("*").over(item).alias("vendor_count"),
-                       (F.sum("_out").over(item) / F.sum("orders").over(item)).alias("_item_rate"))
+    # An item can have very many suppliers, so its totals come back to the pairs without a window over them.
+    items = pair.groupBy(*keys).agg(F.count("*").alias("vendor_count"), (F.sum("_out") / F.sum("orders")).alias("_item_rate"), F.count("*").alias("_w"))
+    both = attach_group_stats(pair.withColumn("_volatility", spread), items, list(keys), "_w")
     own = F.col("orders") >= min_orders
-    volatility = F.when(own, F.col("_spread") / 2.0).otherwise(F.lit(1.0))
+    volatility = F.when(own, F.col("_volatility") / 2.0).otherwise(F.lit(1.0))
     stock_out = F.when(own, F.col("_out") / F.col("orders")).otherwise(F.col("_item_rate"))
     defect = F.lit(0.012) + F.lit(0.004) * F.least(volatility, F.lit(2.0)) + F.lit(0.008) * stock_out
     return both.select(*keys, "supplier_id", "orders", "vendor_count", F.round(defect, 4).alias("vendor_defect_rate"))
 
 
 def vendor_facts(lines: DataFrame, keys: Sequence[str] = ("sku_id",), candidates: DataFrame | None = None,
-                 limit: int = 5) -> DataFrame:
-    """Mean cost, lead time, reliability and margin of the candidate suppliers of each item.
+                 limit: int = 5, prices: DataFrame | None = None) -> DataFrame:
+    """Cost, lead time, reliability and margin of the candidate suppliers of each item.
 
-    Without ``candidates`` these are the ``limit`` suppliers with most orders.
+    Without ``candidates`` these are the ``limit`` suppliers with most orders. ``prices`` (keys,
+    supplier_id, predicted_price) replaces the mean cost where it has one.
     """
     pair = _counted(lines).groupBy(*keys, "supplier_id").agg(
         F.sum("orders").alias("orders"), F.sum("stock_outs").alias("_out"), F.sum("cost_sum").alias("_cost"),
@@ -140,6 +142,9 @@ def vendor_facts(lines: DataFrame, keys: Sequence[str] = ("sku_id",), candidates
         pair = pair.join(candidates.select(*keys, "supplier_id"), [*keys, "supplier_id"], "left_semi")
     n = F.col("orders")
     price = F.round(F.col("_cost").cast("decimal(28,0)") / n.cast("decimal(18,0)"), 0).cast("bigint") / 100
+    if prices is not None:
+        told = prices.select(*keys, "supplier_id", F.col("predicted_price").alias("_told"))
+        pair, price = pair.join(told, [*keys, "supplier_id"], "left"), F.coalesce("_told", price)
     return pair.select(
         *keys, "supplier_id", price.alias("predicted_price"),
         F.round(F.col("_lead") / F.col("_dated"), 2).alias("lead_time"),

@@ -4,58 +4,81 @@ as features, instead of one model per item."""
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_CATEGORIES = 1024
+from .scale import attach_group_stats
 
+HISTORY_COLUMNS = ("pair_mean", "supplier_mean", "item_mean")
 
-def _with_history(sales: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Sales rows with the mean of ``column`` of their item and supplier, and that table of means."""
-    pair = sales.groupBy("sku_id", "supplier_id").agg(F.avg(column).alias("pair_mean"), F.count("*").alias("pair_orders"))
-    return sales.join(pair, ["sku_id", "supplier_id"]), pair
+
+def _histories(sales: DataFrame, column: str) -> dict[tuple[str, ...], DataFrame]:
+    """Sum and count of the known values of ``column`` per pair, supplier and item."""
+    known = F.col(column).cast("double")
+    return {keys: sales.groupBy(*keys).agg(F.sum(known).alias("_sum"), F.count(known).alias("_count"), F.count("*").alias("_rows"))
+            for keys in (("sku_id", "supplier_id"), ("supplier_id",), ("sku_id",))}
+
+
+def _with_means(frame: DataFrame, histories: dict, overall: float, own: Column | None = None) -> DataFrame:
+    """Mean of the label per pair, supplier and item, without the row's own label where ``own`` gives it.
+
+    A history without other labels falls back to the wider one: pair to supplier, supplier and
+    item to the mean of all.
+    """
+    mine, one = (F.coalesce(own, F.lit(0.0)), own.isNotNull().cast("int")) if own is not None else (F.lit(0.0), F.lit(0))
+    out = frame
+    for name, (keys, table) in zip(HISTORY_COLUMNS, histories.items()):
+        # Rows of frequent suppliers and items are spread over tasks.
+        out = attach_group_stats(out, table.select(*keys, F.col("_sum").alias(f"_s_{name}"), F.col("_count").alias(f"_n_{name}"), "_rows"), list(keys), "_rows")
+        mean = F.try_divide(F.col(f"_s_{name}") - mine, (F.col(f"_n_{name}") - one).cast("double"))
+        out = out.withColumn(name, mean).withColumn("pair_orders" if name == "pair_mean" else f"_k_{name}", F.coalesce(F.col(f"_n_{name}"), F.lit(0)))
+    wide = F.lit(float(overall))
+    return out.withColumn("supplier_mean", F.coalesce("supplier_mean", wide)).withColumn("item_mean", F.coalesce("item_mean", wide)) \
+        .withColumn("pair_mean", F.coalesce("pair_mean", "supplier_mean"))
+
+
+def _filled(frame: DataFrame, columns: list[str]) -> DataFrame:
+    """Numbers without gaps: a missing one becomes 0 and says so in a column of its own."""
+    for c in columns:
+        frame = frame.withColumn(f"no_{c}", F.col(c).isNull().cast("double")).withColumn(c, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))
+    return frame
 
 
 def _calendar(frame: DataFrame) -> DataFrame:
     return frame.withColumn("month", F.month("date")).withColumn("weekday", F.weekday("date"))
 
 
-def _forest(features: list[str], label: str, trees: int, indexed: str | None = None) -> Pipeline:
-    stages, inputs = [], list(features)
-    if indexed:
-        stages.append(StringIndexer(inputCol=indexed, outputCol=f"{indexed}_index", handleInvalid="keep",
-                                    stringOrderType="frequencyDesc"))
-        inputs.append(f"{indexed}_index")
-    stages += [VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="skip"),
-               RandomForestRegressor(labelCol=label, numTrees=trees, maxDepth=6, seed=42, maxBins=MAX_CATEGORIES)]
-    return Pipeline(stages=stages)
+def _predictions(sales: DataFrame, label: str, features: list[str], fixed: dict[str, float], trees: int, name: str) -> DataFrame:
+    """One forest over all items and suppliers; one prediction per pair, for an order of the item's usual size.
+
+    The supplier enters by the mean label of its other rows, the same way at any number of
+    suppliers. Rows without a label are not learned from; no row is left out of the predictions.
+    """
+    value = F.col(label).cast("double")
+    overall = sales.agg(F.avg(value).alias("m")).first()["m"]
+    pairs = sales.where(F.col("sku_id").isNotNull() & F.col("supplier_id").isNotNull()).groupBy("sku_id", "supplier_id").agg(F.count("*").alias("_w"))
+    if overall is None:
+        return pairs.select("sku_id", "supplier_id", F.lit(None).cast("double").alias(name))
+    histories = _histories(sales, label)
+    inputs = [*features, "month", "weekday"]
+    columns = [*inputs, *[f"no_{c}" for c in inputs], *HISTORY_COLUMNS, "pair_orders"]
+    train = _with_means(_calendar(sales).where(value.isNotNull()).withColumn("_label", value), histories, overall, F.col("_label"))
+    model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_features"),
+                             RandomForestRegressor(labelCol="_label", featuresCol="_features", predictionCol="_p", numTrees=trees, maxDepth=6, seed=42)]).fit(_filled(train, inputs))
+    usual = sales.groupBy("sku_id").agg(F.avg("units_sold").alias("units_sold"))
+    ask = pairs.join(usual, "sku_id").withColumns({c: F.lit(v) for c, v in fixed.items()})
+    ask = _filled(_with_means(ask, histories, overall), inputs)
+    return model.transform(ask).select("sku_id", "supplier_id", F.round("_p", 2).alias(name))
 
 
 def lead_time_predictions(sales: DataFrame, month: int = 7, weekday: int = 0, trees: int = 60) -> DataFrame:
     """Expected lead time per item and supplier for a non-promoted order of the item's usual size."""
-    rows, pair = _with_history(sales, "lead_time_days")
-    train = _calendar(rows).withColumn("label", F.col("lead_time_days").cast("double"))
-    features = ["promo_flag", "discount_pct", "units_sold", "month", "weekday", "pair_mean", "pair_orders"]
-    model = _forest(features, "label", trees).fit(train)
-    usual = sales.groupBy("sku_id").agg(F.avg("units_sold").alias("units_sold"))
-    ask = pair.join(usual, "sku_id").select(
-        "*", F.lit(0).alias("promo_flag"), F.lit(0.0).alias("discount_pct"), F.lit(month).alias("month"), F.lit(weekday).alias("weekday"))
-    return model.transform(ask).select("sku_id", "supplier_id", F.round("prediction", 2).alias("predicted_lead_time"))
+    return _predictions(sales, "lead_time_days", ["promo_flag", "discount_pct", "units_sold"],
+                        {"promo_flag": 0, "discount_pct": 0.0, "month": month, "weekday": weekday}, trees, "predicted_lead_time")
 
 
 def unit_cost_predictions(sales: DataFrame, month: int = 9, weekday: int = 5, trees: int = 50) -> DataFrame:
-    """Expected unit cost per item and supplier for an order of the item's usual size.
-
-    The supplier enters as an unordered category while there are few of them; beyond that its own
-    mean cost stands for it.
-    """
-    rows, pair = _with_history(sales.withColumn("purchase_cost", F.col("purchase_cost").cast("double")), "purchase_cost")
-    train = _calendar(rows).withColumn("label", F.col("purchase_cost")).withColumn("supplier", F.col("supplier_id").cast("string"))
-    few = sales.agg(F.approx_count_distinct("supplier_id").alias("n")).first()["n"] < MAX_CATEGORIES // 2
-    model = _forest(["units_sold", "month", "weekday", "pair_mean"], "label", trees, "supplier" if few else None).fit(train)
-    usual = sales.groupBy("sku_id").agg(F.avg("units_sold").alias("units_sold"))
-    ask = pair.join(usual, "sku_id").select("*", F.lit(month).alias("month"), F.lit(weekday).alias("weekday"),
-                                            F.col("supplier_id").cast("string").alias("supplier"))
-    return model.transform(ask).select("sku_id", "supplier_id", F.round("prediction", 2).alias("predicted_price"))
+    """Expected unit cost per item and supplier for an order of the item's usual size."""
+    return _predictions(sales, "purchase_cost", ["units_sold"], {"month": month, "weekday": weekday}, trees, "predicted_price")

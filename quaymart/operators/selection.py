@@ -9,30 +9,22 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-NARROW = 24
+SPREAD_NOISE = 1e-12   # spread relative to the size of the values below which a column counts as constant
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise Pearson correlations in long form (left before right in the given order).
 
-    Rows where either value is missing are left out per pair. Few columns are one aggregate of
-    built-in expressions; many columns are partial product sums per partition, added up by pair.
+    Rows where either value is missing are left out per pair. One pass finds the means, a second
+    one adds up the products of centred values per partition, whatever the number of columns; the
+    sums are added by pair. A pair with a constant column, within rounding, has no correlation.
     """
     columns = list(columns)
-    if len(columns) <= NARROW:
-        cells = [F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.lit(i).alias("i"), F.lit(j).alias("j"),
-                          F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("corr"))
-                 for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
-        if not cells:
-            return df.sparkSession.createDataFrame([], "left string, right string, i int, j int, corr double")
-        return df.agg(F.array(*cells).alias("_c")).select(F.inline("_c")).withColumn("corr", F.nanvl("corr", F.lit(None).cast("double")))
-    return _wide_correlations(df, columns)
-
-
-def _wide_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    centre = numbers.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    middle = np.array([centre[c] or 0.0 for c in columns])
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "left string, right string, i int, j int, corr double")
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
+    centre = numbers.agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in numbers.columns]).first()
+    middle = np.array([x or 0.0 for x in centre])
     upper = np.triu_indices(len(columns), 1)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,9 +46,11 @@ def _wide_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
     vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
     vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+    noise = F.array(*[F.lit(float((SPREAD_NOISE * x) ** 2)) for x in middle])
+    varied = (vx > noise[F.col("i")] * F.col("n")) & (vy > noise[F.col("j")] * F.col("n"))
     names = F.array(*map(F.lit, columns))
     return s.select(names[F.col("i")].alias("left"), names[F.col("j")].alias("right"), "i", "j",
-                    F.when((vx > 1e-12) & (vy > 1e-12), cov / F.sqrt(vx * vy)).alias("corr"))
+                    F.when(varied, cov / (F.sqrt(vx) * F.sqrt(vy))).alias("corr"))
 
 
 def target_correlations(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:

@@ -420,6 +420,15 @@ def k11(spark, sf):
         "order_validation_flag", "order_quantity", "total_order_cost")
 
 
+@query("k11_learned_execution")
+def k11_learned(spark, sf):
+    from ..plans.order_execution import learned_execution
+
+    return learned_execution(bindings.brand_sales(spark, sf), bindings.brand_inventory(spark, sf), as_of="2026-01-05", lines=bindings.brand_lines(spark, sf)).select(
+        "sku_id", "lead_time_days", "global_plan_demand_quantity", "safety_stock", "reorder_point", "quality_adjusted_nrq",
+        "order_validation_flag", "order_quantity", "total_order_cost")
+
+
 @query("k12_lead_time_model")
 def k12(spark, sf):
     from ..operators.predictors import lead_time_predictions

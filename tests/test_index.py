@@ -2,10 +2,11 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaymart.operators import attribution, evaluation, index_score, labels
+from quaymart.operators import attribution, evaluation, index_score, labels, selection
 from quaymart.plans import contracts
 from quaymart.sources import bindings
 from quaymart.streaming import rollups
@@ -132,3 +133,14 @@ def test_streams_match_batch(spark, tmp_path):
         closed = spark.table(name)
         # What the watermark has closed equals the batch result; the last windows are still open.
         assert closed.count() > 0 and closed.exceptAll(plan(events)).count() == 0
+
+
+def test_correlations_do_not_depend_on_the_number_of_columns(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=200)
+    data = {"a": 1 + base * 1e-9, "b": base + rng.normal(size=200), "same": np.full(200, 0.1)} | {f"x{i}": rng.normal(size=200) for i in range(30)}
+    wide = spark.createDataFrame([tuple(float(v[i]) for v in data.values()) for i in range(200)], ", ".join(f"{c} double" for c in data))
+    few = {(r["left"], r["right"]): r["corr"] for r in selection.correlation_pairs(wide, ["a", "b", "same"]).collect()}
+    many = {(r["left"], r["right"]): r["corr"] for r in selection.correlation_pairs(wide, list(data)).collect()}
+    assert few[("a", "b")] == pytest.approx(np.corrcoef(data["a"], data["b"])[0, 1], abs=1e-5) and few[("a", "same")] is None
+    assert all(many[k] == pytest.approx(v) for k, v in few.items() if v is not None) and many[("b", "same")] is None

@@ -126,3 +126,23 @@ def test_accuracy_edges(spark):
     pairs = spark.createDataFrame([("m", 0.0, 1.0), ("m", 10.0, 8.0), ("m", None, 3.0)], "model string, y double, yhat double")
     row = forecasting.accuracy(pairs, ["model"]).first()
     assert (row["n_days"], row["mae"], row["mape_percent"], row["wmape_percent"], row["bias"]) == (2, 1.5, 20.0, 30.0, -0.5)
+
+
+def test_predictions_cover_every_pair(spark):
+    from quaymart.operators.predictors import lead_time_predictions, unit_cost_predictions
+
+    day = "2024-01-0"
+    rows = [("a", "s1", f"{day}{i % 9 + 1}", float(4 + i % 3), 10.0, 5, 0, 0.0) for i in range(30)] + [("a", "s2", f"{day}1", None, None, 5, 0, None), ("b", "s2", f"{day}2", 9.0, 20.0, None, None, 0.1)]
+    sales = spark.createDataFrame(rows, "sku_id string, supplier_id string, date string, lead_time_days double, purchase_cost double, units_sold int, promo_flag int, discount_pct double") \
+        .withColumn("date", F.col("date").cast("date"))
+    days = {(r["sku_id"], r["supplier_id"]): r["predicted_lead_time"] for r in lead_time_predictions(sales).collect()}
+    cost = {(r["sku_id"], r["supplier_id"]): r["predicted_price"] for r in unit_cost_predictions(sales).collect()}
+    assert set(days) == set(cost) == {("a", "s1"), ("a", "s2"), ("b", "s2")}
+    assert all(4 <= x <= 9 for x in days.values()) and all(10 <= x <= 20 for x in cost.values())
+
+
+def test_learned_run_uses_the_models(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["k11_learned_execution"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(1 <= r["lead_time_days"] <= 14 for r in rows)
