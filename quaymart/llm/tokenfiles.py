@@ -40,7 +40,7 @@ FRAME_IDS = 1 << 16
 LEVEL = 3
 SKIPPABLE, INDEX_MAGIC, SEEK_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
-WORDS_HELD = 300_000
+WORDS_HELD = 500_000
 ROWS = 384
 # Latin-1 characters by what the tokenizer's pattern sees: letters and numbers, blanks, and marks as full stops.
 MARKS = bytes(ord("a") if chr(c).isalpha() or unicodedata.category(chr(c))[0] == "N" else ord(" ") if chr(c) in " \t\n\v\f\r\x85\xa0" else ord(".") for c in range(256))
