@@ -261,6 +261,9 @@ def _across(open_: DataFrame) -> DataFrame:
     if bounded:
         common = F.least(F.col("wx") - F.col("px"), F.col("wy") - F.col("py"))
         condition = condition & (common >= SIMILARITY * (F.col("wx") + F.col("wy") - common) - 1e-6)
+    # A pair that shares several bands is made in the first of them alone.
+    earlier = F.zip_with(F.slice("bandsx", 1, F.col("ix")), F.slice("bandsy", 1, F.col("ix")), lambda a, b: a == b)
+    condition = condition & ~F.exists(earlier, lambda same: same)
     return side("x").join(side("y").withColumnRenamed("band", "band_y"), (F.col("band") == F.col("band_y")) & condition) \
         .select(F.least("uidx", "uidy").alias("a"), F.greatest("uidx", "uidy").alias("b"))
 
@@ -286,7 +289,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     order = F.struct(F.col("k").isNull().alias("n"), F.col("k").alias("k"))
     units = stored(signed.groupBy("uid").agg(F.min(F.struct(order.alias("id"), "bands")).alias("x")).select("uid", "x.id", "x.bands"))
 
-    members = units.select("uid", "id", F.explode("bands").alias("band"))
+    members = units.select("uid", "id", F.posexplode("bands").alias("i", "band"))
     buckets = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     inside = stored(members.join(buckets, "band"))
     met = inside.join(inside.groupBy("uid").agg(F.sum("n").alias("met")), "uid")
@@ -300,9 +303,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     edges = _verified(stars, texts, shipped)
 
     found = components(edges)
-    placed = inside.join(found.withColumnRenamed("node", "uid"), "uid", "left").select("band", "uid", "n", F.coalesce("component", "uid").alias("c"))
+    placed = inside.join(found.withColumnRenamed("node", "uid"), "uid", "left").select("band", "i", "uid", "n", F.coalesce("component", "uid").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("band")
-    open_ = stored(placed.join(mixed, "band"))
+    open_ = stored(placed.join(mixed, "band").join(units.select("uid", "bands"), "uid"))
     across = _across(open_.where(F.col("n") <= SMALL_BUCKET)).unionAll(_across(_weighed(open_.where(F.col("n") > SMALL_BUCKET), texts, shipped)))
     more = _verified(across.distinct().join(stars, ["a", "b"], "left_anti"), texts, shipped)
     if more.limit(1).count():
