@@ -2,27 +2,24 @@
 
 * ``attach_group_stats`` brings per-key results back to rows without a row-level window: the few
   heavy keys (their number is bounded by ``1 / heavy_share``) are broadcast, the others are joined.
-* ``prefix_sums`` is a running total over a global or per-key order. Rows are cut into ordered
-  buckets, bucket totals are summed first, and only rows of one bucket meet in one task.
+* ``prefix_sums`` is a running total over a global or per-key order. Rows are dealt to ranges of the
+  real values, range totals are summed first, and only rows of one range meet in one task.
 * ``exact_quantiles`` finds interpolated quantiles from a sketch that only narrows the search;
   exact counts decide.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable, shared
+from ..session import shared, written
 
 HEAVY_SHARE = 0.001
 SPREAD = 1024
 SMALL_GROUP = 20_000
-CROWD = 1_000_000
 
 
 def one_row(df: DataFrame, *aggregates: Column) -> DataFrame:
@@ -72,100 +69,31 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], wei
     return out.select(*df.columns, *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_l_{c}")).alias(c) for c in added])
 
 
-def _orderable(df: DataFrame, column: str) -> tuple[Column, bool]:
-    """Numeric image of an order column and whether equal images mean equal values."""
-    kind = dict(df.dtypes)[column]
-    if kind == "date":
-        return F.unix_date(F.col(column)).cast("double"), True
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(column).cast("timestamp")).cast("double"), True
-    if kind == "string":
-        # The first six bytes keep the byte order of the text.
-        head = F.substring(F.rpad(F.hex(F.encode(F.substring(column, 1, 6), "utf-8")), 12, "0"), 1, 12)
-        return F.conv(head, 16, 10).cast("double"), False
-    return F.col(column).cast("double"), not kind.startswith("decimal")
-
-
-def with_ordered_buckets(df: DataFrame, order: Sequence[str], buckets: int = 1024) -> tuple[DataFrame, list[str]]:
-    """Add bucket columns that follow the ascending order of ``order``.
-
-    A value that is itself a cut point and so may be very frequent gets a bucket of its own,
-    which the next order column divides further. Where every order column has values that fill
-    more than a bucket, very many rows may be equal in all of them; such rows are spread by task,
-    and because that spread must not change between two readings, the rows are checkpointed.
-    NULLs come first, as in an ascending sort.
-    """
-    images, names = {}, []
-    out = df
-    for i, column in enumerate(order):
-        image, exact = _orderable(df, column)
-        images[column] = (f"_x{i}", exact)
-        out = out.withColumn(f"_x{i}", image)
-    probs = [j / buckets for j in range(1, buckets)]
-    cuts_row = out.agg(*[F.percentile_approx(images[c][0], probs, 10 * buckets).alias(c) for c in order],
-                       *[F.count_if(F.col(images[c][0]).isNull()).alias(f"_null_{c}") for c in order], F.count("*").alias("_rows")).first()
-    alone: Column = F.lit(True)
-    crowded = cuts_row["_rows"] > CROWD
-    for i, column in enumerate(order):
-        image, exact = images[column]
-        drawn = cuts_row[column] or []
-        cuts = sorted(c for c in set(drawn) if math.isfinite(c))
-        crowded = crowded and (len(cuts) < len(drawn) or cuts_row[f"_null_{column}"] * buckets > cuts_row["_rows"])
-        if cuts_row["_rows"] <= CROWD:
-            # A small table needs few buckets.
-            cuts = cuts[:: max(1, len(cuts) // 64)]
-        name = f"_b{i}"
-        if cuts:
-            splitter = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=image, outputCol=f"_raw{i}",
-                                  handleInvalid="keep")
-            out = splitter.transform(out)
-            # Buckets are [cut, next cut); the cut itself is split off in front of its bucket.
-            points = F.from_json(F.lit(str(cuts)), "array<double>")
-            edge = F.get(points, F.col(f"_raw{i}").cast("int") - 1)
-            at_cut = F.coalesce(edge == F.col(image), F.lit(False))
-            place = F.col(f"_raw{i}") * 2 + F.when(at_cut, 0).otherwise(1)
-            place = F.when(F.col(image).isNull(), F.lit(-1.0)).otherwise(place)
-            # Beyond 2^53 different whole numbers may share an image.
-            single = at_cut & F.lit(exact) & (F.abs(F.col(image)) < 2.0 ** 53)
-            out = out.withColumn(name, F.when(alone, place).otherwise(F.lit(0.0)))
-            out = out.withColumn(f"_s{i}", alone & (F.coalesce(single, F.lit(False)) | F.col(image).isNull()))
-        else:
-            out = out.withColumn(name, F.lit(0.0)).withColumn(f"_s{i}", alone & F.col(image).isNull())
-        alone = F.col(f"_s{i}")
-        names.append(name)
-    if not crowded:
-        return out.select(*df.columns, *names), names
-    out = out.withColumn("_b_same", F.when(alone, F.spark_partition_id()).otherwise(F.lit(0)))
-    names.append("_b_same")
-    return durable(out.select(*df.columns, *names)), names
-
-
-def prefix_sums(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = (),
-                buckets: int = 1024) -> DataFrame:
-    """Running totals (current row included) of ``sums`` in ascending ``order`` within ``by``.
-
-    ``order`` should identify rows; rows equal in all of it are taken in any sequence.
+def prefix_sums(df: DataFrame, order: Sequence[str], sums: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """Running totals (current row included) of ``sums`` in ascending ``order`` within ``by``, NULLs first.
+
+    Rows equal in all of ``order`` are taken in any sequence. Spark cuts the rows into ranges of the
+    real values of ``by`` and ``order``; a row number settles ties, so rows that are equal in all of
+    them still spread over ranges. Every range is summed by itself, and the totals of earlier ranges,
+    one row per range and key, are added. The dealt rows are written once, because both readings
+    must see the same ranges.
     """
     by = list(by)
-    measured = df
-    for name, expression in sums.items():
-        measured = measured.withColumn(f"_m_{name}", expression)
-    cut, names = with_ordered_buckets(measured, order, buckets)
-    totals = cut.groupBy(*by, *names).agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in sums])
-    # One row per key and bucket: bounded by the number of buckets, not by the data.
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(c).alias(f"_o_{c}") for c in [*by, *names]],
+    measured = df.withColumns({f"_m_{name}": expression for name, expression in sums.items()}).withColumn("_tie", F.monotonically_increasing_id())
+    ascending = [F.col(c).asc_nulls_first() for c in [*by, *order]]
+    dealt = written(measured.repartitionByRange(*ascending, F.col("_tie")).withColumn("_part", F.spark_partition_id()))
+    totals = dealt.groupBy(*by, "_part").agg(*[F.sum(f"_m_{n}").alias(f"_t_{n}") for n in sums])
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(c).alias(f"_o_{c}") for c in [*by, "_part"]],
                             *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_p_{n}") for n in sums])
-    joined = cut.join(offsets, [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in [*by, *names]], "inner")
-    inside = (Window.partitionBy(*by, *names).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-              .rowsBetween(Window.unboundedPreceding, 0))
+    joined = dealt.join(offsets if by else F.broadcast(offsets), [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in [*by, "_part"]])
+    inside = Window.partitionBy(*by, "_part").orderBy(*[F.col(c).asc_nulls_first() for c in order], "_tie").rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(*df.columns, *[(F.col(f"_p_{n}") + F.sum(f"_m_{n}").over(inside)).alias(n) for n in sums])
 
 
-def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "row_no",
-             buckets: int = 1024) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "row_no") -> DataFrame:
     """Dense 1-based row number in ascending ``order`` within ``by``."""
-    out = prefix_sums(df, order, {name: F.lit(1).cast("bigint")}, by, buckets)
+    out = prefix_sums(df, order, {name: F.lit(1).cast("bigint")}, by)
     return out.withColumn(name, F.col(name).cast("bigint"))
 
 

@@ -54,6 +54,13 @@ def durable(df):
     return df.checkpoint(eager=True)
 
 
+def written(df):
+    """``df`` as a table in the shared folder, read back: computed once and safe from lost executors."""
+    folder = scratch_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 def shared(df):
     """Keep a compact intermediate that several branches of one plan read.
 

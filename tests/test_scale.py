@@ -55,37 +55,59 @@ def test_column_quantiles(skewed):
 
 
 def test_row_numbers_are_dense_and_ordered(skewed):
-    out = scale.numbered(skewed, ["v", "id"], buckets=16).toPandas().sort_values("row_no")
+    out = scale.numbered(skewed, ["v", "id"]).toPandas().sort_values("row_no")
     assert out["row_no"].tolist() == list(range(1, 60_001))
     want = skewed.toPandas().sort_values(["v", "id"])
     assert out["id"].tolist() == want["id"].tolist()
 
 
 def test_row_numbers_per_key(skewed):
-    out = scale.numbered(skewed, ["v", "id"], by=["k"], buckets=8).toPandas()
+    out = scale.numbered(skewed, ["v", "id"], by=["k"]).toPandas()
     want = skewed.toPandas().sort_values(["k", "v", "id"])
     want["row_no"] = want.groupby("k").cumcount() + 1
     both = out.merge(want, on="id")
     assert len(both) == 60_000 and (both["row_no_x"] == both["row_no_y"]).all()
 
 
-@pytest.mark.parametrize("crowd", [0, 1_000_000])
-def test_identical_rows_get_different_numbers(spark, monkeypatch, crowd):
-    monkeypatch.setattr(scale, "CROWD", crowd)
-    same = spark.range(5000, numPartitions=5).select(F.lit(1.0).alias("v"))
-    cut, names = scale.with_ordered_buckets(same, ["v"])
-    assert cut.select(*names).distinct().count() == (5 if crowd == 0 else 1)
-    assert sorted(r[0] for r in scale.numbered(same, ["v"]).select("row_no").collect()) == list(range(1, 5001))
+def _largest_range(spark, monkeypatch, rows, order):
+    """Share of the rows in the largest range, with 8 ranges."""
+    seen = []
+    plain = scale.written
+    monkeypatch.setattr(scale, "written", lambda df: seen.append(plain(df)) or seen[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbers = sorted(r[0] for r in scale.numbered(rows, order).select("row_no").collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert numbers == list(range(1, len(numbers) + 1))
+    return seen[0].groupBy("_part").count().agg(F.max("count")).first()[0] / len(numbers)
+
+
+def test_equal_rows_spread_over_ranges(spark, monkeypatch):
+    same = spark.range(8000, numPartitions=5).select(F.lit(1.0).alias("v"))
+    assert _largest_range(spark, monkeypatch, same, ["v"]) < 0.3
+
+
+def test_texts_with_a_common_beginning_spread_over_ranges(spark, monkeypatch):
+    names = spark.range(8000, numPartitions=5).select(F.format_string("Customer#%09d", F.col("id")).alias("t"))
+    assert _largest_range(spark, monkeypatch, names, ["t"]) < 0.3
+
+
+def test_coarse_columns_spread_over_ranges(spark, monkeypatch):
+    coarse = spark.range(8000, numPartitions=5).select((F.col("id") % 3).alias("a"), (F.col("id") % 5).alias("b"), (F.col("id") % 2).alias("c"))
+    assert _largest_range(spark, monkeypatch, coarse, ["a", "b", "c"]) < 0.3
 
 
 def test_numbers_over_text_and_nulls(spark):
     rows = [(None,), ("b",), ("abcdefgh",), ("abcdefgz",), ("",), ("é",), ("z",)]
-    out = scale.numbered(spark.createDataFrame(rows, "t string"), ["t"], buckets=3).orderBy("row_no").collect()
+    out = scale.numbered(spark.createDataFrame(rows, "t string"), ["t"]).orderBy("row_no").collect()
     assert [r["t"] for r in out] == [None, "", "abcdefgh", "abcdefgz", "b", "z", "é"]
 
 
 def test_prefix_sums(skewed):
-    run = scale.prefix_sums(skewed, ["v", "id"], {"run": F.col("k")}, buckets=16).toPandas().sort_values(["v", "id"])
+    run = scale.prefix_sums(skewed, ["v", "id"], {"run": F.col("k")}).toPandas().sort_values(["v", "id"])
     assert run["run"].tolist() == run["k"].cumsum().tolist()
 
 
