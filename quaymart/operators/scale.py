@@ -19,7 +19,8 @@ from ..session import shared, written
 
 HEAVY_SHARE = 0.001
 SPREAD = 1024
-SMALL_GROUP = 20_000
+SMALL_GROUP = 20_000   # up to here neighbouring ranks may lie outside the sketch's bracket, so all values are kept
+SLOTS = 1024
 
 
 def one_row(df: DataFrame, *aggregates: Column) -> DataFrame:
@@ -153,10 +154,19 @@ def exact_quantiles(df: DataFrame, column: str, probs: Mapping[str, float], by:
     kept = F.col("_n") <= SMALL_GROUP
     for low, high in sides.values():
         kept = kept | ((v >= cut(low)) & (v <= cut(high)))
-    folded = placed.groupBy(*by, zone.alias("_z"), F.when(kept, v).alias("_v")).agg(F.count("*").alias("_k"))
+    # Kept values of a zone are spread over SLOTS slots of equal width, so that no task has to order a
+    # whole zone. Values that are not kept lie below a kept one, which can only be the zone's upper cut.
+    placed = placed.withColumn("_z", zone)
+    low_cut, high_cut = F.get("_c", F.col("_z") - 1), F.get("_c", F.col("_z"))
+    slot = F.coalesce(F.floor(F.try_divide(v - low_cut, high_cut - low_cut) * SLOTS), F.lit(0))
+    folded = placed.groupBy(*by, "_z", F.when(kept, slot).otherwise(-1).alias("_s"), F.when(kept, v).alias("_v")).agg(F.count("*").alias("_k"))
+    # At most SLOTS rows per group and zone.
     group = Window.partitionBy(*(by or [F.lit(0)]))
-    # Folded values of a zone lie below a kept one, which can only be the zone's upper cut.
-    run = folded.select(*by, "_v", F.sum("_k").over(group.orderBy("_z", F.asc_nulls_first("_v"))).alias("_upto"), F.sum("_k").over(group).alias("_n"))
+    slots = folded.groupBy(*by, "_z", "_s").agg(F.sum("_k").alias("_t"))
+    slots = slots.select(*[F.col(c).alias(f"_o{c}") for c in [*by, "_z", "_s"]],
+                         (F.sum("_t").over(group.orderBy("_z", "_s")) - F.col("_t")).alias("_before"), F.sum("_t").over(group).alias("_n"))
+    inside = folded.join(slots, [F.col(c).eqNullSafe(F.col(f"_o{c}")) for c in [*by, "_z", "_s"]])
+    run = inside.select(*by, "_v", (F.col("_before") + F.sum("_k").over(Window.partitionBy(*by, "_z", "_s").orderBy(F.asc_nulls_first("_v")))).alias("_upto"), "_n")
     spot = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in probs.items()}
     entry = F.struct("_upto", "_v")
     found = run.groupBy(*by).agg(F.max("_n").alias("_n"), *[

@@ -24,6 +24,15 @@ def test_global_quantiles(skewed):
         assert got[name] == pytest.approx(np.quantile(pdf["v"], p), abs=1e-9)
 
 
+@pytest.mark.parametrize("kept", [0, 20_000, 10**9])
+def test_quantiles_do_not_depend_on_what_is_kept(spark, monkeypatch, kept):
+    monkeypatch.setattr(scale, "SMALL_GROUP", kept)
+    values = np.concatenate([np.random.default_rng(1).lognormal(0, 3, 70_000), np.full(30_000, 7.0)])
+    frame = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = scale.exact_quantiles(frame, "v", {"a": 0.001, "b": 0.5, "c": 0.9, "d": 0.9999}).first()
+    assert list(got) == pytest.approx(list(np.quantile(values, [0.001, 0.5, 0.9, 0.9999])), rel=1e-12)
+
+
 def test_grouped_quantiles_with_a_heavy_group(skewed, monkeypatch):
     monkeypatch.setattr(scale, "SMALL_GROUP", 500)
     pdf = skewed.toPandas()
