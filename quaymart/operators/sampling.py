@@ -3,11 +3,13 @@ so a lost task recomputes the same choice."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .scale import attach_group_stats, numbered, with_scalars
 
 
@@ -60,38 +62,56 @@ def undersampled(df: DataFrame, target: str, keys: Sequence[str], ratio: int = 4
     return rest.unionByName(kept.select(*df.columns))
 
 
-def smote(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[str], minority, target_share: float = 0.1,
-          neighbours: int = 5, seed: int = 42) -> DataFrame:
-    """Add synthetic minority rows on the lines between minority rows and near minority rows until
-    they make up ``target_share`` of all rows. An opt-in; nothing else in the library calls it.
+TABLES, BLOCK = 4, 64
+
+
+def near_rows(points: DataFrame, features: Sequence[str], k: int, rows: int, seed: int = 42) -> DataFrame:
+    """``_place``, ``_peer``, ``_nth`` and ``_found``: up to ``k`` nearest of the rows that share a block.
 
-    Neighbours come from random-projection buckets: rows that share a bucket in the hash order are
-    compared only with the next few rows of that order, so the work per row is bounded.
+    ``points`` has a unique ``_place`` and the features as doubles. Rows are ordered along ``TABLES`` random
+    directions and cut into blocks of ``BLOCK`` to twice as many rows; the tables cut at different
+    places. Within blocks real distances decide, so the work per row is bounded at any size.
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
-    from pyspark.ml.functions import vector_to_array
+    spread = points.agg(*[F.stddev_pop(f).alias(f) for f in features]).first()
+    cells = None
+    for t in range(TABLES):
+        weights = [(zlib.crc32(f"{seed} {t} {f}".encode()) / 2 ** 31 - 1.0) / (spread[f] or 1.0) for f in features]
+        along = points.select("_place", sum((F.col(f) * w for f, w in zip(features, weights)), F.lit(0.0)).alias("_v"))
+        blocks = max(1, rows // (BLOCK + 16 * t))
+        cell = numbered(along, ["_v", "_place"], name="_at").select(F.lit(t).alias("_t"), F.floor((F.col("_at") - 1) * blocks / rows).alias("_b"), "_place")
+        cells = cell if cells is None else cells.unionAll(cell)
+    cells = written(cells)
+    pairs = cells.join(cells.withColumnRenamed("_place", "_peer"), ["_t", "_b"]).where("_place != _peer").select("_place", "_peer").distinct()
+    peers = points.select(F.col("_place").alias("_peer"), *[F.col(f).alias(f"_p_{f}") for f in features])
+    gap = sum(((F.col(f) - F.col(f"_p_{f}")) * (F.col(f) - F.col(f"_p_{f}")) for f in features), F.lit(0.0))
+    measured = pairs.join(points, "_place").join(peers, "_peer").select("_place", "_peer", gap.alias("_d"))
+    own = Window.partitionBy("_place")
+    near = measured.withColumn("_nth", F.row_number().over(own.orderBy("_d", "_peer"))).where(F.col("_nth") <= k)
+    return near.withColumn("_found", F.count("*").over(own)).select("_place", "_peer", "_nth", "_found")
 
+
+def smote(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[str], minority, target_share: float = 0.1,
+          neighbours: int = 5, seed: int = 42) -> DataFrame:
+    """Add synthetic minority rows on the lines between minority rows and one of their nearest
+    minority rows until they make up ``target_share`` of all rows. An opt-in; nothing else in the
+    library calls it. Nearest is decided by real distance among the rows of ``near_rows``.
+    """
     small = df.where(F.col(target) == F.lit(minority))
     sizes = df.agg(F.count("*").alias("all"), F.count_if(F.col(target) == F.lit(minority)).alias("few")).first()
     missing = int(target_share * (sizes["all"] - sizes["few"]) / (1 - target_share)) - sizes["few"]
     if missing <= 0 or sizes["few"] < 2:
         return df
-    packed = VectorAssembler(inputCols=list(features), outputCol="_vec").transform(small)
-    spread = small.agg(*[F.stddev_pop(F.col(f).cast("double")).alias(f) for f in features]).first()
-    width = max(1e-6, sum((spread[f] or 0.0) for f in features) / len(features))
-    hasher = BucketedRandomProjectionLSH(inputCol="_vec", outputCol="_hash", bucketLength=width, numHashTables=1, seed=seed).fit(packed)
-    placed = hasher.transform(packed).withColumn("_bucket", vector_to_array(F.col("_hash")[0])[0])
-    ranked = numbered(placed, ["_bucket", *keys], name="_place").select(*keys, *features, "_place")
-    k = min(neighbours, sizes["few"] - 1)
+    ticketed = small.withColumn("_ticket", _ticket(keys, seed))
+    points = numbered(ticketed, ["_ticket", *keys], name="_place").select("_place", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
+    points = written(points)
+    near = near_rows(points, features, min(neighbours, sizes["few"] - 1), sizes["few"], seed)
     copies, more = divmod(missing, sizes["few"])
     wanted = F.lit(copies) + (F.col("_place") <= more).cast("int")
-    seeds = ranked.where(wanted > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), wanted)))
+    seeds = points.where(wanted > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), wanted)))
     draw = lambda salt: F.pmod(F.xxhash64(F.lit(seed + salt), F.col("_place"), F.col("_copy")), F.lit(1_000_003))
-    step = (F.pmod(draw(1), F.lit(k)) + 1).cast("bigint")
-    seeds = seeds.withColumn("_peer", F.pmod(F.col("_place") + step - 1, F.lit(sizes["few"])) + 1).withColumn("_part", draw(2) / F.lit(1_000_003.0))
-    peers = ranked.select(F.col("_place").alias("_peer"), *[F.col(f).alias(f"_p_{f}") for f in features])
-    lines = seeds.join(peers, "_peer")
-    made = lines.select(*[(F.col(f).cast("double") + (F.col(f"_p_{f}") - F.col(f)) * F.col("_part")).alias(f) for f in features],
+    peers = points.select(F.col("_place").alias("_peer"), *[F.col(f).alias(f"_p_{f}") for f in features])
+    lines = seeds.join(near, "_place").where(F.col("_nth") == F.pmod(draw(1), F.col("_found")) + 1).withColumn("_part", draw(2) / F.lit(1_000_003.0)).join(peers, "_peer")
+    made = lines.select(*[(F.col(f) + (F.col(f"_p_{f}") - F.col(f)) * F.col("_part")).alias(f) for f in features],
                         F.lit(minority).cast(dict(df.dtypes)[target]).alias(target), F.lit(1).alias("is_synthetic"))
     original = df.withColumns({f: F.col(f).cast("double") for f in features}).withColumn("is_synthetic", F.lit(0))
     return original.unionByName(made, allowMissingColumns=True)

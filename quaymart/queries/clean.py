@@ -193,20 +193,20 @@ def p7(spark, sf):
 
 @query("j1_outer_merge", """
 SELECT coalesce(a.k, b.k) AS k, a.spend, a.note, b.lines, b.note AS note_dup FROM (SELECT o_custkey AS k, CAST(count(*) AS BIGINT) AS spend, 'orders' AS note FROM orders GROUP BY 1) a
-FULL JOIN (SELECT c_custkey AS k, c_acctbal AS lines, c_mktsegment AS note FROM customer WHERE c_acctbal > 0) b ON a.k = b.k""")
+FULL JOIN (SELECT c_custkey AS k, c_acctbal AS lines, c_mktsegment AS note FROM customer) b ON a.k = b.k""")
 def j1(spark, sf):
     a = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("spend")).withColumn("note", F.lit("orders"))
-    b = table(spark, sf, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("lines"), F.col("c_mktsegment").alias("note"))
+    b = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("lines"), F.col("c_mktsegment").alias("note"))
     return joins.merged([a, b], ["k", "unknown"])
 
 
 @query("j2_baseline_merge", """
-SELECT coalesce(b.k, u.k) AS k, coalesce(u.seg, b.seg) AS seg, b.bal, u.nation FROM (SELECT c_custkey AS k, c_mktsegment AS seg, c_acctbal AS bal FROM customer WHERE c_acctbal < 6000) b
-FULL JOIN (SELECT c_custkey AS k, CASE WHEN c_acctbal < 0 THEN NULL ELSE lower(c_mktsegment) END AS seg, c_nationkey AS nation FROM customer WHERE c_nationkey < 15) u ON b.k = u.k""")
+SELECT coalesce(b.k, u.k) AS k, coalesce(u.seg, b.seg) AS seg, b.bal, u.nation FROM (SELECT c_custkey AS k, c_mktsegment AS seg, c_acctbal AS bal FROM customer) b
+FULL JOIN (SELECT s_suppkey * 2 AS k, CASE WHEN s_acctbal < 0 THEN NULL ELSE lower(s_name) END AS seg, s_nationkey AS nation FROM supplier) u ON b.k = u.k""")
 def j2(spark, sf):
-    c = table(spark, sf, "customer")
-    base = c.where("c_acctbal < 6000").select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"), F.col("c_acctbal").alias("bal"))
-    up = c.where("c_nationkey < 15").select(F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") >= 0, F.lower("c_mktsegment")).alias("seg"), F.col("c_nationkey").alias("nation"))
+    c, s = table(spark, sf, "customer"), table(spark, sf, "supplier")
+    base = c.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("seg"), F.col("c_acctbal").alias("bal"))
+    up = s.select((F.col("s_suppkey") * 2).alias("k"), F.when(F.col("s_acctbal") >= 0, F.lower("s_name")).alias("seg"), F.col("s_nationkey").alias("nation"))
     return joins.merged_over_baseline(base, up, ["k"])
 
 

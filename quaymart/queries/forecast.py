@@ -207,21 +207,21 @@ ix AS (SELECT sku_id, CAST(y AS DOUBLE) AS y, row_number() OVER (PARTITION BY sk
 mn AS (SELECT sku_id, avg(y) AS m, count(*) AS n FROM ix GROUP BY 1),
 dv AS (SELECT ix.sku_id, i, n, y - m AS d FROM ix JOIN mn USING (sku_id)),
 pw AS (SELECT sku_id, sum(d * d) AS p FROM dv GROUP BY 1),
-acf AS (SELECT a.sku_id, CAST(b.i - a.i AS INTEGER) AS lag, sum(a.d * b.d) / max(p) AS acf FROM dv a JOIN dv b ON a.sku_id = b.sku_id AND b.i - a.i BETWEEN 1 AND 60
+acf AS (SELECT a.sku_id, CAST(b.i - a.i AS INTEGER) AS lag, sum(a.d * b.d) / max(p) AS acf FROM dv a JOIN dv b ON a.sku_id = b.sku_id AND b.i - a.i BETWEEN 1 AND 365
         AND b.i - a.i <= a.n // 2 JOIN pw ON pw.sku_id = a.sku_id GROUP BY 1, 2)"""
 
 
 @query("w7_autocorrelation", with_ctes(SALES, BRAND_DAILY, ACF, "SELECT sku_id, lag, round(acf, 6) AS acf FROM acf"))
 def w7(spark, sf):
-    return rounded(forecasting.autocorrelations(_brand_daily(spark, sf), 60), 6, "acf")
+    return rounded(forecasting.autocorrelations(_brand_daily(spark, sf), 365), 6, "acf")
 
 
 @query("w7_seasonality_lag", with_ctes(SALES, BRAND_DAILY, ACF, """
-SELECT sku_id, CAST(arg_max(lag, row(round(acf, 9), -lag)) FILTER (acf > 0.02 AND lag >= 2) AS DOUBLE) AS season_lag,
-       max(CASE WHEN acf > 0.02 AND lag >= 2 THEN 1 ELSE 0 END) AS seasonal FROM acf GROUP BY 1"""))
+SELECT sku_id, CAST(arg_max(lag, row(round(acf, 9), -lag)) FILTER (acf > 0.3 AND lag >= 2) AS DOUBLE) AS season_lag,
+       max(CASE WHEN acf > 0.3 AND lag >= 2 THEN 1 ELSE 0 END) AS seasonal FROM acf GROUP BY 1"""))
 def w7b(spark, sf):
-    acf = rounded(forecasting.autocorrelations(_brand_daily(spark, sf), 60), 9, "acf")
-    return forecasting.seasonality(acf, threshold=0.02)
+    acf = rounded(forecasting.autocorrelations(_brand_daily(spark, sf), 365), 9, "acf")
+    return forecasting.seasonality(acf, threshold=0.3)
 
 
 @query("j5_actual_forecast_join", with_ctes(SALES, BRAND_DAILY, BASELINE, """

@@ -97,10 +97,10 @@ def b6(spark, sf):
 
 
 @query("j7_panel_inventory", with_ctes(EVENTS, DAYS, """
-iv AS (SELECT CAST(p_partkey % 100 AS VARCHAR) AS item_id, CAST(sum(p_size * 10) AS BIGINT) AS stock_units, round(avg(p_retailprice), 4) AS unit_cost, max(p_size) AS lead_time_days FROM part WHERE p_brand = 'Brand#1' GROUP BY 1)""", """
+iv AS (SELECT CAST(p_partkey % 100 AS VARCHAR) AS item_id, CAST(sum(p_size * 10) AS BIGINT) AS stock_units, round(avg(p_retailprice), 4) AS unit_cost, max(p_size) AS lead_time_days FROM part GROUP BY 1)""", """
 SELECT dy.item_id, dy.day, CAST(stock_units AS DOUBLE) AS stock_units, unit_cost, CASE WHEN iv.item_id IS NULL THEN 0 ELSE 1 END AS erp_inventory_available FROM dy LEFT JOIN iv ON iv.item_id = dy.item_id"""))
 def j7(spark, sf):
-    out = labels.with_inventory(labels.item_days(item_rows(spark, sf)), bindings.item_inventory(spark, sf, "Brand#1"))
+    out = labels.with_inventory(labels.item_days(item_rows(spark, sf)), bindings.item_inventory(spark, sf))
     return out.select("item_id", "day", F.col("stock_units").cast("double").alias("stock_units"), "unit_cost", "erp_inventory_available")
 
 

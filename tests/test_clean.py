@@ -195,3 +195,10 @@ def test_master_set_drops_and_scales(spark):
     assert "leak" not in result.frame.columns and "gone" not in result.frame.columns
     assert "a" in result.frame.columns and "a2" not in result.frame.columns
     assert result.frame.agg(F.max("master_id")).first()[0] == result.frame.count()
+
+
+def test_synthetic_rows_do_not_bridge_far_groups(spark):
+    rows = [(i, float(i % 7) / 10, float(i % 5) / 10, 1) for i in range(150)] + [(1000 + i, 50 + float(i % 7) / 10, 80 + float(i % 5) / 10, 1) for i in range(150)]
+    rows += [(5000 + i, 20.0, 20.0, 0) for i in range(4000)]
+    made = sampling.smote(spark.createDataFrame(rows, "id int, a double, b double, y int"), "y", ["a", "b"], ["id"], 1, target_share=0.2).where("is_synthetic = 1").toPandas()
+    assert len(made) == 700 and ((made["a"] < 1) & (made["b"] < 1) | (made["a"] > 49) & (made["b"] > 79)).all()
