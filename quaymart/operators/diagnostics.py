@@ -17,6 +17,7 @@ def cadence(daily: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
                                      F.count_distinct("ds").alias("active_days"))
     calendar = F.datediff("last_day", "first_day") + 1
     active = F.col("active_days")
+    # The texts of this rating and the bounds between them.
     label = (F.when((calendar > 1) & (active / calendar > 0.65), "Daily Intervals")
              .when((active > 4) & (active / F.greatest(F.lit(1.0), calendar / 7) > 0.5), "Weekly Cadence")
              .otherwise("Irregular / Batch Cadence"))
@@ -32,6 +33,7 @@ def linear_trend(daily: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFra
                                   F.var_pop("y").alias("_var")).where("_n >= 4")
     pace = F.when(F.col("_mean") > 0, F.col("_slope") * F.col("_n") / F.col("_mean") * 100).otherwise(F.lit(0.0))
     r2 = F.when(F.col("_var") > 0, F.greatest(F.coalesce(F.col("_r2"), F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0))
+    # The texts of this rating and the bounds between them.
     label = (F.when((pace > 15) & (r2 >= 0.2), "Strong Upward Growth").when(pace > 5, "Moderate Upward Pace")
              .when((pace < -15) & (r2 >= 0.2), "Steep Downward Contraction").when(pace < -5, "Moderate Downward Pace")
              .otherwise("Stable / Stationary Demand"))
@@ -85,6 +87,7 @@ def demand_class(daily: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFra
     adi = F.col("_n") / F.greatest(F.col("_k"), F.lit(1))
     ratio = F.try_divide(F.col("_s"), F.col("_m"))
     cv2 = F.coalesce(ratio * ratio, F.lit(0.0))
+    # The texts of this rating and the bounds between them.
     label = (F.when((adi < 1.32) & (cv2 < 0.49), "Smooth").when((adi >= 1.32) & (cv2 < 0.49), "Intermittent")
              .when((adi < 1.32) & (cv2 >= 0.49), "Erratic").otherwise("Lumpy"))
     return agg.select(*keys, F.round(adi, 2).alias("adi"), F.round(cv2, 3).alias("cv2"), label.alias("demand_class"))
@@ -107,6 +110,7 @@ def inventory_exposure(sales: DataFrame, daily: DataFrame, keys: Sequence[str] =
     rate = F.when(mean > 0, mean).when(F.col("mean_stock") > 0, F.col("mean_stock") / 30.0).otherwise(F.lit(1.0))
     supply = F.col("current_stock") / F.greatest(F.lit(1.0), rate)
     share = F.col("stockout_rows") / F.col("_rows") * 100
+    # The texts of this rating and the bounds between them.
     rating = (F.when((supply < 7) | (share > 8), "Critical Stockout Exposure (Underbuffered)")
               .when(supply > 60, "Excess Working Capital Locked (Overbuffered)").otherwise("Balanced S&OP Inventory Health"))
     return both.select(
@@ -136,6 +140,7 @@ def supplier_concentration(sales: DataFrame, keys: Sequence[str] = ()) -> DataFr
     top = F.col("_top") / F.col("_all") * 100
     hhi = F.round(F.col("_sq") / (F.col("_all").cast("double") * F.col("_all")) * 10000).cast("bigint")
     n = F.col("active_suppliers")
+    # The texts of this rating and the bounds between them.
     rating = (F.when((n >= 3) & (top <= 50), "Resilient Multi-Vendor Ecosystem")
               .when((n >= 2) & (top <= 80), "Moderate Vendor Concentration").otherwise("High Single-Source Vulnerability"))
     return agg.select(*keys, "active_suppliers", F.round(top, 1).alias("top_supplier_share_pct"), hhi.alias("hhi_index"),
@@ -150,6 +155,7 @@ def cost_and_margin(sales: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         (F.sum(cents("list_price")) / F.count("*") / 100).alias("_price"),
         (F.sum((cents("list_price") * F.col("units_sold")).cast("decimal(18,0)")).cast("double") / 100).alias("_revenue"))
     margin = F.when(F.col("_price") > 0, (F.col("_price") - F.col("mean_cost")) / F.col("_price") * 100)
+    # The texts of this rating and the bounds between them.
     rating = (F.when(margin > 40, "Robust Enterprise Margin Cushion").when(margin > 20, "Healthy Operational Margin")
               .otherwise("Compressed Margin"))
     return agg.select(*keys, "min_cost", "mean_cost", "max_cost",

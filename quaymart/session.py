@@ -33,12 +33,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """A fresh folder in the shared space the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset, as in local tests, a temporary folder."""
+    """A folder, not yet made, in the shared space the cluster names in ``spark.checkpoint.dir``.
+
+    Only a session on one machine may do without that setting and gets a temporary folder; on a
+    cluster every executor would write to a disk of its own, so that is an error.
+    """
     shared_space = spark.conf.get("spark.checkpoint.dir", None)
     if shared_space:
         return f"{shared_space.rstrip('/')}/quaymart-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{tempfile.mkdtemp(prefix='run-', dir=os.environ.get('TMPDIR', '/tmp'))}/data"
 
 
 def durable(df):

@@ -137,3 +137,16 @@ def test_no_row_level_shuffle_of_the_heavy_keys(skewed):
     stats = skewed.groupBy("k").agg(F.count("*").alias("w"), F.max("v").alias("m"))
     plan = scale.attach_group_stats(skewed, stats, ["k"], "w", heavy_share=0.05)._jdf.queryExecution().optimizedPlan().toString()
     assert "_spread" in plan
+
+
+def test_scratch_folder_needs_a_shared_place_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from quaymart.session import scratch_folder
+
+    unset = SimpleNamespace(get=lambda key, default: None)
+    assert scratch_folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="local[4]"))).endswith("/data")
+    with pytest.raises(ValueError):
+        scratch_folder(SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    named = SimpleNamespace(get=lambda key, default: "hdfs://x/shared/")
+    assert scratch_folder(SimpleNamespace(conf=named, sparkContext=None)).startswith("hdfs://x/shared/quaymart-")
