@@ -21,7 +21,7 @@ from quaymart.llm import decontaminate, language, lines, nearcopies, pieces
 from quaymart.llm.queries import PIECES, PIECES_END, documents
 from quaymart.llm.stores import stored
 
-LEAST_SCORE = 0.3   # of the best language; chance is one divided by the number of languages
+LEAST_LIFT = 1.1   # of the best language's probability over chance, which is one divided by the number of languages
 
 ORACLE_SQL = None   # a trained network, sampling and merges are beyond SQL; tests/llm has brute force
 
@@ -29,7 +29,8 @@ ORACLE_SQL = None   # a trained network, sampling and merges are beyond SQL; tes
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = language.train(docs.select("text", "lang"), F.lit(True))
     told = language.identify(docs, net)
-    kept = told.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("lang_score") >= LEAST_SCORE))
+    least = LEAST_LIFT / len(net.labels) if len(net.labels) > 1 else 0.0
+    kept = told.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("lang_score") >= least))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
