@@ -237,17 +237,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, shipped) -> DataFrame:
 
 def _weighed(open_: DataFrame, texts: DataFrame, shipped) -> DataFrame:
     """``open_`` with the weight of each text and that of its shingles that no other text there has."""
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingles with the number of texts of the slice that hold them: what texts share is one row."""
         for whole in batches:
             for batch in slices(whole):
                 h, counts, offsets = bags(*shingled(batch.column(1)))
-                owner = pa.array(np.repeat(np.arange(len(batch)), np.diff(offsets)))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(0).take(owner), pa.array(counts * shipped.value.weights(h))], ["s", "u", "w"])
+                owner = np.repeat(np.arange(len(batch)), np.diff(offsets))
+                different, first, holders = np.unique(h, return_index=True, return_counts=True)
+                w = counts[first] * shipped.value.weights(different)
+                yield pa.RecordBatch.from_arrays([pa.array(different.view(np.int64)), pa.array(holders), batch.column(0).take(pa.array(owner[first])), pa.array(w)], ["s", "n", "u", "w"])
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                h, counts, offsets = bags(*shingled(batch.column(1)))
+                total = np.bincount(np.repeat(np.arange(len(batch)), np.diff(offsets)), counts * shipped.value.weights(h), len(batch))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total)], ["u", "w"])
 
     some = texts.join(open_.select("uid").distinct(), "uid").select(F.xxhash64("uid").alias("u"), "text")
-    parts = some.mapInArrow(exploded, "s long, u long, w double")
-    whole = parts.groupBy("u").agg(F.sum("w").alias("w"))
-    own = parts.groupBy("s").agg(F.count("*").alias("n"), F.max("u").alias("u"), F.max("w").alias("w")).where("n = 1").groupBy("u").agg(F.sum("w").alias("p"))
+    whole = some.mapInArrow(weighed, "u long, w double")
+    own = some.mapInArrow(counted, "s long, n long, u long, w double").groupBy("s").agg(F.sum("n").alias("n"), F.max("u").alias("u"), F.max("w").alias("w")) \
+        .where("n = 1").groupBy("u").agg(F.sum("w").alias("p"))
     known = stored(whole.join(own, "u", "left").select("u", "w", F.coalesce("p", F.lit(0.0)).alias("p")))
     # A text whose own shingles leave too little can be near no other one.
     return open_.withColumn("u", F.xxhash64("uid")).join(known.where(F.col("w") - F.col("p") >= SIMILARITY * F.col("w") - 1e-6), "u").drop("u")
