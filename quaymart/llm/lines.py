@@ -1,16 +1,15 @@
 """Line dedup by pairwise alignment.
 
-Documents that overlap are found through shared rare lines, a pair of an earlier and a later
-document is aligned line by line with patience diff, and the lines of aligned blocks are deleted
-from the later one. Earlier means a smaller id.
+Documents that overlap are found through shared lines, a pair of an earlier and a later document is
+aligned line by line with patience diff, and the lines of aligned blocks are deleted from the later
+one. Earlier means a smaller id.
 
 * Exact copies of a text are found by its hash; the first keeps its lines, the others lose them.
 * Every line that several different texts hold is credited to its first holder, and each other
-  text is paired with that holder: as many pairs at most as lines, however many texts share one.
-* A pair is aligned if its shared lines are rare enough together: a line that n of N texts hold
-  counts log(N / n), and a pair needs ``EVIDENCE``, about one line that a thousandth of the texts
-  hold, or as much as one line that ``RARE`` texts hold where that is less. A pair that shares
-  half of the different lines of the later text is aligned in any case.
+  text is aligned with that holder: as many pairs at most as lines, however many texts share one.
+  Holders that many texts point to are dealt out in slots of about ``SLOT`` texts.
+* One kind of pair is left alone: a lone line that more than half of all texts hold (``MOST``), all
+  that a text shares with the line's first holder, and less than half of its different lines.
 * A line is deleted only where an earlier text holds it, and the first holder of a line never
   loses it, so no line disappears from the corpus.
 
@@ -22,7 +21,6 @@ surrounding blanks. Texts with one id are ordered by their hash.
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
@@ -32,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .stores import free_names, stored, text_key
 
-EVIDENCE, RARE, HALF = 6.9, 16, 0.5
+MOST, HALF, SLOT = 0.5, 0.5, 2000
 BLANK = None
 
 
@@ -132,17 +130,19 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     texts = stored(hashed.groupBy("uid").agg(F.min(F.struct("id", "lines")).alias("first"), F.count("*").alias("n"))
                    .select("uid", F.col("first.id").alias("id"), F.col("first.lines").alias("lines"), "n"))
     total = texts.count()
-    need = max(0.0, min(EVIDENCE, math.log(max(total, 1) / RARE)))
 
     different = F.filter(F.array_distinct("lines"), lambda x: x.isNotNull())
     held = texts.select("uid", "id", F.size(different).alias("n_different"), F.explode(different).alias("line"))
     lines = held.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("id", "uid")).alias("holder")).where("n > 1")
     shared = held.join(lines, "line").where(F.col("holder.uid") != F.col("uid")) \
-        .select(F.col("holder.uid").alias("earlier"), "uid", "n_different", F.log(F.lit(float(max(total, 1))) / F.col("n")).alias("rarity"))
-    pairs = shared.groupBy("earlier", "uid", "n_different").agg(F.sum("rarity").alias("evidence"), F.count("*").alias("n")) \
-        .where((F.col("evidence") >= need) | (F.col("n") >= HALF * F.col("n_different"))).select("earlier", "uid")
+        .select(F.col("holder.uid").alias("earlier"), "uid", "n_different", F.col("n").alias("texts"))
+    met = shared.groupBy("earlier", "uid", "n_different").agg(F.max("texts").alias("texts"), F.count("*").alias("n")) \
+        .where((F.col("n") > 1) | (F.col("texts") <= MOST * total) | (F.col("n") >= HALF * F.col("n_different")))
+    slots = F.ceil(F.col("texts") / SLOT)
+    pairs = stored(met.select("earlier", "uid", F.struct(slots.alias("of"), F.pmod(F.xxhash64("uid"), slots).alias("nth")).alias("slot")))
+    firsts = pairs.select("earlier", "slot").distinct().join(texts.select(F.col("uid").alias("earlier"), F.col("lines").alias("a")), "earlier")
     later = pairs.join(texts.select("uid", F.col("lines").alias("b")), "uid")
-    both = later.join(texts.select(F.col("uid").alias("earlier"), F.col("lines").alias("a")), "earlier").select("uid", "a", "b")
+    both = later.join(firsts, ["earlier", "slot"]).select("uid", "a", "b")
     blocks = both.mapInArrow(_blocks_of_pairs, "uid binary, a long, b long")
     cut = blocks.groupBy("uid").agg(F.collect_set(F.struct("a", "b")).alias("cut"))
     copied = texts.where((F.col("n") > 1) & F.exists("lines", lambda x: x.isNotNull())).select("uid", F.col("id").alias("keeper"))

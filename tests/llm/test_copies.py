@@ -220,6 +220,29 @@ def test_rare_blocks_go_and_frequent_lines_stay(spark):
     assert out[1003].text is None and out[1003].n_lines == 0 and out[1004].n_removed == 0
 
 
+def test_lines_that_many_texts_share_go(spark):
+    """Against all pairs of texts: lines keep their order and occur once a text, so that no alignment can cross."""
+    rng = random.Random(4)
+    docs = {}
+    for i in range(300):
+        own = [(rng.randrange(1000), f"own line {i} {k}") for k in range(6)]
+        common = [(100 * k, f"line {k} that a third of the texts hold") for k in range(3) if rng.random() < 0.33]
+        block = [(500 + k / 10, f"line {k} of a block that a third of the texts hold") for k in range(4)] * (rng.random() < 0.33)
+        docs[i] = [x for _, x in sorted(own + common + block)]
+    ids = sorted(docs)
+    want = {d: {docs[d][j] for e in ids if e < d and set(docs[e]) & set(docs[d]) for a, b in lines.common_blocks(docs[e], docs[d]) for j in range(a, b)} for d in ids}
+    rows = lines.line_dedup(spark.createDataFrame([(k, "\n".join(v)) for k, v in docs.items()], "doc_id long, text string")).collect()
+    assert sum(map(len, want.values())) > 400
+    assert {r.doc_id: set(docs[r.doc_id]) - set(r.text.split("\n")) for r in rows} == want
+
+
+def test_holder_of_many_texts_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SLOT", 7)
+    docs = [(i, f"own {i}\nshared one\nother {i}\nshared two\nlast {i}") for i in range(50)] + [(100 + i, f"any {i}\nshared one\nmore {i}") for i in range(20)]
+    rows = {r.doc_id: r for r in lines.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert rows[0].n_removed == 0 and all(rows[i].n_removed == 2 for i in range(1, 50))
+
+
 def brute_leaks(docs, items, similarity=0.8):
     out = {}
     bytes_of = lambda s: sum(len(w.encode()) for w in s)
