@@ -3,7 +3,6 @@ so a lost task recomputes the same choice."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -62,31 +61,53 @@ def undersampled(df: DataFrame, target: str, keys: Sequence[str], ratio: int = 4
     return rest.unionByName(kept.select(*df.columns))
 
 
-TABLES, BLOCK = 4, 64
+BLOCK, BITS = 64, 8
 
 
-def near_rows(points: DataFrame, features: Sequence[str], k: int, rows: int, seed: int = 42) -> DataFrame:
-    """``_place``, ``_peer``, ``_nth`` and ``_found``: up to ``k`` nearest of the rows that share a block.
+def _gap(low, high, features: Sequence[str]):
+    """Squared distance of two boxes; ``low`` and ``high`` give the bounds of a feature on either side."""
+    apart = lambda f: F.greatest(low(0, f) - high(1, f), low(1, f) - high(0, f), F.lit(0.0))
+    return sum((apart(f) * apart(f) for f in features), F.lit(0.0))
 
-    ``points`` has a unique ``_place`` and the features as doubles. Rows are ordered along ``TABLES`` random
-    directions and cut into blocks of ``BLOCK`` to twice as many rows; the tables cut at different
-    places. Within blocks real distances decide, so the work per row is bounded at any size.
+
+def near_rows(points: DataFrame, features: Sequence[str], k: int, rows: int) -> DataFrame:
+    """``_place``, ``_peer``, ``_nth`` and ``_found``: the ``k`` nearest other rows; equal distances go by ``_peer``.
+
+    ``points`` has a unique ``_place`` and the features as doubles. Rows are ordered by the interleaved
+    bits of their quantile bins and cut into blocks of ``BLOCK`` to twice as many rows, so equal rows
+    spread over blocks too. The k-th distance within the own block bounds the search: every block whose
+    bounding box is not farther away is searched, so no nearest row is missed. The fewer features, the
+    fewer blocks that are; with many features a row may have to be compared with most blocks.
     """
-    spread = points.agg(*[F.stddev_pop(f).alias(f) for f in features]).first()
-    cells = None
-    for t in range(TABLES):
-        weights = [(zlib.crc32(f"{seed} {t} {f}".encode()) / 2 ** 31 - 1.0) / (spread[f] or 1.0) for f in features]
-        along = points.select("_place", sum((F.col(f) * w for f, w in zip(features, weights)), F.lit(0.0)).alias("_v"))
-        blocks = max(1, rows // (BLOCK + 16 * t))
-        cell = numbered(along, ["_v", "_place"], name="_at").select(F.lit(t).alias("_t"), F.floor((F.col("_at") - 1) * blocks / rows).alias("_b"), "_place")
-        cells = cell if cells is None else cells.unionAll(cell)
-    cells = written(cells)
-    pairs = cells.join(cells.withColumnRenamed("_place", "_peer"), ["_t", "_b"]).where("_place != _peer").select("_place", "_peer").distinct()
-    peers = points.select(F.col("_place").alias("_peer"), *[F.col(f).alias(f"_p_{f}") for f in features])
+    bits = max(1, min(BITS, 60 // len(features)))
+    cuts = points.agg(*[F.percentile_approx(f, [i / 2 ** bits for i in range(1, 2 ** bits)], 10_000).alias(f) for f in features]).first()
+    passed = lambda f: F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts[f] or [0.0])))), lambda c: c <= F.col(f)))
+    code = F.lit(0).cast("bigint")
+    for bit in reversed(range(bits)):
+        for f in features[:60 // bits]:
+            code = F.shiftleft(code, 1).bitwiseOR(F.shiftright(F.col(f"_n_{f}"), bit).bitwiseAND(F.lit(1)).cast("bigint"))
+    binned = points.select("*", *[passed(f).alias(f"_n_{f}") for f in features]).select(*points.columns, code.cast("double").alias("_code"))
+    blocks = max(1, rows // max(BLOCK, k + 1))
+    placed = numbered(binned, ["_code", features[0], "_place"], name="_at")
+    cells = written(placed.select("_place", *features, F.floor((F.col("_at") - 1) * blocks / rows).alias("_b")))
+
+    peers = cells.select(F.col("_b").alias("_pb"), F.col("_place").alias("_peer"), *[F.col(f).alias(f"_p_{f}") for f in features])
     gap = sum(((F.col(f) - F.col(f"_p_{f}")) * (F.col(f) - F.col(f"_p_{f}")) for f in features), F.lit(0.0))
-    measured = pairs.join(points, "_place").join(peers, "_peer").select("_place", "_peer", gap.alias("_d"))
     own = Window.partitionBy("_place")
-    near = measured.withColumn("_nth", F.row_number().over(own.orderBy("_d", "_peer"))).where(F.col("_nth") <= k)
+    nth = F.row_number().over(own.orderBy("_d", "_peer"))
+    inside = cells.join(peers, (F.col("_b") == F.col("_pb")) & (F.col("_place") != F.col("_peer"))).select("_place", "_peer", gap.alias("_d"))
+    inside = written(inside.withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth"))
+    reach = cells.join(inside.groupBy("_place").agg(F.max("_d").alias("_reach")), "_place")
+    # A bound that is no number is left out: such a row is at no distance from any other.
+    box = written(reach.groupBy("_b").agg(F.max("_reach").alias("_far"), *[F.min(f).alias(f"_l_{f}") for f in features],
+                                          *[F.max(F.when(~F.isnan(f), F.col(f))).alias(f"_h_{f}") for f in features]))
+    other = box.select(F.col("_b").alias("_pb"), *[F.col(f"_{x}_{f}").alias(f"_p{x}_{f}") for f in features for x in "lh"])
+    side = lambda x: lambda i, f: F.col(f"_p{x}_{f}" if i else f"_{x}_{f}")
+    asked = box.join(other, (F.col("_b") != F.col("_pb")) & (_gap(side("l"), side("h"), features) <= F.col("_far"))).select("_b", *other.columns)
+    point = lambda x: lambda i, f: F.col(f"_p{x}_{f}" if i else f)
+    near_blocks = reach.join(asked, "_b").where(_gap(point("l"), point("h"), features) <= F.col("_reach")).select("_place", *features, "_reach", "_pb")
+    outside = near_blocks.join(peers, "_pb").where(gap <= F.col("_reach")).select("_place", "_peer", gap.alias("_d"))
+    near = inside.unionAll(outside).withColumn("_nth", nth).where(F.col("_nth") <= k)
     return near.withColumn("_found", F.count("*").over(own)).select("_place", "_peer", "_nth", "_found")
 
 
@@ -94,7 +115,7 @@ def smote(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
           neighbours: int = 5, seed: int = 42) -> DataFrame:
     """Add synthetic minority rows on the lines between minority rows and one of their nearest
     minority rows until they make up ``target_share`` of all rows. An opt-in; nothing else in the
-    library calls it. Nearest is decided by real distance among the rows of ``near_rows``.
+    library calls it. Nearest is exact, see ``near_rows``.
     """
     small = df.where(F.col(target) == F.lit(minority))
     sizes = df.agg(F.count("*").alias("all"), F.count_if(F.col(target) == F.lit(minority)).alias("few")).first()
@@ -104,7 +125,7 @@ def smote(df: DataFrame, target: str, features: Sequence[str], keys: Sequence[st
     ticketed = small.withColumn("_ticket", _ticket(keys, seed))
     points = numbered(ticketed, ["_ticket", *keys], name="_place").select("_place", *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
     points = written(points)
-    near = near_rows(points, features, min(neighbours, sizes["few"] - 1), sizes["few"], seed)
+    near = near_rows(points, features, min(neighbours, sizes["few"] - 1), sizes["few"])
     copies, more = divmod(missing, sizes["few"])
     wanted = F.lit(copies) + (F.col("_place") <= more).cast("int")
     seeds = points.where(wanted > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), wanted)))

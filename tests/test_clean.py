@@ -202,3 +202,21 @@ def test_synthetic_rows_do_not_bridge_far_groups(spark):
     rows += [(5000 + i, 20.0, 20.0, 0) for i in range(4000)]
     made = sampling.smote(spark.createDataFrame(rows, "id int, a double, b double, y int"), "y", ["a", "b"], ["id"], 1, target_share=0.2).where("is_synthetic = 1").toPandas()
     assert len(made) == 700 and ((made["a"] < 1) & (made["b"] < 1) | (made["a"] > 49) & (made["b"] > 79)).all()
+
+
+@pytest.mark.parametrize("dimensions", [1, 4])
+def test_nearest_rows_are_those_of_brute_force(spark, dimensions):
+    rng = np.random.default_rng(dimensions)
+    x = rng.random((1500, dimensions)) ** 2
+    x[:200] = x[0]
+    x[200:500] = np.round(x[200:500], 1)
+    names = [f"f{i}" for i in range(dimensions)]
+    points = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "_place long, " + ", ".join(f"{n} double" for n in names))
+    found = sampling.near_rows(points, names, 5, len(x)).toPandas()
+    away = ((x[:, None] - x[None]) ** 2).sum(2)
+    np.fill_diagonal(away, np.inf)
+    want = np.sort(away, axis=1)[:, :5]
+    assert len(found) == 5 * len(x) and (found["_found"] == 5).all() and not found.duplicated(["_place", "_peer"]).any()
+    got = np.full(want.shape, np.nan)
+    got[found["_place"], found["_nth"] - 1] = away[found["_place"], found["_peer"]]
+    assert np.allclose(got, want, rtol=1e-12, atol=0)
