@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_folder
 
+HOT_SHARE = 10_000   # a key with at least this part of the rows is hot, so there are at most as many hot keys
+
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: computed once, and no executor's loss costs it."""
@@ -29,3 +31,23 @@ def free_names(taken: list[str], *wanted: str) -> list[str]:
         lower.add(name.lower())
         out.append(name)
     return out
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``facts``, which has one row a key, or nulls: a left join without hot tasks.
+
+    Facts of hot keys, at most ``HOT_SHARE`` rows, go out by broadcast; rows that found theirs so, and rows without a key,
+    are spread over the tasks of the join with the other facts. ``rows`` is read twice, so it should be stored.
+    """
+    others = [c for c in facts.columns if c != key]
+    n, hot, cold, spread = free_names([*rows.columns, *facts.columns], "_n", "_hot", "_cold", "_spread")
+    counted = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias(n))
+    used = stored(facts.join(counted, key))
+    total = used.agg(F.sum(n)).first()[0] or 0
+    few = used.where(F.col(n) * HOT_SHARE >= total).select(key, F.struct(*others).alias(hot))
+    rest = used.where(F.col(n) * HOT_SHARE < total).select(key, F.lit(0).cast("bigint").alias(spread), F.struct(*others).alias(cold))
+    looks = F.col(hot).isNull() & F.col(key).isNotNull()
+    held = rows.join(F.broadcast(few), key, "left") \
+        .withColumn(spread, F.when(looks, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(HOT_SHARE))))
+    both = held.join(rest, [key, spread], "left")
+    return both.select(*rows.columns, *[F.coalesce(F.col(hot)[c], F.col(cold)[c]).alias(c) for c in others])
