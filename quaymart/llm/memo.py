@@ -1,4 +1,4 @@
-"""A bounded memo for results of repeated words."""
+"""A bounded memo for results of repeated words, and objects that outlive a task."""
 
 from __future__ import annotations
 
@@ -6,6 +6,18 @@ from collections.abc import Callable
 from typing import Any
 
 
+_KEPT: dict[str, tuple[Any, Any]] = {}
+
+
+def per_worker(kind: str, key: Any, make: Callable[[], Any]) -> Any:
+    """The object of this kind that this Python process made for ``key``. Spark uses a worker for many tasks, and what
+    an encoder has learned in one serves the next; of each kind one object is kept, so another key replaces it."""
+    held = _KEPT.get(kind)
+    if held is None or held[0] != key:
+        held = _KEPT[kind] = (key, make())
+    return held[1]
+
+
 class Memo(dict):
     """``memo[word]`` computes once. At most two generations of ``limit`` words are held: when the
     young one is full it becomes the old one, and words met again move back, so frequent words stay.

@@ -36,11 +36,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .memo import per_worker
+
 FRAME_IDS = 1 << 16
 LEVEL = 3
 SKIPPABLE, INDEX_MAGIC, SEEK_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 ENTRY, FOOTER = struct.Struct("<III"), struct.Struct("<IBI")
-WORDS_HELD = 500_000
+WORDS_HELD = 250_000   # words of one generation; two are held
 ROWS = 384
 # Latin-1 characters by what the tokenizer's pattern sees: letters and numbers, blanks, and marks as full stops.
 MARKS = bytes(ord("a") if chr(c).isalpha() or unicodedata.category(chr(c))[0] == "N" else ord(" ") if chr(c) in " \t\n\v\f\r\x85\xa0" else ord(".") for c in range(256))
@@ -59,7 +61,8 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.held: dict[str, bytes] = {"": b""}
+        self.held: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _library_ids(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.library.encode_batch(words, add_special_tokens=False)]
@@ -82,8 +85,13 @@ class WordIds:
         new = [w for w in words if w not in held]
         if not new:
             return
-        if len(held) + len(new) > WORDS_HELD:
-            held = self.held = {w: held[w] for w in words if w in held} | {"": b""}
+        if len(held) + len(new) > WORDS_HELD:   # the young generation becomes the old one; words met again move back
+            self.old, self.held = held, {}
+            held, new = self.held, list(words)
+        old = self.old
+        held.update((w, old[w]) for w in new if w in old)
+        held[""] = b""
+        new = [w for w in new if w not in held]
         letters = [w for w in new if w.isalpha()]
         other = [w for w in new if not w.isalpha()]
         held.update(zip(letters, self._letter_ids(letters), strict=True))
@@ -210,21 +218,27 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gc
-        gc.disable()   # nothing here is cyclic, and the collector walks all held words again and again
+        gc.disable()   # nothing here is cyclic, and the collector walks all lists of words again and again
+        try:
+            yield from shard(batches)
+        finally:
+            gc.enable()
+
+    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         system, base = _place(folder)
         system.create_dir(base, recursive=True)
         name = f"shard-{task.partitionId():06d}.tokens"
         own = f"{base}/_attempt-{task.taskAttemptId()}-{uuid.uuid4().hex}"
-        encoder, end = WordIds(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, end = per_worker("words", tokenizer, lambda: WordIds(tokenizer)), np.array([end_id], "<u4").tobytes()
         with system.open_output_stream(own) as stream:
-            shard = ShardWriter(stream)
+            writer = ShardWriter(stream)
             for whole in batches:
                 for at in range(0, len(whole), ROWS):
                     part = whole.slice(at, ROWS)
                     for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist(), end), strict=True):
-                        shard.add(doc, ids)
-            n_docs, n_ids = shard.close()
+                        writer.add(doc, ids)
+            n_docs, n_ids = writer.close()
         system.move(own, f"{base}/{name}")
         yield pa.RecordBatch.from_pydict({"shard": [task.partitionId()], "file": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
