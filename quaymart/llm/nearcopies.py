@@ -13,8 +13,8 @@ Jaccard similarity is at least ``SIMILARITY``. Groups are the connected componen
 Exact copies are collapsed first. In a bucket of candidates every text is compared with the bucket's
 hub, the text that shares most buckets with most others. Where a bucket still holds different
 components, pairs between these are compared too. In large buckets most such pairs are ruled out
-first by a bound that cannot lose a link: shingles that no other text of these buckets has cannot be
-common to a pair, so two texts of weight v and w, of which p and q are in such shingles, have at most
+first by a bound that cannot lose a link: shingles that no other text of these buckets has, as merged tables
+of saturating counters tell, cannot be common to a pair, so two texts of weight v and w, of which p and q are in such shingles, have at most
 m = min(v - p, w - q) in common and a similarity of at most m / (v + w - m). A group of thousands of
 copies thus costs about one comparison per text.
 
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ FREQUENT = 1 / 256
 CHUNK_DOCS = 4096          # documents counted together when candidates for frequent shingles are sought
 PASS_CANDIDATES = 4_000_000  # candidates counted in one pass
 ELEMENTS = 1 << 15
+CELLS_LOG2, LEAST_LOG2, CHUNK_LOG2 = 26, 16, 18   # counters of a table: at most, at least, and in one chunk of it
 SMALL_BUCKET = 32          # up to here the pairs between components are compared at once, without the bound
 
 
@@ -235,32 +237,103 @@ def _verified(pairs: DataFrame, texts: DataFrame, shipped) -> DataFrame:
     return stored(with_both.mapInArrow(compare, "a binary, b binary, similarity double").where(F.col("similarity") >= SIMILARITY))
 
 
-def _weighed(open_: DataFrame, texts: DataFrame, shipped) -> DataFrame:
-    """``open_`` with the weight of each text and that of its shingles that no other text there has."""
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Shingles with the number of texts of the slice that hold them: what texts share is one row."""
+class Counters:
+    """Saturating counters of shingles: whether a cell was met never, once or more often."""
+
+    def __init__(self, log2: int):
+        self.log2, self.count = log2, np.zeros(1 << log2, np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        cells, times = np.unique(_cells(hashes, self.log2), return_counts=True)
+        self.count[cells] = np.minimum(self.count[cells] + times, 2)
+
+    def chunks(self, size: int) -> Iterator[tuple[int, bytes]]:
+        """Number and packed bits (met, met more often) of each chunk of ``size`` cells that is not empty."""
+        for k in range(len(self.count) // size):
+            part = self.count[k * size:(k + 1) * size]
+            if part.any():
+                yield k, zstandard.compress(np.packbits(part > 0).tobytes() + np.packbits(part > 1).tobytes(), 1)
+
+
+def _cells(hashes: np.ndarray, log2: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - log2)).astype(np.intp)
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk the cells that all tables together met exactly once; only one table is held."""
+    held: dict[int, list[np.ndarray]] = {}
+    for batch in batches:
+        for k, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            met, more = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(2, -1)
+            if k not in held:
+                held[k] = [met.copy(), more.copy()]
+            else:
+                held[k][1] |= more | (held[k][0] & met)
+                held[k][0] |= met
+    for k, (met, more) in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([(met & ~more).tobytes()], pa.binary())], ["chunk", "bits"])
+
+
+def _once(texts: DataFrame, log2: int) -> np.ndarray:
+    """Packed bits of the cells that exactly one text's shingles met: ``2 ** (log2 - 3)`` bytes at any number of texts."""
+    size = 1 << min(CHUNK_LOG2, log2)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Counters(log2)
         for whole in batches:
             for batch in slices(whole):
-                h, counts, offsets = bags(*shingled(batch.column(1)))
-                owner = np.repeat(np.arange(len(batch)), np.diff(offsets))
-                different, first, holders = np.unique(h, return_index=True, return_counts=True)
-                w = counts[first] * shipped.value.weights(different)
-                yield pa.RecordBatch.from_arrays([pa.array(different.view(np.int64)), pa.array(holders), batch.column(0).take(pa.array(owner[first])), pa.array(w)], ["s", "n", "u", "w"])
+                table.add(bags(*shingled(batch.column(0)))[0])
+        for k, packed in table.chunks(size):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "bits"])
+
+    tables = texts.select("text").mapInArrow(count, "chunk int, bits binary")
+    found = tables.repartition(max(1, (1 << log2) // size), "chunk").mapInArrow(_merged, "chunk int, bits binary").toArrow()
+    bits = np.zeros((1 << log2) // 8, np.uint8)
+    for k, part in zip(found["chunk"].to_pylist(), found["bits"].to_pylist(), strict=True):
+        bits[k * size // 8:(k + 1) * size // 8] = np.frombuffer(part, np.uint8)
+    return bits
+
 
-    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _own_weights(texts: DataFrame, log2: int, shipped) -> DataFrame:
+    """``uid``, weight ``w`` of the text, and at most the weight of its shingles that no other of the texts has, ``p``: one row per text."""
+    once = texts.sparkSession.sparkContext.broadcast(_once(texts, log2))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 h, counts, offsets = bags(*shingled(batch.column(1)))
-                total = np.bincount(np.repeat(np.arange(len(batch)), np.diff(offsets)), counts * shipped.value.weights(h), len(batch))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total)], ["u", "w"])
-
-    some = texts.join(open_.select("uid").distinct(), "uid").select(F.xxhash64("uid").alias("u"), "text")
-    whole = some.mapInArrow(weighed, "u long, w double")
-    own = some.mapInArrow(counted, "s long, n long, u long, w double").groupBy("s").agg(F.sum("n").alias("n"), F.max("u").alias("u"), F.max("w").alias("w")) \
-        .where("n = 1").groupBy("u").agg(F.sum("w").alias("p"))
-    known = stored(whole.join(own, "u", "left").select("u", "w", F.coalesce("p", F.lit(0.0)).alias("p")))
-    # A text whose own shingles leave too little can be near no other one.
-    return open_.withColumn("u", F.xxhash64("uid")).join(known.where(F.col("w") - F.col("p") >= SIMILARITY * F.col("w") - 1e-6), "u").drop("u")
+                owner, cells = np.repeat(np.arange(len(batch)), np.diff(offsets)), _cells(h, log2)
+                weight = counts * shipped.value.weights(h)
+                own = weight * (once.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1)
+                sums = [pa.array(np.bincount(owner, x, len(batch))) for x in (weight, own)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *sums], ["uid", "w", "p"])
+
+    return texts.select("uid", "text").mapInArrow(weigh, "uid binary, w double, p double")
+
+
+def _weighed(open_: DataFrame, texts: DataFrame, shipped) -> DataFrame:
+    """``open_`` with the weight of each text and that of its shingles that no other text there has.
+
+    Shingles are counted in a table of saturating counters whose size follows the bytes of the texts up to
+    ``2 ** CELLS_LOG2`` cells; more texts are taken in passes by band, each with a table of its own. Shingles that share a cell look
+    shared, which makes the bound looser and never loses a link.
+    """
+    some = stored(texts.join(open_.select("uid").distinct(), "uid").select("uid", "text", (F.octet_length("text") / 4 + 1).cast("bigint").alias("room")))
+    room = some.agg(F.sum("room")).first()[0] or 0
+    passes = 1
+    if room > 1 << CELLS_LOG2:
+        wide = open_.select("band", "uid").join(some.select("uid", "room"), "uid").agg(F.sum("room")).first()[0]
+        passes = -(-wide // (1 << CELLS_LOG2))
+    log2 = min(max(int(room).bit_length(), LEAST_LOG2), CELLS_LOG2)
+    out = None
+    for k in range(passes):
+        part = open_ if passes == 1 else open_.where(F.pmod(F.xxhash64("band"), F.lit(passes)) == k)
+        of_part = some if passes == 1 else some.join(part.select("uid").distinct(), "uid")
+        known = stored(_own_weights(of_part, log2, shipped))
+        # A text whose own shingles leave too little can be near no other one.
+        left = part.join(known.where(F.col("w") - F.col("p") >= SIMILARITY * F.col("w") - 1e-6), "uid")
+        out = left if out is None else out.unionAll(left)
+    return out
 
 
 def _across(open_: DataFrame) -> DataFrame:
