@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stores import free_names
 from .words import slices, text_buffers
 
 SEGMENT = 128
 HIDDEN = 8
 SAMPLE_PER_LANGUAGE = 1500   # bound of the labelled rows that are fitted on, per language
-MAX_LANGUAGES = 64           # most frequent labels that are learned
 SAMPLE_BYTES = SEGMENT * 4   # bytes of a sampled document, taken at a place that its hash chooses
 STEPS, BATCH, RATE = 360, 256, 0.02
 UNDETERMINED = "und"
@@ -216,22 +216,21 @@ def document_probabilities(net: ByteNetwork, raw: np.ndarray, offsets: np.ndarra
 
 def train(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang",
           per_language: int = SAMPLE_PER_LANGUAGE, steps: int = STEPS) -> ByteNetwork:
-    """Fit on at most ``per_language`` rows of each of the ``MAX_LANGUAGES`` most frequent labels.
+    """Fit on at most about ``per_language`` rows of each label; every label that has usable rows is learned.
 
     ``learn`` tells which rows may be learned from. Which rows are taken is decided by a hash of
     the text; of each, ``SAMPLE_BYTES`` bytes at a hashed place are read.
     """
     known = docs.where(learn & F.col(label).isNotNull() & (F.trim(F.col(label).cast("string")) != "") & F.col(text).rlike(r"\p{L}")) \
         .select(F.col(label).cast("string").alias("label"), F.col(text).alias("text"))
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LANGUAGES).collect()}
+    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     labels = sorted(counts)
     net = ByteNetwork(labels)
     if not labels:
         return net
     draw = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1e6
-    share = F.lit(0.0)
-    for name in labels:
-        share = F.when(F.col("label") == name, F.lit(min(1.0, 1.3 * per_language / counts[name]))).otherwise(share)
+    shares = F.map_from_arrays(F.lit(labels), F.lit([min(1.0, 1.3 * per_language / counts[name]) for name in labels]))
+    share = F.element_at(shares, F.col("label"))
     span = F.greatest(F.length("text") - SAMPLE_BYTES // 2, F.lit(1))
     part = F.substring(F.col("text"), F.pmod(F.xxhash64(F.lit(3), "text"), span).cast("int") + 1, F.lit(SAMPLE_BYTES))
     rows = known.where(draw < share).select("label", part.alias("text"), F.xxhash64(F.lit(5), "text").alias("o")) \
@@ -251,10 +250,14 @@ def train(docs: DataFrame, learn: Column, text: str = "text", label: str = "lang
 
 
 def identify(docs: DataFrame, net: ByteNetwork, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``lang_pred`` and ``lang_score`` for every row."""
+    """All columns of ``docs`` plus ``lang_pred`` and ``lang_score`` for every row.
+
+    Where the input has columns of these names, the new ones get underscores in front (``stores.free_names``).
+    """
     columns = docs.columns
-    schema = docs.withColumns({"lang_pred": F.lit("").cast("string"), "lang_score": F.lit(0.0)}).schema
-    marked = docs.withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    pred, sure, letter = free_names(columns, "lang_pred", "lang_score", "_letter")
+    schema = docs.withColumns({pred: F.lit("").cast("string"), sure: F.lit(0.0)}).schema
+    marked = docs.withColumn(letter, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*net.labels, UNDETERMINED], dtype=object)
@@ -269,6 +272,6 @@ def identify(docs: DataFrame, net: ByteNetwork, text: str = "text") -> DataFrame
                 else:
                     best, score = np.zeros(len(known), int), np.zeros(len(known))
                 out = [batch.column(i) for i in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(names[best], pa.string()), pa.array(score)], [*columns, "lang_pred", "lang_score"])
+                yield pa.RecordBatch.from_arrays([*out, pa.array(names[best], pa.string()), pa.array(score)], [*columns, pred, sure])
 
     return marked.mapInArrow(label, schema)

@@ -33,12 +33,14 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memo import per_worker
+from .stores import free_names
 from .unigram import MARK, read_pieces
 
 WORDS = re.compile(f"{MARK}+[^{MARK}]*")
 ROWS = 512     # documents encoded and returned at once
 WIDE = 24      # longest word in the matrix
-HELD = 400_000  # words whose ids are held between batches
+HELD = 200_000  # words of one generation whose ids are held between batches; there are two
 NONE = np.int32(2**31 - 1)
 
 
@@ -55,6 +57,7 @@ class MergeEncoder:
         self.by_word = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.known)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.held: dict[str, list[int]] = {}
+        self.old: dict[str, list[int]] = {}
         self._tables()
 
     def _tables(self) -> None:
@@ -242,15 +245,19 @@ class MergeEncoder:
             different.update(x)
         new = [w for w in different if w not in held]
         if new:
+            if len(held) + len(new) > HELD:
+                # The young generation becomes the old one; words met again move back.
+                self.old, self.held = held, {}
+                held, new = self.held, list(different)
+            old = self.old
+            held.update((w, old[w]) for w in new if w in old)
+            new = [w for w in new if w not in held]
             ids = self.encode_words(new)
             self.check(new, ids)
-            if len(held) + len(new) > HELD:
-                # Words of this batch stay; if they alone are too many, they are held for this batch only.
-                held = self.held = {w: held[w] for w in different if w in held}
             held.update(zip(new, ids, strict=True))
         get = held.__getitem__
         out = [[*chain.from_iterable(map(get, x)), *end] for x in words]
-        if len(held) > 2 * HELD:
+        if len(held) > 2 * HELD:   # the words of this batch alone are too many to be held
             self.held = {}
         return out
 
@@ -258,16 +265,24 @@ class MergeEncoder:
 def encode(docs: DataFrame, model: str, text: str = "text", end_id: int | None = None, decode: bool = False) -> DataFrame:
     """All columns of ``docs`` plus ``ids`` (array of int) and, with ``decode``, ``decoded`` (text).
 
-    ``model`` is the path of the vocabulary file on every executor.
+    ``model`` is the path of the vocabulary file on every executor. Where the input has columns of these
+    names, the new ones get underscores in front.
     """
     columns = docs.columns
-    added = {"ids": F.array().cast("array<int>")} | ({"decoded": F.lit("")} if decode else {})
+    ids_name, decoded_name = free_names(columns, "ids", "decoded")
+    added = {ids_name: F.array().cast("array<int>")} | ({decoded_name: F.lit("")} if decode else {})
     schema = docs.withColumns(added).schema
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()   # nothing here is cyclic, and the collector walks all held words again and again
-        merges = MergeEncoder(model)
+        try:
+            yield from coded(batches)
+        finally:
+            gc.enable()
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        merges = per_worker("pieces", model, lambda: MergeEncoder(model))
         tail = [] if end_id is None else [end_id]
         for whole in batches:
             for at in range(0, len(whole), ROWS):
@@ -284,9 +299,10 @@ def encode(docs: DataFrame, model: str, text: str = "text", end_id: int | None =
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
-    """All columns of ``rows`` plus ``decoded``; null ids decode to an empty text."""
+    """All columns of ``rows`` plus ``decoded`` (with underscores in front if there is one); null ids decode to an empty text."""
     columns = rows.columns
-    schema = rows.withColumn("decoded", F.lit("")).schema
+    name = free_names(columns, "decoded")[0]
+    schema = rows.withColumn(name, F.lit("")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -295,6 +311,6 @@ def decode(rows: DataFrame, model: str, ids: str = "ids") -> DataFrame:
                 batch = whole.slice(at, ROWS)
                 lists = [x or [] for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
                 out = [batch.column(i) for i in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(library.decode(lists, num_threads=1), pa.string())], [*columns, "decoded"])
+                yield pa.RecordBatch.from_arrays([*out, pa.array(library.decode(lists, num_threads=1), pa.string())], [*columns, name])
 
     return rows.mapInArrow(run, schema)

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stores import free_names
 from .words import mix, slices, text_buffers, word_hashes
 
 BUCKETS_LOG2, WIDTH, PASSAGE = 18, 8, 16
@@ -135,7 +136,7 @@ class SubwordBag:
         rng = np.random.default_rng(seed)
         share = np.array([0.5 / max((label == k).sum(), 1) for k in (0, 1)])[label] * len(label)
         past, past_w, past_b = np.full(len(self.vectors), 1e-6, np.float32), np.full(self.softmax.shape, 1e-6), 1e-6
-        epochs = -(-steps * BATCH // max(len(label), 1))
+        epochs = min(steps, -(-steps * BATCH // max(len(label), 1)))   # an epoch is one batch at least
         for epoch in range(epochs):
             order = rng.permutation(len(label))
             for begin in range(0, len(order), BATCH):
@@ -222,18 +223,19 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, bag: SubwordBag, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``toxicity`` between 0 and 1."""
+    """All columns of ``docs`` plus ``toxicity`` between 0 and 1 (with underscores in front if there is one)."""
     columns = docs.columns
-    schema = docs.withColumn("toxicity", F.lit(0.0)).schema
+    name, lower = free_names(columns, "toxicity", "_lower")
+    schema = docs.withColumn(name, F.lit(0.0)).schema
     # One number per bucket is all that scoring needs: 1 MB at any corpus size.
     shipped = docs.sparkSession.sparkContext.broadcast((bag.projection(), bag.bias))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         projection, bias = shipped.value
         for whole in batches:
-            for batch in slices(whole, "_lower"):
+            for batch in slices(whole, lower):
                 raw, offsets = text_buffers(batch.column(len(columns)))
                 out = [batch.column(i) for i in range(len(columns))]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(document_scores(projection, bias, raw, offsets))], [*columns, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*out, pa.array(document_scores(projection, bias, raw, offsets))], [*columns, name])
 
-    return docs.withColumn("_lower", F.lower(F.col(text))).mapInArrow(label, schema)
+    return docs.withColumn(lower, F.lower(F.col(text))).mapInArrow(label, schema)

@@ -18,6 +18,7 @@ Defined results: a null or empty text has 0 tokens. Texts of any length are read
 from __future__ import annotations
 
 import gc
+import hashlib
 import math
 import struct
 from collections.abc import Iterator
@@ -27,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .memo import Memo
+from .memo import Memo, per_worker
+from .stores import free_names
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -165,19 +167,30 @@ class UnigramCounter:
 
 def token_counts(docs: DataFrame, vocabulary: list[tuple[str, float]], text: str = "text",
                  byte_fallback: bool = True) -> DataFrame:
-    """All columns of ``docs`` plus ``n_tokens``. The vocabulary is a file of fixed size, never the data."""
+    """All columns of ``docs`` plus ``n_tokens`` (with underscores in front if there is one).
+
+    The vocabulary is a file of fixed size, never the data.
+    """
     columns = docs.columns
-    schema = docs.withColumn("n_tokens", F.lit(0).cast("bigint")).schema
+    name = free_names(columns, "n_tokens")[0]
+    schema = docs.withColumn(name, F.lit(0).cast("bigint")).schema
+    key = hashlib.md5(repr((vocabulary, byte_fallback)).encode("utf-8", "surrogatepass")).hexdigest()
     shipped = docs.sparkSession.sparkContext.broadcast((vocabulary, byte_fallback))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()   # nothing here is cyclic, and the collector walks all held words again and again
-        counter = UnigramCounter(*shipped.value).counter()
+        try:
+            yield from counted(batches)
+        finally:
+            gc.enable()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = per_worker("unigram", key, lambda: UnigramCounter(*shipped.value).counter())
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))   # one Python text at a time
             out = [batch.column(i) for i in range(len(columns))]
             counts = pa.array([counter(x.as_py()) for x in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*out, counts], [*columns, "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*out, counts], [*columns, name])
 
     return docs.mapInArrow(count, schema)
 

@@ -120,6 +120,41 @@ def test_frequencies_are_exact(spark, corpus):
     assert sorted(found.keys.tolist()) == want
 
 
+@pytest.mark.parametrize("log2", [8, 16, 20])
+def test_counters_never_call_a_shared_shingle_single(spark, log2):
+    rng = np.random.default_rng(log2)
+    bags_ = [np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(2)) for _ in range(40)]
+    common = bags_[0][:100]
+    bags_ = [np.unique(np.concatenate([b, common])) for b in bags_]
+    tables = []
+    for at in range(0, 40, 7):
+        table = nearcopies.Counters(log2)
+        for b in bags_[at:at + 7]:
+            table.add(b)
+        k, packed = zip(*table.chunks(1 << min(nearcopies.CHUNK_LOG2, log2)))
+        tables.append(pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "bits"]))
+    size = 1 << min(nearcopies.CHUNK_LOG2, log2)
+    bits = np.zeros((1 << log2) // 8, np.uint8)
+    for batch in nearcopies._merged(iter(tables)):
+        for k, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            bits[k * size // 8:(k + 1) * size // 8] = np.frombuffer(part, np.uint8)
+    once = np.unpackbits(bits).astype(bool)
+    cells = Counter(c for b in bags_ for c in nearcopies._cells(b, log2).tolist())
+    assert once.tolist() == [cells[c] == 1 for c in range(1 << log2)]
+
+
+def test_bound_in_passes_and_small_tables(spark, corpus, monkeypatch):
+    monkeypatch.setattr(nearcopies, "SMALL_BUCKET", 0)
+    monkeypatch.setattr(nearcopies, "CELLS_LOG2", 10)
+    monkeypatch.setattr(nearcopies, "LEAST_LOG2", 8)
+    monkeypatch.setattr(nearcopies, "CHUNK_LOG2", 8)
+    rng = random.Random(8)
+    base = [words(k, 120) for k in range(6)]
+    docs = {i: " ".join(edited(rng, base[i % 6], rng.randrange(0, 5))) for i in range(80)}
+    frame_ = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in nearcopies.near_copies(frame_).collect()} == brute_classes(docs)
+
+
 def test_hot_group_of_near_copies(spark):
     rng = random.Random(9)
     base = words(77, 150)

@@ -6,7 +6,7 @@ from conftest_llm import frame
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quaymart.llm import language, neighbours, toxicity
+from quaymart.llm import language, neighbours, pieces, toxicity, unigram
 from quaymart.llm.hilbert import hilbert_keys
 from quaymart.llm.queries import op6_neighbours, op9_language_id, op10_toxicity
 
@@ -67,6 +67,50 @@ def test_languages_of_odd_frames(spark, odd_texts):
     assert language.identify(docs.where("doc_id < 0"), net).count() == 0
 
 
+def test_every_label_is_learned(spark):
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 20, f"l{k}") for k in range(90)]
+    net = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), steps=1)
+    assert len(net.labels) == 90
+
+
+def test_clashing_names(spark, odd_texts):
+    docs = frame(spark, odd_texts, langs=[None, *["en", "de"] * 8])
+    clash = docs.select("doc_id", "text", "lang", *[F.lit(k).alias(c) for k, c in enumerate(("_letter", "lang_pred", "lang_score", "_lower", "toxicity", "Ids", "decoded", "n_tokens"))])
+    net = language.train(clash, F.lit(True), steps=1)
+    told = language.identify(clash, net)
+    assert told.columns == [*clash.columns, "_lang_pred", "_lang_score"] and told.where("_letter = 0 AND lang_pred = 1").count() == len(odd_texts)
+    bag = toxicity.train(clash, spark.createDataFrame([(4, 1), (5, 0), (5, 1), (5, 0)], "doc_id long, toxic int"))
+    scored = toxicity.score(clash, bag)
+    assert scored.columns == [*clash.columns, "_toxicity"] and scored.where("_toxicity between 0 and 1 AND toxicity = 4").count() == len(odd_texts)
+    coded = pieces.encode(clash, corpus_pipeline.PIECES, decode=True)
+    assert coded.columns == [*clash.columns, "_ids", "_decoded"] and coded.where("Ids = 5 AND _decoded is not null").count() == len(odd_texts)
+    back = pieces.decode(coded, corpus_pipeline.PIECES, ids="_ids")
+    assert back.columns[-1] == "__decoded" and back.where("__decoded = _decoded").count() == len(odd_texts)
+    counted = unigram.token_counts(clash, unigram.rank_vocabulary(corpus_pipeline.PIECES))
+    assert counted.columns == [*clash.columns, "_n_tokens"] and counted.where("n_tokens = 7 AND _n_tokens >= 0").count() == len(odd_texts)
+    kept = corpus_pipeline.by_language(spark, clash, FOLDER)
+    assert kept.columns == clash.columns
+
+
+def test_few_labelled_rows_take_few_batches():
+    import pyarrow as pa
+
+    from quaymart.llm.words import text_buffers
+    drawn = []
+    class Draws:
+        def __init__(self, seed):
+            self.real = np.random.Generator(np.random.PCG64(seed))
+        def __getattr__(self, name):
+            return getattr(self.real, name)
+        def permutation(self, n):
+            drawn.append(n)
+            return self.real.permutation(n)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(toxicity.np.random, "default_rng", Draws)
+        toxicity.SubwordBag().fit(*text_buffers(pa.array(["nice words here", "nasty words here"])), np.array([0, 1]), steps=7)
+    assert drawn == [2] * 7
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")

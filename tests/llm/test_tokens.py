@@ -71,6 +71,27 @@ def test_words_are_those_of_the_library(odd_texts):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_few_held_words_give_the_same_ids(odd_texts, monkeypatch):
+    texts = [t for t in odd_texts if t is None or len(t) < 50_000] + random_texts(400)
+    many, merges = tokenfiles.WordIds(WORDS).encode(texts, b""), pieces.MergeEncoder(PIECES)
+    right = merges.encode(texts, [])
+    monkeypatch.setattr(tokenfiles, "WORDS_HELD", 60)
+    monkeypatch.setattr(pieces, "HELD", 60)
+    few, merges = tokenfiles.WordIds(WORDS), pieces.MergeEncoder(PIECES)
+    for _ in range(2):
+        assert [x for at in range(0, len(texts), 9) for x in few.encode(texts[at:at + 9], b"")] == many
+        assert [x for at in range(0, len(texts), 9) for x in merges.encode(texts[at:at + 9], [])] == right
+
+
+def test_one_object_per_worker_and_key():
+    from quaymart.llm.memo import per_worker
+    made = []
+    make = lambda: made.append(1) or object()
+    first = per_worker("test", 1, make)
+    assert per_worker("test", 1, make) is first and len(made) == 1
+    assert per_worker("test", 2, make) is not first and len(made) == 2
+
+
 def test_shard_round_trip_and_damage(tmp_path):
     docs = [(None, b""), (1, np.arange(5, dtype="<u4").tobytes()), (2, np.arange(200_000, dtype="<u4").tobytes()), (2, b""), (9, np.array([7], "<u4").tobytes())]
     path = str(tmp_path / "s")
