@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quaymart.llm import decontaminate, language, lines, nearcopies, pieces
 from quaymart.llm.queries import PIECES, PIECES_END, documents
-from quaymart.llm.stores import stored
+from quaymart.llm.stores import free_names, stored
 
 LEAST_LIFT = 1.1   # of the best language's probability over chance, which is one divided by the number of languages
 
@@ -29,9 +29,10 @@ ORACLE_SQL = None   # a trained network, sampling and merges are beyond SQL; tes
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = language.train(docs.select("text", "lang"), F.lit(True))
     told = language.identify(docs, net)
+    pred, sure = free_names(docs.columns, "lang_pred", "lang_score")
     least = LEAST_LIFT / len(net.labels) if len(net.labels) > 1 else 0.0
-    kept = told.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("lang_score") >= least))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    kept = told.where((F.col(pred) != language.UNDETERMINED) & (F.col(sure) >= least))
+    return kept.withColumn("lang", F.coalesce("lang", pred)).select(*docs.columns)
 
 
 def by_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,11 @@
 """Edges of readers, coercion, cleaning, encoding, selection and sampling."""
 
-import math
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quaymart.functions import naming, scalars
-from quaymart.operators import cleaning, columns, encoding, joins, sampling, selection
+from quaymart.operators import cleaning, columns, encoding, joins, sampling
 from quaymart.plans.master_set import build_master
 from quaymart.sources import readers, writers
 
@@ -127,17 +125,6 @@ def test_ten_values_stay_unencoded(spark):
     assert dict(out.dtypes) == {"ten": "string", "two": "double"}
 
 
-def test_wide_and_narrow_correlations_agree(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    data = rng.normal(size=(300, 5))
-    data[rng.random(data.shape) < 0.1] = np.nan
-    frame = spark.createDataFrame([tuple(None if math.isnan(x) else float(x) for x in row) for row in data], "a double, b double, c double, d double, e double").repartition(3)
-    narrow = {(r["left"], r["right"]): r["corr"] for r in selection.correlation_pairs(frame, list("abcde")).collect()}
-    monkeypatch.setattr(selection, "NARROW", 2)
-    wide = {(r["left"], r["right"]): r["corr"] for r in selection.correlation_pairs(frame, list("abcde")).collect()}
-    assert wide == pytest.approx(narrow)
-
-
 def test_codes_of_a_large_dictionary(spark):
     frame = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("a",)], "t string")
     small = {r["t"]: r["code"] for r in columns.ordinal_codes(frame, {"t": "code"}).collect()}
