@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,10 +101,10 @@ def future_regressors(calendar: DataFrame, series: DataFrame, regressors: Sequen
     return joined.select(*calendar.columns, *[F.coalesce(F.col(r), F.col(f"_base_{r}")).alias(r) for r in regressors])
 
 
-def seasonal_baseline(series: DataFrame, horizon: int, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
+def seasonal_baseline(series: DataFrame, horizon: int | str, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
     """Linear trend times weekday and month indices, with a 95% interval, all clipped at 0.
 
-    Returns fitted history and ``horizon`` future days: ds, y (NULL in the future), trend, weekly,
+    Returns fitted history and ``horizon`` future days, or all days up to a date that is given as text: ds, y (NULL in the future), trend, weekly,
     yearly (relative effects), yhat, yhat_lower, yhat_upper. The input has one row per item and
     day, so every window holds at most the days of one item; all of them share one shuffle by item.
     """
@@ -118,8 +118,9 @@ def seasonal_baseline(series: DataFrame, horizon: int, keys: Sequence[str] = ("s
     base = base.withColumn("_x", F.datediff("ds", "_start").cast("double"))
     base = base.withColumns({"_slope": F.coalesce(F.regr_slope("y", "_x").over(item), F.lit(0.0)),
                              "_icept": F.coalesce(F.regr_intercept("y", "_x").over(item), F.avg("y").over(item))})
+    ahead = F.date_add("_last", horizon) if isinstance(horizon, int) else F.greatest(F.lit(horizon).cast("date"), F.col("_last"))
     # The last known day also brings the future days, so history and future stay side by side.
-    days = F.when(F.col("ds") == F.col("_last"), F.sequence(F.col("_last"), F.date_add("_last", horizon))).otherwise(F.array("ds"))
+    days = F.when(F.col("ds") == F.col("_last"), F.sequence(F.col("_last"), ahead)).otherwise(F.array("ds"))
     grown = base.withColumn("_day", F.explode(days)).withColumn("y", F.when(F.col("_day") == F.col("ds"), F.col("y")))
     grown = grown.drop("ds", "_x").withColumnRenamed("_day", "ds")
     span = F.datediff("_last", "_start")
@@ -261,23 +262,57 @@ def forecast_deviation(actual: DataFrame, forecast: DataFrame, keys: Sequence[st
         F.max(error).alias("max_underprediction"), F.stddev_samp(error).alias("error_volatility"))
 
 
-def autocorrelations(series: DataFrame, max_lag: int, column: str = "y", keys: Sequence[str] = ("sku_id",)) -> DataFrame:
-    """Autocorrelation of a daily series at lags 1..``max_lag`` (at most half its length).
+def _correlated(series: DataFrame, column: str, keys: Sequence[str], result: str, read) -> DataFrame:
+    """One row per series with ``read(acf, n)`` of the autocorrelations at lags 0 to n - 1 (empty where the series is constant).
 
-    Positions come from one row per item and day; each row meets ``max_lag`` later rows of its item.
+    A series is an array of its days in order; its autocovariance is the inverse transform of its power spectrum, padded so that nothing
+    wraps around. Spark partitions the series, and Arrow hands over batches of them.
     """
     keys = list(keys)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("ds"))
-    rows = series.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_v"), place.alias("_i"))
-    level = rows.groupBy(*keys).agg(F.avg("_v").alias("_mean"), F.count("*").alias("_n"))
-    centred = rows.join(level, keys).select(*keys, "_i", "_n", (F.col("_v") - F.col("_mean")).alias("_d"))
-    power = centred.groupBy(*keys).agg(F.sum(F.col("_d") * F.col("_d")).alias("_power"))
-    ahead = Window.partitionBy(*keys).orderBy("_i").rowsBetween(1, max_lag)
-    lagged = centred.withColumn("_next", F.collect_list("_d").over(ahead)).select(
-        *keys, "_n", "_d", F.posexplode("_next").alias("_p", "_e")).withColumn("lag", F.col("_p") + 1)
-    lagged = lagged.where(F.col("lag") <= F.floor(F.col("_n") / 2))
-    return lagged.groupBy(*keys, "lag").agg(F.sum(F.col("_d") * F.col("_e")).alias("_cross")).join(power, keys).select(
-        *keys, F.col("lag").cast("int").alias("lag"), F.try_divide(F.col("_cross"), F.col("_power")).alias("acf"))
+    rows = series.where(F.col(column).isNotNull()).select(*keys, "ds", F.col(column).cast("double").alias("_v"))
+    lists = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ds", "_v")))["_v"].alias("_values"))
+
+    def transform(batches):
+        for batch in batches:
+            values = batch.column(len(keys))
+            flat, ends = values.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.concatenate([[0], values.value_lengths().to_numpy(zero_copy_only=False)]))
+            out = []
+            for a, b in zip(ends[:-1], ends[1:], strict=True):
+                x = flat[a:b] - flat[a:b].mean()
+                power = float(x @ x)
+                spectrum = np.fft.rfft(x, 1 << (2 * len(x) - 1).bit_length())
+                acf = np.fft.irfft(spectrum.real ** 2 + spectrum.imag ** 2)[:len(x)] / power if power > 0 else np.zeros(0)
+                out.append(read(acf, len(x)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keys)], pa.array(out, T_ARROW[result])], [*keys, "_out"])
+
+    kinds = T.StructType([*[lists.schema[k] for k in keys], *T.StructType.fromDDL(f"_out {result}").fields])
+    return lists.mapInArrow(transform, kinds)
+
+
+T_ARROW = {"array<double>": pa.list_(pa.float64()), "int": pa.int32()}
+
+
+def autocorrelations(series: DataFrame, max_lag: int, column: str = "y", keys: Sequence[str] = ("sku_id",)) -> DataFrame:
+    """Autocorrelation of a daily series at lags 1..``max_lag`` (at most half its length); null for a constant series."""
+    keys = list(keys)
+
+    def read(acf, n):
+        top = min(max_lag, n // 2)
+        return acf[1:top + 1].tolist() if len(acf) else [None] * top
+
+    found = _correlated(series, column, keys, "array<double>", read)
+    return found.select(*keys, F.posexplode("_out").alias("_p", "acf")).select(*keys, (F.col("_p") + 1).alias("lag"), "acf")
+
+
+def seasonal_peaks(series: DataFrame, threshold: float = 0.3, least: int = 24, column: str = "y", keys: Sequence[str] = ("sku_id",)) -> DataFrame:
+    """``seasonal_peak``: 1 if the autocorrelation has a local maximum above the threshold at any inner lag; 0 for series of fewer than ``least`` days."""
+
+    def read(acf, n):
+        a = np.round(acf, 9)
+        peak = (a[1:-1] > a[:-2]) & (a[1:-1] > a[2:]) & (a[1:-1] > threshold)
+        return int(n >= least and bool(peak.any()))
+
+    return _correlated(series, column, keys, "int", read).withColumnRenamed("_out", "seasonal_peak")
 
 
 def seasonality(acf: DataFrame, threshold: float = 0.3, min_period: int = 2, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
@@ -297,7 +332,10 @@ def residual_diagnostics(fitted: DataFrame, max_lag: int = 30, limit: float = 0.
 
 
 def regularised(series: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
-    """Every calendar day of each series; gaps filled by a straight line between the known days."""
+    """Every calendar day of each series; gaps filled by a straight line between the known days.
+
+    ``scans.filled`` fills by the last known value instead.
+    """
     keys = list(keys)
     known = series.select(*keys, "ds", F.col("y").cast("double").alias("y"))
     following = Window.partitionBy(*keys).orderBy("ds")

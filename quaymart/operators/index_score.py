@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .clusters import clustered
+from .penalised import penalised
 from .scale import attach_group_stats, one_row, with_scalars
 from .selection import correlation_pairs, mutual_information, target_correlations
 
@@ -21,20 +23,9 @@ def correlation_directions(df: DataFrame, target: str, features: Sequence[str])
     return {r["feature"]: LOW if (r["corr"] or 0.0) < 0 else HIGH for r in rows}
 
 
-def _lasso(df: DataFrame, target: str, features: Sequence[str], penalty: float) -> dict[str, float]:
-    """Coefficients of a least-squares fit with an absolute-value penalty on unscaled features."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    rows = VectorAssembler(inputCols=list(features), outputCol="_vec", handleInvalid="skip").transform(
-        df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("_label")))
-    fit = LinearRegression(featuresCol="_vec", labelCol="_label", regParam=penalty, elasticNetParam=1.0, standardization=False,
-                           maxIter=100).fit(rows)
-    return dict(zip(features, map(float, fit.coefficients)))
-
-
 def lasso_directions(df: DataFrame, target: str, features: Sequence[str], penalty: float = 0.2) -> dict[str, str]:
-    return {f: LOW if c < 0 else HIGH for f, c in _lasso(df, target, features, penalty).items()}
+    """MIN for features whose penalised coefficient is negative."""
+    return {f: LOW if c < 0 else HIGH for f, c in penalised(df, target, features, penalty).items()}
 
 
 def usable_features(df: DataFrame, features: Sequence[str]) -> list[str]:
@@ -94,9 +85,9 @@ def learned_weights(norm: DataFrame, label: str, features: Sequence[str], seed:
     bayes = NaiveBayes(featuresCol="_pos", labelCol="_y", modelType="complement").fit(scaled)
     mean_log = np.asarray(bayes.theta.toArray()).mean(axis=0)
     share = np.exp(mean_log) / np.exp(mean_log).sum()
-    trees = GBTClassifier(featuresCol="_vec", labelCol="_y", maxIter=10, maxDepth=4, seed=seed).fit(rows)
+    trees = GBTClassifier(featuresCol="_vec", labelCol="_y", maxIter=20, maxDepth=4, seed=seed).fit(rows)
     return {
-        "lasso": {f: abs(c) for f, c in _lasso(norm, label, features, 0.01).items()},
+        "lasso": {f: abs(c) for f, c in penalised(norm, label, features, 0.01).items()},
         "mutual_information": {f: (v if v >= 0.1 else 0.0) for f, v in ((f, mi.get(f, 0.0)) for f in features)},
         "component": dict(zip(features, map(float, component))),
         "bayes": dict(zip(features, map(float, share))),
@@ -219,18 +210,10 @@ def bin_curve(df: DataFrame, score_column: str, outcome: str, bins: int = 5) ->
     return rows.groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.avg("_s").alias("mean_score"), (F.avg("_y") * 100).alias("outcome_rate"))
 
 
-def cluster_curve(df: DataFrame, score_column: str, outcome: str, clusters: int = 5, seed: int = 0) -> DataFrame:
-    """Mean score and outcome rate (percent) in clusters of the score."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = VectorAssembler(inputCols=["_s"], outputCol="_vec").transform(
-        df.select(F.col(score_column).cast("double").alias("_s"), F.col(outcome).cast("double").alias("_y")).where("_s IS NOT NULL"))
-    distinct = rows.agg(F.approx_count_distinct("_s").alias("n")).first()["n"]
-    if distinct < 2:
-        return rows.agg(F.lit(0).alias("cluster"), F.avg("_s").alias("mean_score"), (F.avg("_y") * 100).alias("outcome_rate"), F.count("*").alias("n"))
-    model = KMeans(k=min(clusters, distinct), seed=seed, featuresCol="_vec", predictionCol="cluster").fit(rows)
-    return model.transform(rows).groupBy("cluster").agg(F.avg("_s").alias("mean_score"), (F.avg("_y") * 100).alias("outcome_rate"), F.count("*").alias("n"))
+def cluster_curve(df: DataFrame, score_column: str, outcome: str, clusters: int = 5) -> DataFrame:
+    """Mean score and outcome rate (percent) in the clusters of the score that ``clusters.clustered`` cuts, in ascending order of the score."""
+    rows = df.select(F.col(score_column).cast("double").alias("_s"), F.col(outcome).cast("double").alias("_y"))
+    return clustered(rows, "_s", clusters).groupBy("cluster").agg(F.avg("_s").alias("mean_score"), (F.avg("_y") * 100).alias("outcome_rate"), F.count("*").alias("n"))
 
 
 @dataclass(frozen=True)

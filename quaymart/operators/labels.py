@@ -410,3 +410,14 @@ def item_fallback(rows: DataFrame) -> DataFrame:
 def dated_share(df: DataFrame, day: str = "day") -> DataFrame:
     """Share of rows with a date; below 0.3 the daily panel gives way to ``item_fallback``."""
     return df.agg(F.avg(F.col(day).isNotNull().cast("double")).alias("dated_share"))
+
+
+LEAST_DATED = 0.3
+
+
+def item_demand(rows: DataFrame, inventory: DataFrame | None = None, day: str = "day") -> tuple[DataFrame, str]:
+    """The item-day panel where at least ``LEAST_DATED`` of the rows have a date, else one row per item; and which of the two it is."""
+    share = dated_share(rows, day).first()["dated_share"]
+    if share is None or share < LEAST_DATED:
+        return with_inventory(item_fallback(rows), inventory), "proxy"
+    return item_day_panel(rows.where(F.col(day).isNotNull()), inventory), "time_split"

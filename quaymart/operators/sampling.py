@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .scale import attach_group_stats, numbered, with_scalars
+from .scale import numbered, with_scalars
+from .scans import with_ranks_below
 
 
 def _ticket(keys: Sequence[str], seed: int):
@@ -18,20 +19,20 @@ def _ticket(keys: Sequence[str], seed: int):
 
 def stratified_split(df: DataFrame, target: str, keys: Sequence[str], shares: Sequence[float] = (0.7, 0.1, 0.2), seed: int = 42,
                      name: str = "part") -> DataFrame:
-    """Exact shares per class in hash order. Parts are numbered from 0.
+    """Exact shares per class in hash order. Parts are numbered from 0; rank ``r`` of ``n`` lies below an edge if ``(r - 0.5) / n`` does.
 
-    Rows are ranked by ``scale.numbered``, so a class may be as large as the table.
+    Nothing is ordered: ``scans.with_ranks_below`` finds the tickets that cut a class, however large, by counting.
     """
-    hashed = df.withColumn("_ticket", _ticket(keys, seed).cast("double"))
-    ranked = numbered(hashed, ["_ticket", *keys], by=[target], name="_rank")
-    sizes = df.groupBy(target).agg(F.count("*").alias("_size")).withColumn("_w", F.col("_size"))
-    rows = attach_group_stats(ranked, sizes, [target], "_w")
-    place = (F.col("_rank") - 0.5) / F.col("_size")
-    part, edge = F.lit(len(shares) - 1), 1.0
-    for i in reversed(range(len(shares) - 1)):
-        edge = sum(shares[: i + 1])
-        part = F.when(place < edge, F.lit(i)).otherwise(part)
-    return rows.withColumn(name, part.cast("int")).select(*df.columns, name)
+    sizes = df.groupBy(target).agg(F.count("*").alias("_size"))
+    edges = [sum(shares[: i + 1]) for i in range(len(shares) - 1)]
+    near = lambda edge: F.floor(F.col("_size") * F.lit(float(edge)) + 0.5).cast("bigint")
+    exact = lambda edge: near(edge) - F.when((near(edge) - 0.5) / F.col("_size") < F.lit(float(edge)), 0).otherwise(1)
+    wanted = sizes.select(target, "_size", *[exact(edge).alias(f"_c{i}") for i, edge in enumerate(edges)])
+    rows = with_ranks_below(df, _ticket(keys, seed), keys, wanted, [f"_c{i}" for i in range(len(edges))], [target])
+    part = F.lit(len(edges))
+    for i in reversed(range(len(edges))):
+        part = F.when(F.col(f"_below__c{i}"), F.lit(i)).otherwise(part)
+    return rows.select(*df.columns, part.cast("int").alias(name))
 
 
 def chronological_split(df: DataFrame, day: str, keys: Sequence[str], test_share: float = 0.2, name: str = "is_test") -> DataFrame:
@@ -56,8 +57,10 @@ def undersampled(df: DataFrame, target: str, keys: Sequence[str], ratio: int = 4
                                          F.col("_big._n").alias("_size")))
     major = F.col(target) == F.col("_major")
     rest = rows.where(~major | (F.col("_size") <= F.col("_quota")) | F.col(target).isNull()).select(*df.columns)
-    large = rows.where(major & (F.col("_size") > F.col("_quota"))).withColumn("_ticket", _ticket(keys, seed).cast("double"))
-    kept = numbered(large, ["_ticket", *keys], name="_rank").where(F.col("_rank") <= F.col("_quota"))
+    large = rows.where(major & (F.col("_size") > F.col("_quota"))).select(*df.columns)
+    quota = sizes.select(F.col("_big._c").alias(target), F.col("_big._n").alias("_size"), (F.lit(ratio) * (F.col("_all") - F.col("_big._n"))).alias("_quota")) \
+        .where(F.col("_size") > F.col("_quota"))
+    kept = with_ranks_below(large, _ticket(keys, seed), keys, quota, ["_quota"], [target]).where("_below__quota")
     return rest.unionByName(kept.select(*df.columns))
 
 

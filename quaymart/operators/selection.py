@@ -2,55 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+PAIRS_AT_ONCE = 100   # terms of one aggregate
 SPREAD_NOISE = 1e-12   # spread relative to the size of the values below which a column counts as constant
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pairwise Pearson correlations in long form (left before right in the given order).
 
-    Rows where either value is missing are left out per pair. One pass finds the means, a second
-    one adds up the products of centred values per partition, whatever the number of columns; the
-    sums are added by pair. A pair with a constant column, within rounding, has no correlation.
+    Rows where either value is missing are left out per pair. All correlations are terms of one aggregate over the rows, or of one for every
+    ``PAIRS_AT_ONCE`` pairs. A pair with a constant column, within rounding, has no correlation.
     """
     columns = list(columns)
-    if len(columns) < 2:
-        return df.sparkSession.createDataFrame([], "left string, right string, i int, j int, corr double")
-    numbers = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
-    centre = numbers.agg(*[F.avg(F.nanvl(c, F.lit(None).cast("double"))).alias(c) for c in numbers.columns]).first()
-    middle = np.array([x or 0.0 for x in centre])
-    upper = np.triu_indices(len(columns), 1)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = None
-        for batch in batches:
-            raw = batch.to_numpy(dtype=float)
-            known = ~np.isnan(raw)
-            x = np.where(known, raw - middle, 0.0)
-            m = known.astype(float)
-            part = np.stack([(m.T @ m)[upper], (x.T @ m)[upper], (m.T @ x)[upper], (x.T @ x)[upper],
-                             ((x * x).T @ m)[upper], (m.T @ (x * x))[upper]])
-            sums = part if sums is None else sums + part
-        if sums is not None:
-            yield pd.DataFrame({"i": upper[0], "j": upper[1], "n": sums[0], "sx": sums[1], "sy": sums[2],
-                                "sxy": sums[3], "sxx": sums[4], "syy": sums[5]})
-
-    parts = numbers.mapInPandas(partial, "i int, j int, n double, sx double, sy double, sxy double, sxx double, syy double")
-    s = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")])
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    noise = F.array(*[F.lit(float((SPREAD_NOISE * x) ** 2)) for x in middle])
-    varied = (vx > noise[F.col("i")] * F.col("n")) & (vy > noise[F.col("j")] * F.col("n"))
-    names = F.array(*map(F.lit, columns))
-    return s.select(names[F.col("i")].alias("left"), names[F.col("j")].alias("right"), "i", "j",
-                    F.when(varied, cov / (F.sqrt(vx) * F.sqrt(vy))).alias("corr"))
+    schema = "left string, right string, i int, j int, corr double"
+    numbers = df.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(f"c{k}") for k, c in enumerate(columns)])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    out = None
+    for at in range(0, len(pairs), PAIRS_AT_ONCE):
+        part = pairs[at:at + PAIRS_AT_ONCE]
+        varied = {k: F.var_pop(f"c{k}") > F.pow(F.lit(SPREAD_NOISE) * F.avg(f"c{k}"), F.lit(2.0)) for k in {k for pair in part for k in pair}}
+        corr = lambda i, j: F.nanvl(F.corr(f"c{i}", f"c{j}"), F.lit(None).cast("double"))
+        cells = [F.struct(F.lit(columns[i]).alias("left"), F.lit(columns[j]).alias("right"), F.lit(i).alias("i"), F.lit(j).alias("j"),
+                          F.when(varied[i] & varied[j], corr(i, j)).alias("corr")) for i, j in part]  # noqa: B023
+        found = numbers.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
+        out = found if out is None else out.unionAll(found)
+    return df.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def target_correlations(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:

@@ -439,19 +439,32 @@ def x11(spark, sf):
     return sampling.undersampled(ud, "rare", ["user_pseudo_id", "day"], ratio=4)
 
 
+@query("x11_undersample_sizes", with_ctes(USER_DAYS, """
+c AS (SELECT CASE WHEN signups >= 2 THEN 1 ELSE 0 END AS rare, count(*) AS n FROM ud GROUP BY 1), t AS (SELECT sum(n) AS a, max(n) AS b FROM c)""", """
+SELECT rare, CAST(CASE WHEN n = b THEN least(n, 4 * (a - b)) ELSE n END AS BIGINT) AS n FROM c, t WHERE CASE WHEN n = b THEN least(n, 4 * (a - b)) ELSE n END > 0"""))
+def x11_sizes(spark, sf):
+    return x11(spark, sf).groupBy("rare").agg(F.count("*").alias("n"))
+
+
 @query("x12_minority_synthesis")
 def x12(spark, sf):
     ud = bindings.user_days(spark, sf).withColumn("rare", ((F.col("views") >= 3) & (F.col("carts") >= 1)).cast("int"))
     return sampling.smote(ud.select("user_pseudo_id", "day", *FEATURES, "rare"), "rare", FEATURES, ["user_pseudo_id", "day"], 1, target_share=0.1)
 
 
-@query("x13_stratified_split")
+def _split_sql(*edges):
+    place = " ".join(f"WHEN (i - 0.5::DOUBLE) / n < {edge!r}::DOUBLE THEN {part}" for part, edge in enumerate(edges))
+    return with_ctes(USER_DAYS, "ix AS (SELECT outcome, row_number() OVER (PARTITION BY outcome ORDER BY user_pseudo_id, day) AS i, count(*) OVER (PARTITION BY outcome) AS n FROM ud)",
+                     f"SELECT outcome, CAST(CASE {place} ELSE {len(edges)} END AS INTEGER) AS part, count(*) AS n FROM ix GROUP BY 1, 2")
+
+
+@query("x13_stratified_split", _split_sql(0.7, 0.7 + 0.1))
 def x13(spark, sf):
     split = sampling.stratified_split(bindings.user_days(spark, sf), "outcome", ["user_pseudo_id", "day"])
     return split.groupBy("outcome", "part").agg(F.count("*").alias("n"))
 
 
-@query("x14_stratified_holdout")
+@query("x14_stratified_holdout", _split_sql(0.8))
 def x14(spark, sf):
     split = sampling.stratified_split(bindings.user_days(spark, sf), "outcome", ["user_pseudo_id", "day"], (0.8, 0.2))
     return split.groupBy("outcome", "part").agg(F.count("*").alias("n"))
@@ -477,6 +490,27 @@ def x17(spark, sf):
     return selection.mutual_information(bindings.user_days(spark, sf), "outcome", FEATURES).withColumn("mutual_information", r("mutual_information", 6))
 
 
+def _near_sql():
+    """Radius to the third nearest row of the class, rows of all classes within it, and psi from harmonic numbers."""
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, outcome AS c, CAST({c} AS DOUBLE) AS x, row_number() OVER () AS id FROM ud WHERE {c} IS NOT NULL" for c in FEATURES)
+    sides = ", ".join(f"abs(x - {way}(x, {i}) OVER w)" for way in ("lag", "lead") for i in (1, 2, 3))
+    return [f"lg AS ({long})", "cl AS (SELECT feature, c, count(*) AS nc FROM lg GROUP BY 1, 2 HAVING count(*) > 1)", "rw AS (SELECT lg.*, nc, least(3, nc - 1) AS k FROM lg JOIN cl USING (feature, c))",
+            f"nb AS (SELECT feature, c, x, nc, k, list_sort([d FOR d IN [{sides}] IF d IS NOT NULL])[k] AS r FROM rw WINDOW w AS (PARTITION BY feature, c ORDER BY x, id))",
+            "pt AS (SELECT feature, x, count(*) AS n FROM rw GROUP BY 1, 2)", "qs AS (SELECT feature, x, nc, k, r, count(*) AS n FROM nb GROUP BY 1, 2, 3, 4, 5)",
+            """ct AS (SELECT q.feature, q.x, q.nc, q.k, q.r, q.n, sum(p.n) AS m FROM qs q JOIN pt p ON p.feature = q.feature AND q.r > 0 AND p.x > q.x - q.r AND p.x < q.x + q.r GROUP BY ALL
+       UNION ALL SELECT q.feature, q.x, q.nc, q.k, q.r, q.n, p.n FROM qs q JOIN pt p ON p.feature = q.feature AND p.x = q.x WHERE q.r = 0)""",
+            "hn AS (SELECT i, coalesce(sum(1.0::DOUBLE / i) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS psi FROM (SELECT unnest(generate_series(1, (SELECT count(*) FROM ud))) AS i))",
+            "sm AS (SELECT feature, sum(n) AS nn, sum(n * a.psi) / sum(n) AS pk, sum(n * b.psi) / sum(n) AS pc, sum(n * d.psi) / sum(n) AS pm "
+            "FROM ct JOIN hn a ON a.i = k JOIN hn b ON b.i = nc JOIN hn d ON d.i = m GROUP BY 1)"]
+
+
+@query("x17_neighbour_information", with_ctes(USER_DAYS, *_near_sql(), "SELECT feature, round(greatest(psi + pk - pc - pm, 0), 6) AS mutual_information FROM sm JOIN hn ON i = nn"))
+def x17b(spark, sf):
+    from ..operators.information import neighbour_information
+
+    return neighbour_information(bindings.user_days(spark, sf), "outcome", FEATURES).withColumn("mutual_information", r("mutual_information", 6))
+
+
 @query("x16_correlated_regressors", with_ctes(SALES, """
 d AS (SELECT brand AS sku_id, date AS ds, CAST(sum(units_sold) AS DOUBLE) AS y, max(promo_flag) AS promo_flag, avg(discount_pct) AS discount_pct, max(stock_out_flag) AS stock_out_flag FROM sales GROUP BY 1, 2),
 c AS (SELECT 'promo_flag' AS feature, corr(promo_flag, y) AS c FROM d UNION ALL SELECT 'discount_pct', corr(discount_pct, y) FROM d UNION ALL SELECT 'stock_out_flag', corr(stock_out_flag, y) FROM d)""",

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions.scalars import calendar_parts, calendar_waves
-from ..operators import demand, forecasting
+from ..operators import demand, forecasting, scans
+from ..operators.scale import with_scalars
 from ..sources import bindings, readers
 from .registry import query
 from .sqlbase import SALES, with_ctes
@@ -24,14 +25,15 @@ def _backtest(spark, sf):
     """Hold-out days with two forecasts: the seasonal baseline and a naive copy of the last 30-day mean."""
     daily = _brand_daily(spark, sf)
     train, test = demand.split_at(daily, CUT)
-    base = forecasting.seasonal_baseline(train, 400).where("y IS NULL").select("sku_id", "ds", "yhat", F.lit("seasonal").alias("model"))
+    last = test.agg(F.max("ds").cast("string")).first()[0] or CUT   # the horizon is the last hold-out day
+    base = forecasting.seasonal_baseline(train, last).where("y IS NULL").select("sku_id", "ds", "yhat", F.lit("seasonal").alias("model"))
     recent = demand.trend_momentum(train).select("sku_id", F.col("recent_30_mean").alias("yhat"))
     flat = test.select("sku_id", "ds").join(recent, "sku_id").select("sku_id", "ds", "yhat", F.lit("flat").alias("model"))
     return test.select("sku_id", "ds", F.col("y").cast("double").alias("y")).join(base.unionByName(flat), ["sku_id", "ds"])
 
 
 BACKTEST = (SALES, BRAND_DAILY.replace("daily AS", "everyday AS"),
-            f"daily AS (SELECT * FROM everyday WHERE ds < DATE '{CUT}')", BASELINE.replace("generate_series(1, 30)", "generate_series(1, 400)"), f"""
+            f"daily AS (SELECT * FROM everyday WHERE ds < DATE '{CUT}')", BASELINE.replace("generate_series(1, 30)", "generate_series(1, 4000)"), f"""
 ag AS (SELECT sku_id, ds, y, row_number() OVER (PARTITION BY sku_id ORDER BY ds DESC) AS age, count(*) OVER (PARTITION BY sku_id) AS n FROM daily),
 rc AS (SELECT sku_id, CASE WHEN max(n) >= 90 THEN avg(CASE WHEN age <= 30 THEN y END) ELSE avg(y) END AS m FROM ag GROUP BY 1),
 tst AS (SELECT sku_id, ds, CAST(y AS DOUBLE) AS y FROM everyday WHERE ds >= DATE '{CUT}'),
@@ -102,7 +104,7 @@ def j4(spark, sf):
 
 @query("f6_lagged_forecaster")
 def f6(spark, sf):
-    return forecasting.lagged_forecaster(_brand_daily(spark, sf), CUT, rounds=5)
+    return forecasting.lagged_forecaster(_brand_daily(spark, sf), CUT)
 
 
 @query("f7_forecast_insights", with_ctes(SALES, BRAND_DAILY, BASELINE, "fx AS (SELECT *, round(yhat_upper - yhat_lower, 6) AS wd FROM fc)", """
@@ -192,6 +194,24 @@ def w14(spark, sf):
     return rounded(forecasting.regularised(_brand_daily(spark, sf)), 6, "y")
 
 
+GAPS = """
+ct AS (SELECT category, date AS ds, CAST(sum(units_sold) AS DOUBLE) AS y FROM sales GROUP BY 1, 2),
+cal AS (SELECT category, CAST(d AS DATE) AS ds FROM (SELECT DISTINCT category FROM ct), (SELECT unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS d FROM ct)),
+gp AS (SELECT category, ds, y FROM cal LEFT JOIN ct USING (category, ds))"""
+
+
+@query("w14_last_known_value", with_ctes(SALES, GAPS, """
+SELECT category, ds, coalesce(last_value(y IGNORE NULLS) OVER (PARTITION BY category ORDER BY ds ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  first_value(y IGNORE NULLS) OVER (PARTITION BY category ORDER BY ds ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS y FROM gp"""))
+def w14b(spark, sf):
+    """Every category on every day of the table; days without a sale take the last known total, and days before the first sale the first one."""
+    sales = bindings.sales(spark, sf, parts=True).select("category", F.col("date").alias("ds"), "units_sold")
+    daily = sales.groupBy("category", "ds").agg(F.sum("units_sold").cast("double").alias("y"))
+    span = sales.agg(F.min("ds").alias("a"), F.max("ds").alias("b"))
+    every = with_scalars(daily.select("category").distinct(), span).select("category", F.explode(F.sequence("a", "b")).alias("ds"))
+    return scans.filled(every.join(daily, ["category", "ds"], "left"), keys=["category"])
+
+
 @query("w17_half_stationarity", with_ctes(SALES, BRAND_DAILY, """
 ix AS (SELECT sku_id, CAST(y AS DOUBLE) AS y, row_number() OVER (PARTITION BY sku_id ORDER BY ds) AS i, count(*) OVER (PARTITION BY sku_id) AS n FROM daily),
 hs AS (SELECT sku_id, avg(y) FILTER (i <= n // 2) AS a, avg(y) FILTER (i > n // 2) AS b, stddev_pop(y) FILTER (i <= n // 2) AS c, stddev_pop(y) FILTER (i > n // 2) AS d FROM ix GROUP BY 1)""", """
@@ -224,6 +244,14 @@ def w7b(spark, sf):
     return forecasting.seasonality(acf, threshold=0.3)
 
 
+@query("w7_seasonal_peak", with_ctes(SALES, BRAND_DAILY, ACF.replace("BETWEEN 1 AND 365", "BETWEEN 0 AND 100000").replace("AND b.i - a.i <= a.n // 2 ", "AND b.i - a.i <= a.n - 1 "), """
+pk AS (SELECT sku_id, round(acf, 9) AS a, round(lag(acf) OVER w, 9) AS b, round(lead(acf) OVER w, 9) AS c, lag FROM acf WINDOW w AS (PARTITION BY sku_id ORDER BY lag))""", """
+SELECT sku_id, CAST(CASE WHEN any_value(n) >= 24 AND bool_or(coalesce(a > b AND a > c AND a > 0.3, false)) THEN 1 ELSE 0 END AS INTEGER) AS seasonal_peak
+FROM pk JOIN mn USING (sku_id) GROUP BY 1"""))
+def w7c(spark, sf):
+    return forecasting.seasonal_peaks(_brand_daily(spark, sf))
+
+
 @query("j5_actual_forecast_join", with_ctes(SALES, BRAND_DAILY, BASELINE, """
 SELECT d.sku_id, d.ds, CAST(d.y AS BIGINT) AS y, round(f.yhat, 4) AS yhat FROM daily d JOIN fc f ON d.sku_id = f.sku_id AND d.ds = f.ds"""))
 def j5(spark, sf):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import attribution, evaluation, index_score, models, scale
+from ..operators import attribution, clusters, evaluation, index_score, models, penalised, scale
 from ..sources import bindings
 from .registry import query
 from .sqlbase import USER_DAYS, with_ctes
@@ -43,12 +43,31 @@ def d1(spark, sf):
     return ud.agg(F.array(*cells).alias("_a")).select(F.inline("_a"))
 
 
-@query("d1_penalised_directions")
-def d1b(spark, sf):
-    ud = bindings.user_days(spark, sf)
-    ways = index_score.lasso_directions(ud, "outcome", FEATURES, 0.01)
-    cells = [F.struct(F.lit(f).alias("feature"), F.lit(w).alias("direction"), F.max(f).alias("top")) for f, w in ways.items()]
-    return ud.agg(F.array(*cells).alias("_a")).select(F.inline("_a"))
+def _descent_sql(penalty, sweeps=60):
+    """Coordinate descent on the co-moments, one coordinate a step of the recursion."""
+    n = len(FEATURES)
+    gram = ", ".join("[" + ", ".join(f"covar_pop({a}, {b})" for b in FEATURES) + "]" for a in FEATURES)
+    cross = ", ".join(f"covar_pop({a}, outcome)" for a in FEATURES)
+    return [f"gm AS (SELECT [{gram}] AS g, [{cross}] AS x FROM (SELECT {', '.join(f'CAST({f} AS DOUBLE) AS {f}' for f in FEATURES)}, CAST(outcome AS DOUBLE) AS outcome FROM ud))",
+            f"""cd AS (SELECT 0 AS step, {[0.0] * n}::DOUBLE[] AS w UNION ALL
+      SELECT step + 1, [CASE WHEN i = j THEN sign(pull) * greatest(abs(pull) - {penalty}::DOUBLE, 0) / g[j][j] ELSE w[i] END FOR i IN generate_series(1, {n})]
+      FROM (SELECT step, w, g, step % {n} + 1 AS j, x[step % {n} + 1] - list_inner_product(g[step % {n} + 1], w) + g[step % {n} + 1][step % {n} + 1] * w[step % {n} + 1] AS pull FROM cd, gm WHERE step < {n * sweeps}))"""]
+
+
+def _coefficient_query(name, penalty):
+    rows = " UNION ALL ".join(f"SELECT '{f}' AS feature, w[{i}] AS c FROM cd WHERE step = (SELECT max(step) FROM cd)" for i, f in enumerate(FEATURES, 1))
+    sql = with_ctes(USER_DAYS, *_descent_sql(penalty), f"SELECT feature, CASE WHEN c < 0 THEN 'MIN' ELSE 'MAX' END AS direction, round(c, 6) + 0.0 AS coefficient FROM ({rows})")
+
+    @query(name, sql.replace("WITH ", "WITH RECURSIVE ", 1))
+    def coefficients(spark, sf):
+        """From the moments of one aggregate over all rows; the table of coefficients has one row per feature."""
+        found = penalised.penalised(bindings.user_days(spark, sf), "outcome", FEATURES, penalty)
+        rows = [(f, "MIN" if c < 0 else "MAX", round(c, 6) + 0.0) for f, c in found.items()]
+        return spark.createDataFrame(rows, "feature string, direction string, coefficient double")
+
+
+_coefficient_query("d1_penalised_directions", 0.2)
+_coefficient_query("d1_lightly_penalised_directions", 0.01)
 
 
 @query("d2_normalised_features", with_ctes(USER_DAYS, NORM, f"SELECT user_pseudo_id, day, {', '.join(f'round({f}, 6) AS {f}' for f in FEATURES)} FROM nm"))
@@ -193,9 +212,26 @@ def d11b(spark, sf):
     return out.withColumns({"mean_score": r("mean_score", 4), "outcome_rate": r("outcome_rate", 4)})
 
 
-@query("d11_cluster_curve")
+CELLS = clusters.CELLS
+CLUSTERS = f"""
+s6 AS (SELECT round(s, 6) AS s, outcome FROM sc), mm AS (SELECT min(s) AS lo, max(s) AS hi FROM s6),
+ce AS (SELECT s, outcome, s - (lo + hi) / 2 AS d, least(CAST(floor((s - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END * {CELLS}) AS INTEGER), {CELLS - 1}) AS cell FROM s6, mm),
+fo AS (SELECT cell, CAST(count(*) AS DOUBLE) AS n, sum(d) AS s1, sum(d * d) AS s2 FROM ce GROUP BY 1),
+pr AS (SELECT row_number() OVER w AS i, cell, sum(n) OVER w AS c, sum(s1) OVER w AS s, sum(s2) OVER w AS q FROM fo WINDOW w AS (ORDER BY cell)
+       UNION ALL SELECT 0, -1, 0, 0, 0),
+co AS (SELECT a.i AS b, e.i AS e, greatest(e.q - a.q - (e.s - a.s) * (e.s - a.s) / (e.c - a.c), 0) AS cost FROM pr a JOIN pr e ON a.i < e.i),
+l1 AS (SELECT e, cost AS v FROM co WHERE b = 0),
+""" + ",\n".join(f"l{k} AS (SELECT co.e, min(v + cost) AS v, arg_min(co.b, v + cost) AS b FROM l{k - 1} p JOIN co ON co.b = p.e GROUP BY 1)" for k in range(2, 6)) + """,
+c4 AS (SELECT b AS i FROM l5 WHERE e = (SELECT max(i) FROM pr)), c3 AS (SELECT b AS i FROM l4 WHERE e = (SELECT i FROM c4)),
+c2 AS (SELECT b AS i FROM l3 WHERE e = (SELECT i FROM c3)), c1 AS (SELECT b AS i FROM l2 WHERE e = (SELECT i FROM c2)),
+cu AS (SELECT cell FROM pr WHERE i IN (SELECT i FROM c1 UNION SELECT i FROM c2 UNION SELECT i FROM c3 UNION SELECT i FROM c4))"""
+
+
+@query("d11_cluster_curve", with_ctes(*BASE, CLUSTERS, """
+SELECT CAST((SELECT count(*) FROM cu WHERE cu.cell < ce.cell) AS INTEGER) AS cluster, round(avg(s), 4) AS mean_score, round(avg(outcome) * 100, 4) AS outcome_rate, count(*) AS n FROM ce GROUP BY 1"""))
 def d11c(spark, sf):
-    return index_score.cluster_curve(_scored(spark, sf), "composite_index", "outcome")
+    scored = _scored(spark, sf).withColumn("s6", r("composite_index", 6))
+    return index_score.cluster_curve(scored, "s6", "outcome").withColumns({"mean_score": r("mean_score", 4), "outcome_rate": r("outcome_rate", 4)})
 
 
 @query("d12_improvement_targets", with_ctes(*BASE, LINE, """
@@ -364,7 +400,7 @@ def m6(spark, sf):
 def m6b(spark, sf):
     from .clean import FEATURES as columns
 
-    predicted = models.regression_predictions(bindings.user_days(spark, sf), "spend", columns, ["user_pseudo_id", "day"], rounds=5)
+    predicted = models.regression_predictions(bindings.user_days(spark, sf), "spend", columns, ["user_pseudo_id", "day"])
     return evaluation.regression_metrics(predicted, "actual", "predicted")
 
 
@@ -378,7 +414,7 @@ def m10(spark, sf):
 
 @query("m1_candidate_classifiers")
 def m1(spark, sf):
-    report, _ = models.compare_classifiers(bindings.user_days(spark, sf), "outcome", FEATURES, ["user_pseudo_id", "day"], names=["boosted_compact", "logistic_balanced"])
+    report, _ = models.compare_classifiers(bindings.user_days(spark, sf), "outcome", FEATURES, ["user_pseudo_id", "day"])
     return report
 
 

@@ -45,6 +45,18 @@ def s1(spark, sf):
     return readers.csv(spark, folder, c.schema)
 
 
+@query("s1_mixed_encodings", "SELECT c_custkey, 'Ünit né ' || c_name AS c_name FROM customer")
+def s1b(spark, sf):
+    """The customers in files of two encodings in one folder, told apart while they are read."""
+    c = readers.table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("Ünit né "), "c_name").alias("c_name"))
+
+    def write(frame, path):
+        for k, charset in enumerate(("UTF-8", "ISO-8859-1")):
+            frame.where(F.col("c_custkey") % 2 == k).write.mode("append").option("header", True).option("sep", ";").option("encoding", charset).csv(path)
+
+    return readers.csv(spark, _written(spark, c, write), c.schema)
+
+
 @query("s2_json_scan", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
 def s2(spark, sf):
     o = readers.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")

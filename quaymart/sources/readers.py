@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -34,37 +34,49 @@ _CODE_PAGE = {chr(i): bytes([i]).decode("cp1252", "ignore") for i in range(0x80,
 _UNUSED = [c for c, shown in _CODE_PAGE.items() if not shown]
 
 
-def text_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 (with or without a byte order mark) unless some line is not valid UTF-8; then the
-    Windows code page, or Latin-1 if the file has bytes that the code page does not know."""
-    if spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty():
-        return "utf-8"
-    # One column per line: the separator is a byte that text files do not hold.
-    lines = spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0001").schema("value string").csv(path)
-    odd = lines.where(F.col("value").rlike("[" + "".join(_UNUSED) + "]")).limit(1)
-    return "cp1252" if odd.isEmpty() else "latin1"
+def decoded_name(name: str) -> str:
+    """A header field that was read byte by byte."""
+    raw = name.encode("latin-1", "replace")
+    try:
+        return raw.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        return name if any(c in name for c in _UNUSED) else name.translate(str.maketrans({c: s for c, s in _CODE_PAGE.items() if s}))
+
+
+def decoded(column: Column) -> Column:
+    """Text that was read byte by byte (as Latin-1): UTF-8 where the bytes are valid UTF-8, else the Windows code page, or Latin-1 if
+    there are bytes that the code page does not know."""
+    raw = F.encode(column, "ISO-8859-1").cast("string")
+    shown = {c: s for c, s in _CODE_PAGE.items() if s}
+    single = F.when(column.rlike("[" + "".join(_UNUSED) + "]"), column).otherwise(F.translate(column, "".join(shown), "".join(shown.values())))
+    return F.when(F.is_valid_utf8(raw), F.regexp_replace(raw, "^\ufeff", "")).otherwise(single)
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
         encoding: str | None = None, delimiter: str | None = None) -> DataFrame:
     """CSV scan; the delimiter is settled from the header line alone.
 
-    Without a schema every column is read as text (use the coercion operators afterwards).
+    Without an ``encoding`` the bytes are read as they are and each text is decoded inside the same scan, so files, and lines of one file,
+    may differ in their encoding and nothing is read beforehand. Delimiters, quotes and line ends are ASCII in all of
+    these encodings. Without a schema every column is read as text (use the coercion operators afterwards).
     """
-    encoding = encoding or text_encoding(spark, path)
     if delimiter is None:
         head = spark.read.text(path).first()
         delimiter = header_delimiter(head[0] if head else "")
-    charset = {"cp1252": "ISO-8859-1", "latin1": "ISO-8859-1"}.get(encoding, encoding)
+    charset = {"cp1252": "ISO-8859-1", "latin1": "ISO-8859-1", None: "ISO-8859-1"}.get(encoding, encoding)
     reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", charset)
     if schema is not None:
         reader = reader.schema(schema)
     rows = reader.csv(path)
-    if encoding != "cp1252":
+    if encoding not in (None, "cp1252"):
         return rows
-    shown = {c: s for c, s in _CODE_PAGE.items() if s}
-    fix = lambda c: F.translate(F.col(f"`{c}`"), "".join(shown), "".join(shown.values()))
-    return rows.select(*[(fix(c) if t == "string" else F.col(f"`{c}`")).alias(c.translate(str.maketrans(shown))) for c, t in rows.dtypes])
+    if encoding is None:
+        name, fix = (decoded_name if schema is None else str), decoded
+    else:
+        shown = {c: s for c, s in _CODE_PAGE.items() if s}
+        name, fix = (lambda c: c.translate(str.maketrans(shown))), (lambda c: F.translate(c, "".join(shown), "".join(shown.values())))
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return rows.select(*[(fix(quoted(c)) if t == "string" else quoted(c)).alias(name(c)) for c, t in rows.dtypes])
 
 
 def json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
