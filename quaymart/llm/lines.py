@@ -8,8 +8,7 @@ one. Earlier means a smaller id.
 * Every line that several different texts hold is credited to its first holder, and each other
   text is aligned with that holder: as many pairs at most as lines, however many texts share one.
   Holders that many texts point to are dealt out in slots of about ``SLOT`` texts.
-* One kind of pair is left alone: a lone line that more than half of all texts hold (``MOST``), all
-  that a text shares with the line's first holder, and less than half of its different lines.
+* What decides is the pair alone, never how many texts there are or how many of them hold a line.
 * A line is deleted only where an earlier text holds it, and the first holder of a line never
   loses it, so no line disappears from the corpus.
 
@@ -28,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stores import free_names, stored, text_key
+from .stores import attach, free_names, stored, text_key
 
-MOST, HALF, SLOT = 0.5, 0.5, 2000
+SLOT = 2000
 BLANK = None
 
 
@@ -129,15 +128,12 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         order.alias("id"), text_key(text).alias("uid"), F.transform(F.split(F.col(text), "\n"), line).alias("lines"))
     texts = stored(hashed.groupBy("uid").agg(F.min(F.struct("id", "lines")).alias("first"), F.count("*").alias("n"))
                    .select("uid", F.col("first.id").alias("id"), F.col("first.lines").alias("lines"), "n"))
-    total = texts.count()
 
     different = F.filter(F.array_distinct("lines"), lambda x: x.isNotNull())
-    held = texts.select("uid", "id", F.size(different).alias("n_different"), F.explode(different).alias("line"))
+    held = stored(texts.select("uid", "id", F.explode(different).alias("line")))
     lines = held.groupBy("line").agg(F.count("*").alias("n"), F.min(F.struct("id", "uid")).alias("holder")).where("n > 1")
-    shared = held.join(lines, "line").where(F.col("holder.uid") != F.col("uid")) \
-        .select(F.col("holder.uid").alias("earlier"), "uid", "n_different", F.col("n").alias("texts"))
-    met = shared.groupBy("earlier", "uid", "n_different").agg(F.max("texts").alias("texts"), F.count("*").alias("n")) \
-        .where((F.col("n") > 1) | (F.col("texts") <= MOST * total) | (F.col("n") >= HALF * F.col("n_different")))
+    shared = attach(held, lines, "line").where(F.col("holder.uid") != F.col("uid")).select(F.col("holder.uid").alias("earlier"), "uid", F.col("n").alias("texts"))
+    met = shared.groupBy("earlier", "uid").agg(F.max("texts").alias("texts"))
     slots = F.ceil(F.col("texts") / SLOT)
     pairs = stored(met.select("earlier", "uid", F.struct(slots.alias("of"), F.pmod(F.xxhash64("uid"), slots).alias("nth")).alias("slot")))
     firsts = pairs.select("earlier", "slot").distinct().join(texts.select(F.col("uid").alias("earlier"), F.col("lines").alias("a")), "earlier")
