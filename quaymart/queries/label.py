@@ -295,11 +295,12 @@ def b11(spark, sf):
 @query("b12_contract_results")
 def b12(spark, sf):
     """Rows, features and label rate of every contract, on the web rows or, for the demand of items, on the item events."""
-    from ..session import shared
+    from ..session import written
 
-    web, out = shared(bindings.web_rows(spark, sf)), None
+    web, out = written(bindings.web_rows(spark, sf)), None
+    pack = written(contracts.behaviour(web))
     for number in sorted(contracts.CONTRACTS):
-        result = contracts.build(number, item_rows(spark, sf) if number == 6 else web)
+        result = contracts.build(number, item_rows(spark, sf) if number == 6 else web, pack=pack)
         row = result.frame.agg(F.lit(number).alias("contract"), F.lit(len(result.features)).alias("n_features"), F.count("*").alias("n_rows"), F.avg(result.contract.target).alias("target_mean"))
         out = row if out is None else out.unionByName(row)
     return out
