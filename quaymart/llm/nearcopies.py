@@ -12,11 +12,10 @@ Jaccard similarity is at least ``SIMILARITY``. Groups are the connected componen
 
 Exact copies are collapsed first. In a bucket of candidates every text is compared with the bucket's
 hub, the text that shares most buckets with most others. Where a bucket still holds different
-components, pairs between these are compared too. In large buckets most such pairs are ruled out
-first by a bound that cannot lose a link: shingles that no other text of these buckets has, as merged tables
-of saturating counters tell, cannot be common to a pair, so two texts of weight v and w, of which p and q are in such shingles, have at most
-m = min(v - p, w - q) in common and a similarity of at most m / (v + w - m). A group of thousands of
-copies thus costs about one comparison per text.
+components, pairs between these are compared too. In large buckets such pairs are sought by an exact
+prefix filter on what tells texts from the hub: texts that are not like the hub can be near each other only if they
+differ from it in much the same shingles. Shingles that no other text of these buckets has, as merged tables of saturating counters
+tell, are joined with nothing. A group of thousands of copies thus costs about one comparison per text.
 
 Defined results: a null text counts as empty; equal texts, also empty ones, are one class; a text
 without words is like no other text. A text of one to four words is one shingle. ``class_id`` is
@@ -44,7 +43,8 @@ CHUNK_DOCS = 4096          # documents counted together when candidates for freq
 PASS_CANDIDATES = 4_000_000  # candidates counted in one pass
 ELEMENTS = 1 << 15
 CELLS_LOG2, LEAST_LOG2, CHUNK_LOG2 = 26, 16, 18   # counters of a table: at most, at least, and in one chunk of it
-SMALL_BUCKET = 32          # up to here the pairs between components are compared at once, without the bound
+SMALL_BUCKET = 32          # up to here the pairs between components are compared at once, without the filter
+APART = (1 - SIMILARITY) / (1 + SIMILARITY)   # similar texts differ by at most this part of the sum of their weights
 
 
 def shingled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -294,59 +294,100 @@ def _once(texts: DataFrame, log2: int) -> np.ndarray:
     return bits
 
 
-def _own_weights(texts: DataFrame, log2: int, shipped) -> DataFrame:
-    """``uid``, weight ``w`` of the text, and at most the weight of its shingles that no other of the texts has, ``p``: one row per text."""
+def _differences(sides: DataFrame, texts: DataFrame, log2: int, shipped) -> DataFrame:
+    """``hub``, ``uid``, ``linked``, weight ``w`` of the text, weight ``d`` of its difference from its hub, the part ``p`` of ``d`` that no other of the
+    texts has, ``tokens`` of the difference in the order of the filter, and how many of these the ``short`` prefix has (see ``_by_differences``)."""
     once = texts.sparkSession.sparkContext.broadcast(_once(texts, log2))
 
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                h, counts, offsets = bags(*shingled(batch.column(1)))
-                owner, cells = np.repeat(np.arange(len(batch)), np.diff(offsets)), _cells(h, log2)
-                weight = counts * shipped.value.weights(h)
-                own = weight * (once.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1)
-                sums = [pa.array(np.bincount(owner, x, len(batch))) for x in (weight, own)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *sums], ["uid", "w", "p"])
-
-    return texts.select("uid", "text").mapInArrow(weigh, "uid binary, w double, p double")
-
-
-def _weighed(open_: DataFrame, texts: DataFrame, shipped) -> DataFrame:
-    """``open_`` with the weight of each text and that of its shingles that no other text there has.
+                n, keys, sums = len(batch), [], []
+                found = []
+                for column, sign in ((3, 1), (4, -1)):
+                    h, counts, offsets = bags(*shingled(batch.column(column)))
+                    owner = np.repeat(np.arange(n), np.diff(offsets))
+                    keys.append(h ^ mix(owner.astype(np.uint64) + np.uint64(1)))
+                    found.append((h, counts * sign, owner))
+                    sums.append(np.bincount(owner, counts * shipped.value.weights(h), n))
+                h, counts, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+                _, first, group = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+                held = np.bincount(group, counts < 0, len(first)) > 0
+                h, owner, diff = h[first], owner[first], np.bincount(group, counts, len(first))
+                some = diff != 0
+                h, owner, diff, held = h[some], owner[some], diff[some], held[some]
+                cells, idf = _cells(h, log2), shipped.value.weights(h)
+                own = (once.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool) & ~held
+                order = np.lexsort((h, -idf, diff < 0, ~own, owner))
+                h, owner, diff, own, weight = h[order], owner[order], diff[order], own[order], (np.abs(diff) * idf)[order]
+                d, p = np.bincount(owner, weight, n), np.bincount(owner, weight * own, n)
+                before = np.cumsum(weight) - weight - np.concatenate([[0.0], np.cumsum(d)])[owner]
+                linked = batch.column(2).to_numpy(zero_copy_only=False)
+                w, hub = sums
+                far = (d + (hub - w) * APART) / 2                           # least overlap with a text that is not like the hub
+                near = np.where(linked, far, (d - (w + hub) * APART) / 2)   # least overlap with any text
+                slack = 1e-6 * (w + hub + 1)
+                long = (before <= (d - near + slack)[owner]) & ~own
+                short = long & (before <= (d - far + slack)[owner])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[long], np.arange(n + 1)), pa.int32()),
+                                                 pa.array((h[long] ^ (diff[long] < 0)).view(np.int64)))
+                counted = pa.array(np.bincount(owner[short], minlength=n).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(w), pa.array(d), pa.array(p), lists, counted],
+                                                 ["hub", "uid", "linked", "w", "d", "p", "tokens", "short"])
+
+    return sides.select("hub", "uid", "linked", "text", "hub_text") \
+        .mapInArrow(cut, "hub binary, uid binary, linked boolean, w double, d double, p double, tokens array<long>, short int")
+
+
+def _by_differences(open_: DataFrame, texts: DataFrame, shipped) -> DataFrame:
+    """Pairs (a, b) of texts of one bucket in different components that may be similar enough; ``open_`` names the hub of each bucket.
+
+    Let D(x) be the difference between x and the hub: shingles that x has more often, and those that it has less often. For x and y
+    with weights v and w, the weight of their own difference is |D(x)| + |D(y)| - 2 |D(x) & D(y)|, and they are similar enough if that is at
+    most ``APART * (v + w)``. At least one of them, being in another component, is not like the hub, so |D| is more than
+    ``APART`` times its weight and the hub's: D(x) and D(y) must have a certain weight in common. All differences of a hub are ordered alike
+    (what no other text has, then what the hub lacks, then what the text lacks), so such pairs share a token of the prefixes that leave
+    less than that weight. Tokens that no other text has are joined with nothing. Neither step can lose a link.
 
     Shingles are counted in a table of saturating counters whose size follows the bytes of the texts up to
-    ``2 ** CELLS_LOG2`` cells; more texts are taken in passes by band, each with a table of its own. Shingles that share a cell look
-    shared, which makes the bound looser and never loses a link.
+    ``2 ** CELLS_LOG2`` cells; more texts are taken in passes by hub, each with a table of its own. Shingles that share a cell look
+    shared, which makes more tokens and never loses a link.
     """
-    some = stored(texts.join(open_.select("uid").distinct(), "uid").select("uid", "text", (F.octet_length("text") / 4 + 1).cast("bigint").alias("room")))
+    members = stored(open_.select("hub", "uid", "c", "bands").distinct())
+    some = stored(texts.join(members.select("uid").distinct(), "uid").select("uid", "text", (F.octet_length("text") / 4 + 1).cast("bigint").alias("room")))
     room = some.agg(F.sum("room")).first()[0] or 0
     passes = 1
     if room > 1 << CELLS_LOG2:
-        wide = open_.select("band", "uid").join(some.select("uid", "room"), "uid").agg(F.sum("room")).first()[0]
+        wide = members.join(some.select("uid", "room"), "uid").agg(F.sum("room")).first()[0]
         passes = -(-wide // (1 << CELLS_LOG2))
     log2 = min(max(int(room).bit_length(), LEAST_LOG2), CELLS_LOG2)
+    hubs = members.where(F.col("hub") == F.col("uid")).select("hub", F.col("c").alias("hub_c"))
+    placed = members.where(F.col("hub") != F.col("uid")).join(hubs, "hub").select("hub", "uid", (F.col("c") == F.col("hub_c")).alias("linked"))
+    overlap = F.least(F.col("dx") - F.col("px"), F.col("dy") - F.col("py"))
+    condition = (F.col("cx") < F.col("cy")) & ((F.col("linkedx") != F.col("linkedy")) | (F.col("shortx") & F.col("shorty"))) \
+        & (F.col("dx") + F.col("dy") - 2 * overlap <= APART * (F.col("wx") + F.col("wy")) + 1e-6 * (F.col("wx") + F.col("wy") + 1)) \
+        & F.arrays_overlap("bandsx", "bandsy")
     out = None
     for k in range(passes):
-        part = open_ if passes == 1 else open_.where(F.pmod(F.xxhash64("band"), F.lit(passes)) == k)
-        of_part = some if passes == 1 else some.join(part.select("uid").distinct(), "uid")
-        known = stored(_own_weights(of_part, log2, shipped))
-        # A text whose own shingles leave too little can be near no other one.
-        left = part.join(known.where(F.col("w") - F.col("p") >= SIMILARITY * F.col("w") - 1e-6), "uid")
-        out = left if out is None else out.unionAll(left)
+        of_pass = lambda df: df if passes == 1 else df.where(F.pmod(F.xxhash64("hub"), F.lit(passes)) == k)  # noqa: B023, E731
+        of_part = some if passes == 1 else some.join(of_pass(members).select("uid").distinct(), "uid")
+        sides = of_pass(placed).join(some.select(F.col("uid").alias("hub"), F.col("text").alias("hub_text")), "hub").join(some.select("uid", "text"), "uid")
+        known = stored(_differences(sides, of_part, log2, shipped).where(F.size("tokens") > 0))
+        rows = known.join(members, ["hub", "uid"]).select("hub", "uid", "linked", "w", "d", "p", "c", "bands", "short", F.posexplode("tokens").alias("at", "token")) \
+            .withColumn("short", ~F.col("linked") & (F.col("at") < F.col("short"))).drop("at")
+        side = lambda n: rows.select(*[F.col(c).alias(c + n) for c in rows.columns])  # noqa: B023, E731
+        pairs = side("x").join(side("y"), (F.col("hubx") == F.col("huby")) & (F.col("tokenx") == F.col("tokeny")) & condition) \
+            .select(F.least("uidx", "uidy").alias("a"), F.greatest("uidx", "uidy").alias("b"))
+        out = pairs if out is None else out.unionAll(pairs)
     return out
 
 
 def _across(open_: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts of one bucket in different components that may be similar enough."""
-    bounded = "w" in open_.columns
+    """Pairs (a, b) of texts of one small bucket in different components."""
     side = lambda n: open_.select("band", *[F.col(c).alias(c + n) for c in open_.columns if c != "band"])
-    condition = F.col("cx") < F.col("cy")
-    if bounded:
-        common = F.least(F.col("wx") - F.col("px"), F.col("wy") - F.col("py"))
-        condition = condition & (common >= SIMILARITY * (F.col("wx") + F.col("wy") - common) - 1e-6)
     # A pair that shares several bands is made in the first of them alone.
     earlier = F.zip_with(F.slice("bandsx", 1, F.col("ix")), F.slice("bandsy", 1, F.col("ix")), lambda a, b: a == b)
-    condition = condition & ~F.exists(earlier, lambda same: same)
+    condition = (F.col("cx") < F.col("cy")) & ~F.exists(earlier, lambda same: same)
     return side("x").join(side("y").withColumnRenamed("band", "band_y"), (F.col("band") == F.col("band_y")) & condition) \
         .select(F.least("uidx", "uidy").alias("a"), F.greatest("uidx", "uidy").alias("b"))
 
@@ -389,7 +430,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     placed = inside.join(found.withColumnRenamed("node", "uid"), "uid", "left").select("band", "i", "uid", "n", F.coalesce("component", "uid").alias("c"))
     mixed = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low != high").select("band")
     open_ = stored(placed.join(mixed, "band").join(units.select("uid", "bands"), "uid"))
-    across = _across(open_.where(F.col("n") <= SMALL_BUCKET)).unionAll(_across(_weighed(open_.where(F.col("n") > SMALL_BUCKET), texts, shipped)))
+    across = _across(open_.where(F.col("n") <= SMALL_BUCKET)).unionAll(_by_differences(open_.where(F.col("n") > SMALL_BUCKET).join(hubs, "band"), texts, shipped))
     more = _verified(across.distinct().join(stars, ["a", "b"], "left_anti"), texts, shipped)
     if more.limit(1).count():
         found = components(edges.select("a", "b").unionAll(more.select("a", "b")))

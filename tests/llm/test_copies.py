@@ -155,6 +155,38 @@ def test_bound_in_passes_and_small_tables(spark, corpus, monkeypatch):
     assert {r.doc_id: r.class_id for r in nearcopies.near_copies(frame_).collect()} == brute_classes(docs)
 
 
+@pytest.mark.parametrize("log2", [6, 20])
+def test_differences_from_the_hub_lose_no_link(spark, monkeypatch, log2):
+    monkeypatch.setattr(nearcopies, "CELLS_LOG2", log2)
+    monkeypatch.setattr(nearcopies, "LEAST_LOG2", 6)
+    monkeypatch.setattr(nearcopies, "CHUNK_LOG2", min(log2, 18))
+    rng = random.Random(21)
+    base = words(5, 100)
+    texts_ = [" ".join(base)]
+    for spot in range(12):
+        drifted = edited(rng, base, 1 + spot % 5)
+        for _ in range(6):
+            texts_.append(" ".join(edited(rng, drifted, rng.randrange(4))))
+    texts_ += [" ".join(base[:60 + k] + words(800 + k, 30)) for k in range(8)] + [" ".join(base * 2), " ".join(base[:30] * 3), " ".join(base + base[:20])]
+    texts_ = sorted(set(texts_), key=texts_.index)
+    common = Counter(s for t in texts_ for s in set(nearcopies.shingled(pa.array([t]))[0].tolist()))
+    often = [s for s, k in common.items() if k > 20]
+    weights = nearcopies.Frequencies(np.array(often, np.uint64), np.array([common[s] for s in often]), len(texts_))
+    of = lambda pairs: nearcopies.similarities(pa.array([texts_[a] for a, _ in pairs]), pa.array([texts_[b] for _, b in pairs]), weights)
+    near_hub = of([(0, k) for k in range(len(texts_))]) >= nearcopies.SIMILARITY
+    name = lambda k: f"{k:04d}".encode()
+    open_ = spark.createDataFrame([(name(0), name(k), name(0 if near_hub[k] else k), [7]) for k in range(len(texts_))],
+                                  "hub binary, uid binary, c binary, bands array<long>")
+    frame_ = spark.createDataFrame([(name(k), t) for k, t in enumerate(texts_)], "uid binary, text string")
+    found = {(int(bytes(r.a)), int(bytes(r.b))) for r in nearcopies._by_differences(open_, frame_, spark.sparkContext.broadcast(weights)).distinct().collect()}
+    every = [(a, b) for a in range(len(texts_)) for b in range(a + 1, len(texts_)) if not (near_hub[a] and near_hub[b])]
+    links = {p for p, s in zip(every, of(every)) if s >= nearcopies.SIMILARITY}
+    assert links and links <= found <= set(every)
+    assert any(near_hub[a] != near_hub[b] for a, b in links) and any(not near_hub[a] and not near_hub[b] for a, b in links)
+    if log2 == 20:
+        assert len(found) < len(every) / 2
+
+
 def test_hot_group_of_near_copies(spark):
     rng = random.Random(9)
     base = words(77, 150)
