@@ -155,7 +155,7 @@ def test_bound_in_passes_and_small_tables(spark, corpus, monkeypatch):
     assert {r.doc_id: r.class_id for r in nearcopies.near_copies(frame_).collect()} == brute_classes(docs)
 
 
-@pytest.mark.parametrize("log2", [6, 20])
+@pytest.mark.parametrize("log2", [12, 20])
 def test_differences_from_the_hub_lose_no_link(spark, monkeypatch, log2):
     monkeypatch.setattr(nearcopies, "CELLS_LOG2", log2)
     monkeypatch.setattr(nearcopies, "LEAST_LOG2", 6)
