@@ -251,6 +251,47 @@ def test_passages_are_found_where_planted(spark, corpus):
                 assert d in {r.doc_id for r in rows}
 
 
+def multiset_similarity(a, b):
+    x, y = Counter(shingles(" ".join(a))), Counter(shingles(" ".join(b)))
+    return sum((x & y).values()) / sum((x | y).values())
+
+
+def drifting(rng, chains, generations, phrases):
+    """Documents that each hold a passage of 64 words with one word of its predecessor's changed, between other words and frequent phrases."""
+    docs, passage_of = {}, {}
+    for chain in range(chains):
+        passage = words(40_000 + chain, 64)
+        for g in range(generations):
+            if g:
+                passage = list(passage)
+                passage[rng.randrange(len(passage))] = f"new{rng.randrange(10**6)}"
+            at = 1_000 * g + chain
+            around = [words(50_000 + 2 * at + side, rng.randrange(10, 60)) + rng.choice(phrases) for side in (0, 1)]
+            docs[at], passage_of[at] = " ".join(around[0] + list(passage) + around[1]), list(passage)
+    return docs, passage_of
+
+
+def test_copies_of_copies_are_found(spark):
+    rng = random.Random(11)
+    docs, passage_of = drifting(rng, 30, 8, [words(60_000 + k, 14) for k in range(5)])
+    rows = passages.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    wanted = {d for d in docs if any(e < d and e % 1_000 == d % 1_000 and multiset_similarity(passage_of[d], passage_of[e]) >= 0.8 for e in docs)}
+    assert len(wanted) == 210
+    assert len(wanted & {r.doc_id for r in rows}) >= 0.95 * len(wanted)
+    assert len({(r.doc_id, r.start_word, r.other_doc_id) for r in rows}) == len(rows)
+    for r in rows:
+        assert r.doc_id % 1_000 == r.other_doc_id % 1_000 and r.other_doc_id < r.doc_id and r.n_words >= 50
+        a, b = (tokens(docs[d])[s:s + n] for d, s, n in ((r.doc_id, r.start_word, r.n_words), (r.other_doc_id, r.other_start_word, r.other_n_words)))
+        assert multiset_similarity(a, b) == pytest.approx(r.similarity) and r.similarity >= 0.8
+
+
+def test_distances_reach_every_near_holder_and_the_farthest():
+    for holders in (0, 1, 15, 16, 17, 1_000, 10 ** 6):
+        steps = passages._distances(holders)
+        assert steps[:16] == list(range(1, 17)) and steps[-1] >= holders and sorted(set(steps)) == steps
+        assert all(b - a <= max(1, a // 4) for a, b in zip(steps, steps[1:])) and len(steps) <= 100
+
+
 def test_alignment_is_a_common_subsequence():
     rng = random.Random(2)
     for _ in range(300):
