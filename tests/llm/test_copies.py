@@ -271,13 +271,21 @@ def drifting(rng, chains, generations, phrases):
     return docs, passage_of
 
 
-def test_copies_of_copies_are_found(spark):
+@pytest.mark.parametrize("ordered", [True, False])
+def test_copies_of_copies_are_found(spark, ordered):
     rng = random.Random(11)
     docs, passage_of = drifting(rng, 30, 8, [words(60_000 + k, 14) for k in range(5)])
+    if not ordered:   # generations in random order of ids, chain by chain
+        to = {}
+        for chain in range(30):
+            mine = [d for d in docs if d % 1_000 == chain]
+            to.update(zip(mine, rng.sample(mine, len(mine))))
+        docs, passage_of = {to[d]: t for d, t in docs.items()}, {to[d]: t for d, t in passage_of.items()}
     rows = passages.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
     wanted = {d for d in docs if any(e < d and e % 1_000 == d % 1_000 and multiset_similarity(passage_of[d], passage_of[e]) >= 0.8 for e in docs)}
-    assert len(wanted) == 210
-    assert len(wanted & {r.doc_id for r in rows}) >= 0.95 * len(wanted)
+    recall = len(wanted & {r.doc_id for r in rows}) / len(wanted)
+    print(f"recall {recall:.3f} of {len(wanted)}")
+    assert len(wanted) > 100 and recall >= (0.95 if ordered else 0.9)
     assert len({(r.doc_id, r.start_word, r.other_doc_id) for r in rows}) == len(rows)
     for r in rows:
         assert r.doc_id % 1_000 == r.other_doc_id % 1_000 and r.other_doc_id < r.doc_id and r.n_words >= 50
