@@ -24,6 +24,16 @@ def _c(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of the rows where both are known, as an aggregate; NULL where one of them does not vary.
+
+    Spark's own ``corr`` divides by zero there, which is an error in the ANSI mode.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.sqrt(F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y)))
+    return F.nanvl(F.try_divide(F.covar_pop(x, y), spread), F.lit(None).cast("double"))
+
+
 def clip(value, low=None, high=None) -> Column:
     """Bound a value; NULL stays NULL."""
     out = _c(value)

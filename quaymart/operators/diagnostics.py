@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import cents
+from ..functions.scalars import cents, correlation
 from .scale import exact_quantiles, one_row, with_scalars
 
 
@@ -71,7 +71,7 @@ def lag_correlation(daily: DataFrame, lags: Sequence[int] = (1, 7), keys: Sequen
     order = Window.partitionBy(*keys).orderBy("ds")
     y = F.col("y").cast("double")
     rows = daily.select(*keys, y.alias("y"), *[F.lag(y, k).over(order).alias(f"_l{k}") for k in lags])
-    corr = lambda k: F.coalesce(F.nanvl(F.corr("y", f"_l{k}"), F.lit(0.0)), F.lit(0.0))
+    corr = lambda k: F.coalesce(correlation(F.col("y"), F.col(f"_l{k}")), F.lit(0.0))
     return rows.groupBy(*keys).agg(F.count("*").alias("_n"), *[corr(k).alias(f"lag_{k}_autocorr") for k in lags]) \
         .where("_n >= 14").drop("_n")
 
@@ -245,4 +245,4 @@ def quantile_bucket_means(df: DataFrame, score: str, outcome: str, percents: Seq
 
 
 def corr_columns(pairs: Sequence[tuple[str, str]]) -> list[Column]:
-    return [F.nanvl(F.corr(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(None)).alias(f"{a}~{b}") for a, b in pairs]
+    return [correlation(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}~{b}") for a, b in pairs]

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import correlation
+
 PAIRS_AT_ONCE = 100   # terms of one aggregate
 SPREAD_NOISE = 1e-12   # spread relative to the size of the values below which a column counts as constant
 
@@ -25,18 +27,17 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     for at in range(0, len(pairs), PAIRS_AT_ONCE):
         part = pairs[at:at + PAIRS_AT_ONCE]
         varied = {k: F.var_pop(f"c{k}") > F.pow(F.lit(SPREAD_NOISE) * F.avg(f"c{k}"), F.lit(2.0)) for k in {k for pair in part for k in pair}}
-        corr = lambda i, j: F.nanvl(F.corr(f"c{i}", f"c{j}"), F.lit(None).cast("double"))
         cells = [F.struct(F.lit(columns[i]).alias("left"), F.lit(columns[j]).alias("right"), F.lit(i).alias("i"), F.lit(j).alias("j"),
-                          F.when(varied[i] & varied[j], corr(i, j)).alias("corr")) for i, j in part]  # noqa: B023
+                          F.when(varied[i] & varied[j], correlation(F.col(f"c{i}"), F.col(f"c{j}"))).alias("corr")) for i, j in part]  # noqa: B023
         found = numbers.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))
         out = found if out is None else out.unionAll(found)
     return df.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def target_correlations(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
-    """Correlation of every column with the target, one row each, from one pass."""
+    """Correlation of every column with the target, one row each, from one pass; NULL where one of the two does not vary."""
     y = F.col(target).cast("double")
-    cells = [F.struct(F.lit(c).alias("feature"), F.nanvl(F.corr(F.col(c).cast("double"), y), F.lit(None).cast("double")).alias("corr"),
+    cells = [F.struct(F.lit(c).alias("feature"), correlation(F.col(c).cast("double"), y).alias("corr"),
                       F.count_if(F.col(c).isNotNull() & y.isNotNull()).alias("n"))
              for c in columns]
     return df.agg(F.array(*cells).alias("_c")).select(F.inline("_c"))

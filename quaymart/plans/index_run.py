@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import correlation
 from ..operators.index_score import Goal, improvement_targets
 
 
@@ -23,7 +24,7 @@ def category_run(scored: DataFrame, score_columns: Mapping[str, str], outcome: s
         x = F.col(c).cast("double")
         cells.append(F.struct(
             F.lit(k).alias("category"), F.lit(int(feature_counts[k])).alias("feature_count"), F.count(x).alias("row_count"),
-            F.corr(x, y).alias("target_correlation"), F.regr_slope(v, x).alias("_slope"), F.regr_intercept(v, x).alias("_icept"),
+            correlation(x, y).alias("target_correlation"), F.regr_slope(v, x).alias("_slope"), F.regr_intercept(v, x).alias("_icept"),
             F.avg(v).alias("current_outcome"), F.avg(x).alias("current_score"), F.min(x).alias("score_min"), F.max(x).alias("score_max")))
     rows = scored.agg(F.array(*cells).alias("_a")).select(F.inline("_a"))
     lines = rows.withColumns({"slope": F.coalesce(F.nanvl("_slope", F.lit(0.0)), F.lit(0.0)), "intercept": F.coalesce("_icept", "current_outcome")})

@@ -520,6 +520,8 @@ def x16(spark, sf):
 
     daily = daily_demand(bindings.brand_lines(spark, sf))
     out = selection.target_correlations(daily, "y", ["promo_flag", "discount_pct", "stock_out_flag"])
+    # A regressor that never varies stays in the table with NaN, as the SQL has it; ``correlated_regressors`` leaves it out.
+    out = out.withColumn("corr", F.coalesce("corr", F.when(F.col("n") > 0, F.lit(float("nan")))))
     return out.where(F.abs("corr") >= 0.05).select("feature", r("corr", 6).alias("corr"))
 
 

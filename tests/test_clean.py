@@ -207,3 +207,23 @@ def test_nearest_rows_are_those_of_brute_force(spark, dimensions):
     got = np.full(want.shape, np.nan)
     got[found["_place"], found["_nth"] - 1] = away[found["_place"], found["_peer"]]
     assert np.allclose(got, want, rtol=1e-12, atol=0)
+
+
+def test_constant_columns_have_no_correlation(spark):
+    from quaymart.operators import selection
+
+    rows = spark.createDataFrame([(1, float(i % 7), 2.0 * i + i % 3, None if i % 2 else 3) for i in range(50)], "flag int, x double, y double, gap int")
+    found = {r["feature"]: r["corr"] for r in selection.target_correlations(rows, "y", ["flag", "x", "gap"]).collect()}
+    assert found["flag"] is None and found["gap"] is None and found["x"] == pytest.approx(rows.toPandas()["x"].corr(rows.toPandas()["y"]))
+    assert selection.correlated_regressors(rows, "y", ["flag", "y"]) == ["y"]
+
+
+def test_regressors_that_never_vary_are_listed_with_nan(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    for t, sql in (("lineitem", "SELECT id AS l_orderkey, 1L AS l_partkey, 1L AS l_suppkey, 1 AS l_linenumber, double(1 + id % 5) AS l_quantity, double(10 + id) AS l_extendedprice, 0.06D AS l_discount, 0.01D AS l_tax, "
+                    "CASE WHEN id % 5 > 2 THEN 'R' ELSE 'N' END AS l_returnflag, 'O' AS l_linestatus, timestamp(date_add(date '2000-01-01', int(id))) AS l_shipdate FROM range(40)"),
+                   ("part", "SELECT 1L AS p_partkey, 'p' AS p_name, 'Brand#1' AS p_brand, 't' AS p_type, 1 AS p_size, 1.0D AS p_retailprice")):
+        spark.sql(sql).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
+    found = {r["feature"]: r["corr"] for r in entry.queries()["x16_correlated_regressors"](spark, str(tmp_path)).collect()}
+    assert found["promo_flag"] != found["promo_flag"] and abs(found["stock_out_flag"]) > 0.5
