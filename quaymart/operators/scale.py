@@ -62,9 +62,9 @@ def attach_group_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], wei
     aside = F.col("_hit").isNotNull()
     for k in keys:
         aside = aside | F.col(k).isNull()
-    # The spread of a row only balances tasks; it never decides a match.
-    out = out.withColumn("_spread", F.when(aside, F.pmod(F.hash(*df.columns) + F.spark_partition_id(), F.lit(SPREAD)) + 1)
-                         .otherwise(F.lit(0)))
+    # The spread of a row only balances tasks; it never decides a match. As an int the sum overflows for hashes near the largest.
+    ticket = F.hash(*df.columns).cast("bigint") + F.spark_partition_id()
+    out = out.withColumn("_spread", F.when(aside, F.pmod(ticket, F.lit(SPREAD)).cast("int") + 1).otherwise(F.lit(0)))
     on_light = [F.when(F.col("_spread") == 0, F.col(k)) == F.col(f"_l_{k}") for k in keys]
     out = out.join(light, [*on_light, F.col("_spread") == F.col("_l_spread")], "left")
     return out.select(*df.columns, *[F.coalesce(F.col(f"_h_{c}"), F.col(f"_l_{c}")).alias(c) for c in added])

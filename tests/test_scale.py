@@ -139,6 +139,14 @@ def test_no_row_level_shuffle_of_the_heavy_keys(skewed):
     assert "_spread" in plan
 
 
+def test_spread_of_the_largest_hashes(spark):
+    """The hash of this row is the largest int but one, so that any later partition number takes the sum out of range."""
+    rows = spark.range(0, 8, numPartitions=8).select(F.lit("k").alias("k"), F.lit(139504142).cast("bigint").alias("v"))
+    assert rows.select(F.hash("k", "v")).first()[0] == 2 ** 31 - 2
+    stats = rows.groupBy("k").agg(F.count("*").alias("w"), F.max("v").alias("m"))
+    assert [r["m"] for r in scale.attach_group_stats(rows, stats, ["k"], "w").collect()] == [139504142] * 8
+
+
 def test_scratch_folder_needs_a_shared_place_on_a_cluster(spark):
     from types import SimpleNamespace
 
