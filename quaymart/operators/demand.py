@@ -49,26 +49,29 @@ def trend_momentum(daily: DataFrame, keys: Sequence[str] = ("sku_id",), low: flo
 
 
 def _counted(frame: DataFrame) -> DataFrame:
-    """Sales lines in the columns of a supply cube, each line counted once; a cube stays as it is."""
+    """Sales lines in the columns of a supply cube, each line counted once; a cube and folded lines stay as they are."""
     if "orders" in frame.columns:
         return frame
     money = lambda c: cents(c).cast("decimal(18,0)") if c in frame.columns else F.lit(None).cast("decimal(18,0)")
-    units = F.col("units_sold").cast("bigint")
+    units, days = F.col("units_sold").cast("bigint"), F.col("lead_time_days").cast("bigint") if "lead_time_days" in frame.columns else F.lit(None).cast("bigint")
     return frame.withColumns({
+        "lead_rows": F.when(days.isNotNull(), F.lit(1).cast("bigint")), "lead_sum": days, "lead_squares": days * days,
         "orders": F.lit(1).cast("bigint"), "stock_outs": F.col("stock_out_flag").cast("bigint"), "units": units,
         "value": (cents("list_price") * units).cast("decimal(18,0)"), "price_sum": money("list_price"), "cost_sum": money("purchase_cost"),
         "margin_sum": F.col("margin_pct") if "margin_pct" in frame.columns else F.lit(None).cast("double")})
 
 
+SUPPLY_SUMS = ("orders", "stock_outs", "units", "value", "price_sum", "cost_sum", "margin_sum", "lead_rows", "lead_sum", "lead_squares")
+
+
 def supply_cube(sales: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
-    """Sales lines counted per item, supplier and lead time in one pass; money in cents.
+    """Sales lines summed per item and supplier in one pass; money in cents.
 
-    Lead times are whole days, so the cube does not grow with the number of lines of a pair, and a
-    very frequent item or supplier is folded before the first shuffle. The statistics below read
-    either a cube or plain lines; a cube pays when several of them are wanted.
+    Lead times enter by their number, sum and sum of squares, so a cube has one row per pair. What
+    vendors are told apart by reads either a cube or plain lines; a cube pays when several of them
+    are wanted. Quantiles of lead times need the lines.
     """
-    sums = ("orders", "stock_outs", "units", "value", "price_sum", "cost_sum", "margin_sum")
-    return _counted(sales).groupBy(*keys, "supplier_id", "lead_time_days").agg(*[F.sum(c).alias(c) for c in sums])
+    return _counted(sales).groupBy(*keys, "supplier_id").agg(*[F.sum(c).alias(c) for c in SUPPLY_SUMS])
 
 
 def _lead_time_columns() -> list[Column]:
@@ -85,6 +88,12 @@ def _list_price_column() -> Column:
     return (price.cast("bigint") / 100).alias("weightage_list_price")
 
 
+def _by_lead_time(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sales lines summed per item and lead time: lead times are whole days, so few rows of an item leave the first shuffle."""
+    sums = ("orders", "units", "value", "price_sum")
+    return _counted(lines).groupBy(*keys, "lead_time_days").agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def lead_time_statistics(lines: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
     """Median, mean and 90th percentile of lead time per item. The state of a quantile is one count
     per distinct number of days."""
@@ -97,8 +106,8 @@ def weighted_list_price(lines: DataFrame, keys: Sequence[str] = ("sku_id",)) ->
 
 
 def item_statistics(lines: DataFrame, keys: Sequence[str] = ("sku_id",)) -> DataFrame:
-    """Lead time and price of each item from one aggregate."""
-    return _counted(lines).groupBy(*keys).agg(*_lead_time_columns(), _list_price_column())
+    """Lead time and price of each item, from its lines counted by lead time."""
+    return _by_lead_time(lines, keys).groupBy(*keys).agg(*_lead_time_columns(), _list_price_column())
 
 
 def vendor_profile(lines: DataFrame, keys: Sequence[str] = ("sku_id",), min_orders: int = 10) -> DataFrame:
@@ -107,11 +116,9 @@ def vendor_profile(lines: DataFrame, keys: Sequence[str] = ("sku_id",), min_orde
     A supplier with fewer than ``min_orders`` orders takes the item's stock-out rate and a
     volatility of 1.
     """
-    days = F.col("lead_time_days").cast("bigint")
     pair = _counted(lines).groupBy(*keys, "supplier_id").agg(
         F.sum("orders").alias("orders"), F.sum("stock_outs").alias("_out"),
-        F.sum(F.when(days.isNotNull(), F.col("orders"))).alias("_n"),
-        F.sum(days * F.col("orders")).alias("_s"), F.sum(days * days * F.col("orders")).alias("_ss"))
+        F.sum("lead_rows").alias("_n"), F.sum("lead_sum").alias("_s"), F.sum("lead_squares").alias("_ss"))
     n = F.col("_n")
     spread = F.sqrt(F.greatest(F.try_divide(F.col("_ss") - F.col("_s") * F.col("_s") / n, n - 1), F.lit(0.0)))
     # An item can have very many suppliers, so its totals come back to the pairs without a window over them.
@@ -133,8 +140,7 @@ def vendor_facts(lines: DataFrame, keys: Sequence[str] = ("sku_id",), candidates
     """
     pair = _counted(lines).groupBy(*keys, "supplier_id").agg(
         F.sum("orders").alias("orders"), F.sum("stock_outs").alias("_out"), F.sum("cost_sum").alias("_cost"),
-        F.sum("margin_sum").alias("_margin"), F.sum(F.col("lead_time_days") * F.col("orders")).alias("_lead"),
-        F.sum(F.when(F.col("lead_time_days").isNotNull(), F.col("orders"))).alias("_dated"))
+        F.sum("margin_sum").alias("_margin"), F.sum("lead_sum").alias("_lead"), F.sum("lead_rows").alias("_dated"))
     if candidates is None:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("orders"), "supplier_id"))
         pair = pair.withColumn("_r", rank).where(F.col("_r") <= limit)

@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import demand, forecasting, planning, predictors, procurement
-from ..session import shared
+from ..session import shared, written
 
+PLAN_COLUMNS = ("date", "supplier_id", "units_sold", "lead_time_days", "stock_out_flag", "list_price", "purchase_cost", "margin_pct")
 
-def plan_facts(cube: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("sku_id",),
+
+def sales_table(sales: DataFrame, keys: Sequence[str] = ("sku_id",), more: Sequence[str] = ()) -> DataFrame:
+    """The columns of the sales lines that a plan and its orders read, and ``more``, as a table: joins behind them run once."""
+    return written(sales.select(*keys, *[c for c in PLAN_COLUMNS if c in sales.columns], *more))
+
+
+def plan_facts(sales: DataFrame, cube: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("sku_id",),
                predicted_lead_time: DataFrame | None = None) -> DataFrame:
     """Per-item inputs of the plan. The defect rate is that of the item's main supplier.
 
@@ -20,7 +27,7 @@ def plan_facts(cube: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("sk
     """
     keys = list(keys)
     vendor = demand.main_vendor(demand.vendor_profile(cube, keys), keys)
-    facts = demand.item_statistics(cube, keys).join(vendor, keys).join(inventory, keys, "left")
+    facts = demand.item_statistics(sales, keys).join(vendor, keys).join(inventory, keys, "left")
     predicted = None
     if predicted_lead_time is not None:
         told = predicted_lead_time
@@ -37,16 +44,17 @@ def plan_facts(cube: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("sk
 def demand_plan(sales: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("sku_id",), horizon: int = 30,
                 predicted_lead_time: DataFrame | None = None, cube: DataFrame | None = None,
                 lines: DataFrame | None = None) -> DataFrame:
-    """Plan per item. Raw lines are read twice: for the daily panel and for the supply cube.
+    """Plan per item. Raw lines are read three times: for the daily panel, the supply cube and the lead times.
 
-    ``lines`` may give the sales lines without lead times where those cost a join.
+    Lines that cost a join should therefore be a table; ``sales_table`` makes one of what is needed.
+    ``lines`` may give the sales lines of the daily panel without lead times.
     """
     daily = shared(demand.daily_demand(sales if lines is None else lines, keys))
     cube = shared(demand.supply_cube(sales, keys)) if cube is None else cube
     ahead = forecasting.seasonal_baseline(daily, horizon, keys).where(F.col("y").isNull())
     ahead = ahead.withColumn("yhat", F.round("yhat", 2))
     days = planning.consensus_days(ahead, demand.trend_momentum(daily, keys), keys, horizon)
-    facts = plan_facts(cube, inventory, keys, predicted_lead_time)
+    facts = plan_facts(sales, cube, inventory, keys, predicted_lead_time)
     return shared(planning.inventory_plan(days, facts, keys))
 
 
@@ -78,6 +86,7 @@ def order_execution(sales: DataFrame, inventory: DataFrame, as_of: str, keys: Se
 
 
 def learned_execution(sales: DataFrame, inventory: DataFrame, as_of: str, lines: DataFrame | None = None) -> DataFrame:
-    """The order run on learned lead times and learned supplier prices, per ``sku_id``."""
-    return order_execution(sales, inventory, as_of, lines=lines, predicted_lead_time=shared(predictors.lead_time_predictions(sales)),
-                           prices=shared(predictors.unit_cost_predictions(sales)))
+    """The order run on learned lead times and learned supplier prices, per ``sku_id``. The lines are made a table first."""
+    sales = sales_table(sales, more=("promo_flag", "discount_pct"))
+    return order_execution(sales, inventory, as_of, lines=lines, predicted_lead_time=shared(predictors.lead_time_predictions(sales, kept=True)),
+                           prices=shared(predictors.unit_cost_predictions(sales, kept=True)))

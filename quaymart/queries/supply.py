@@ -289,9 +289,9 @@ PLAN = (SALES, BRAND_DAILY, TREND, BASELINE, DAYS, BRAND, VENDOR, FACTS)
 
 def plan_of(spark, sf):
     """Inventory plan of every brand from the sales history, the part stock and the forecast."""
-    from ..plans.order_execution import demand_plan
+    from ..plans.order_execution import demand_plan, sales_table
 
-    return demand_plan(bindings.brand_sales(spark, sf), bindings.brand_inventory(spark, sf), lines=bindings.brand_lines(spark, sf))
+    return demand_plan(sales_table(bindings.brand_sales(spark, sf)), bindings.brand_inventory(spark, sf))
 
 
 @query("k3_reorder_point", with_ctes(*PLAN, """
@@ -373,14 +373,12 @@ al2 AS (SELECT *, CAST(CASE WHEN ns = 1 THEN oqty WHEN rank = 1 THEN CASE WHEN s
 
 
 def _procure(spark, sf):
-    from ..plans.order_execution import procure
-
-    from ..plans.order_execution import demand_plan
+    from ..plans.order_execution import demand_plan, procure, sales_table
     from ..session import shared
 
-    sales = bindings.brand_sales(spark, sf)
+    sales = sales_table(bindings.brand_sales(spark, sf))
     cube = shared(demand.supply_cube(sales))
-    return procure(cube, demand_plan(sales, bindings.brand_inventory(spark, sf), cube=cube, lines=bindings.brand_lines(spark, sf)), as_of="2026-01-05")
+    return procure(cube, demand_plan(sales, bindings.brand_inventory(spark, sf), cube=cube), as_of="2026-01-05")
 
 
 @query("k8_order_split", with_ctes(*PLAN, ORDERQ, TOP5, SCORES, SPLIT, """
@@ -424,10 +422,9 @@ SELECT p.sku_id, p.global_plan_demand_quantity, p.safety_stock, p.reorder_point,
        CAST(coalesce(sum(units), 0) AS BIGINT) AS order_quantity, CAST(coalesce(round(sum(round(units * pp, 2)), 2), 0) AS DOUBLE) AS total_order_cost
 FROM plan p JOIN gate g ON p.sku_id = g.sku_id LEFT JOIN al2 a ON a.sku_id = p.sku_id GROUP BY 1, 2, 3, 4, 5, 6"""))
 def k11(spark, sf):
-    from ..plans.order_execution import order_execution
+    from ..plans.order_execution import order_execution, sales_table
 
-    return order_execution(bindings.brand_sales(spark, sf), bindings.brand_inventory(spark, sf), as_of="2026-01-05",
-                           lines=bindings.brand_lines(spark, sf)).select(
+    return order_execution(sales_table(bindings.brand_sales(spark, sf)), bindings.brand_inventory(spark, sf), as_of="2026-01-05").select(
         "sku_id", "global_plan_demand_quantity", "safety_stock", "reorder_point", "quality_adjusted_nrq",
         "order_validation_flag", "order_quantity", "total_order_cost")
 
@@ -436,7 +433,7 @@ def k11(spark, sf):
 def k11_learned(spark, sf):
     from ..plans.order_execution import learned_execution
 
-    return learned_execution(bindings.brand_sales(spark, sf), bindings.brand_inventory(spark, sf), as_of="2026-01-05", lines=bindings.brand_lines(spark, sf)).select(
+    return learned_execution(bindings.brand_sales(spark, sf), bindings.brand_inventory(spark, sf), as_of="2026-01-05").select(
         "sku_id", "lead_time_days", "global_plan_demand_quantity", "safety_stock", "reorder_point", "quality_adjusted_nrq",
         "order_validation_flag", "order_quantity", "total_order_cost")
 

@@ -146,3 +146,70 @@ def test_learned_run_uses_the_models(spark):
 
     rows = entry.queries()["k11_learned_execution"](spark, "/root/testdata/sf0.001").collect()
     assert rows and all(1 <= r["lead_time_days"] <= 14 for r in rows)
+
+
+def _lines(spark, rows):
+    return spark.createDataFrame(rows, "sku_id string, supplier_id long, date string, lead_time_days int, purchase_cost double, list_price double, margin_pct double, "
+                                       "units_sold int, stock_out_flag int, promo_flag int, discount_pct double").withColumn("date", F.col("date").cast("date"))
+
+
+SALES = [("ab"[i % 2] if i % 11 else None, i % 3 if i % 7 else None, f"2024-01-{i % 28 + 1:02}", 1 + i % 14 if i % 5 else None, 3.0 + i % 4, 9.0 + i % 5, 0.1 * (i % 4), 1 + i % 6,
+          i % 2, i % 3 % 2, 0.01 * (i % 8)) for i in range(300)]
+
+
+def test_cube_has_a_row_per_pair_and_says_what_the_lines_say(spark):
+    lines = _lines(spark, SALES)
+    cube = demand.supply_cube(lines)
+    assert cube.count() == lines.select("sku_id", "supplier_id").distinct().count()
+    for told in (demand.vendor_profile, demand.vendor_facts):
+        one, other = told(lines).toPandas(), told(cube).toPandas()
+        order = ["sku_id", "supplier_id"]
+        one, other = (x.sort_values(order).reset_index(drop=True) for x in (one, other))
+        assert len(one) and one.equals(other)
+    frame = lines.toPandas()
+    got = {r["sku_id"]: r for r in demand.item_statistics(lines).collect()}
+    for sku, group in frame.groupby("sku_id"):
+        days = group["lead_time_days"].dropna()
+        assert (got[sku]["lead_time_median"], got[sku]["lead_time_mean"]) == (days.median(), pytest.approx(days.mean()))
+        assert got[sku]["lead_time_p90"] == pytest.approx(days.quantile(0.9))
+
+
+def _counted_lines(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def passing(units):
+        seen.add(1)
+        return units
+
+    return _lines(spark, SALES).withColumn("units_sold", passing.asNondeterministic()("units_sold")), seen
+
+
+def test_sales_lines_are_made_once(spark):
+    from quaymart.operators.predictors import unit_cost_predictions
+    from quaymart.plans.order_execution import learned_execution
+
+    sales, seen = _counted_lines(spark)
+    assert unit_cost_predictions(sales, trees=2).count() == 6 and seen.value == len(SALES)
+    sales, seen = _counted_lines(spark)
+    stock = spark.createDataFrame([("a", 10), ("b", 10)], "sku_id string, stock_on_hand long")
+    assert learned_execution(sales, stock, "2026-01-05").where("sku_id IS NOT NULL").count() == 2 and seen.value == len(SALES)
+
+
+def test_means_leave_the_own_label_out_and_missing_keys_keep_the_other_history(spark):
+    from quaymart.operators import predictors
+    from quaymart.operators.scale import attach_group_stats
+
+    lines = _lines(spark, SALES).withColumn("_pair", F.struct("sku_id", "supplier_id"))
+    found = predictors._histories(lines, "purchase_cost").withColumn("_pair", F.struct("sku_id", "supplier_id")).drop("sku_id", "supplier_id", "_usual")
+    out = predictors._with_means(attach_group_stats(lines, found, ["_pair"], "_rows"), 5.0, F.col("purchase_cost")).toPandas()
+    assert len(out) == len(SALES)
+    for _, row in out.iterrows():
+        want = {}
+        for name, keys in (("supplier_mean", ["supplier_id"]), ("item_mean", ["sku_id"]), ("pair_mean", ["sku_id", "supplier_id"])):
+            same = out if all(row[k] == row[k] and row[k] is not None for k in keys) else out[:0]
+            for k in keys:
+                same = same[same[k] == row[k]]
+            left = (same["purchase_cost"].sum() - row["purchase_cost"]) / (len(same) - 1) if len(same) > 1 else None
+            want[name] = left if left is not None else want["supplier_mean"] if name == "pair_mean" else 5.0
+        assert all(row[k] == pytest.approx(v) for k, v in want.items())
