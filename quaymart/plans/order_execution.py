@@ -49,7 +49,7 @@ def demand_plan(sales: DataFrame, inventory: DataFrame, keys: Sequence[str] = ("
     Lines that cost a join should therefore be a table; ``sales_table`` makes one of what is needed.
     ``lines`` may give the sales lines of the daily panel without lead times.
     """
-    daily = shared(demand.daily_demand(sales if lines is None else lines, keys))
+    daily = shared(demand.daily_demand((sales if lines is None else lines).select(*keys, "date", "units_sold"), keys))
     cube = shared(demand.supply_cube(sales, keys)) if cube is None else cube
     ahead = forecasting.seasonal_baseline(daily, horizon, keys).where(F.col("y").isNull())
     ahead = ahead.withColumn("yhat", F.round("yhat", 2))

@@ -291,7 +291,7 @@ def plan_of(spark, sf):
     """Inventory plan of every brand from the sales history, the part stock and the forecast."""
     from ..plans.order_execution import demand_plan, sales_table
 
-    return demand_plan(sales_table(bindings.brand_sales(spark, sf)), bindings.brand_inventory(spark, sf))
+    return demand_plan(sales_table(bindings.brand_sales(spark, sf)), bindings.brand_inventory(spark, sf), lines=bindings.brand_lines(spark, sf))
 
 
 @query("k3_reorder_point", with_ctes(*PLAN, """
@@ -378,7 +378,7 @@ def _procure(spark, sf):
 
     sales = sales_table(bindings.brand_sales(spark, sf))
     cube = shared(demand.supply_cube(sales))
-    return procure(cube, demand_plan(sales, bindings.brand_inventory(spark, sf), cube=cube), as_of="2026-01-05")
+    return procure(cube, demand_plan(sales, bindings.brand_inventory(spark, sf), cube=cube, lines=bindings.brand_lines(spark, sf)), as_of="2026-01-05")
 
 
 @query("k8_order_split", with_ctes(*PLAN, ORDERQ, TOP5, SCORES, SPLIT, """
@@ -424,7 +424,8 @@ FROM plan p JOIN gate g ON p.sku_id = g.sku_id LEFT JOIN al2 a ON a.sku_id = p.s
 def k11(spark, sf):
     from ..plans.order_execution import order_execution, sales_table
 
-    return order_execution(sales_table(bindings.brand_sales(spark, sf)), bindings.brand_inventory(spark, sf), as_of="2026-01-05").select(
+    return order_execution(sales_table(bindings.brand_sales(spark, sf)), bindings.brand_inventory(spark, sf), as_of="2026-01-05",
+                           lines=bindings.brand_lines(spark, sf)).select(
         "sku_id", "global_plan_demand_quantity", "safety_stock", "reorder_point", "quality_adjusted_nrq",
         "order_validation_flag", "order_quantity", "total_order_cost")
 
@@ -433,7 +434,7 @@ def k11(spark, sf):
 def k11_learned(spark, sf):
     from ..plans.order_execution import learned_execution
 
-    return learned_execution(bindings.brand_sales(spark, sf), bindings.brand_inventory(spark, sf), as_of="2026-01-05").select(
+    return learned_execution(bindings.brand_sales(spark, sf), bindings.brand_inventory(spark, sf), as_of="2026-01-05", lines=bindings.brand_lines(spark, sf)).select(
         "sku_id", "lead_time_days", "global_plan_demand_quantity", "safety_stock", "reorder_point", "quality_adjusted_nrq",
         "order_validation_flag", "order_quantity", "total_order_cost")
 
