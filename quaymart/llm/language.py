@@ -191,11 +191,10 @@ def segments(raw: np.ndarray, offsets: np.ndarray, size: int = SEGMENT) -> tuple
     per = (lengths + size - 1) // size
     owner = np.repeat(np.arange(len(lengths)), per)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(per) - per, per)
-    start = offsets[owner] + nth * size
-    valid = np.minimum(offsets[owner + 1] - start, size)
-    places = start[:, None] + np.arange(size)
-    codes = np.take(raw, np.minimum(places, max(len(raw) - 1, 0))) if len(raw) else np.zeros((0, size), np.uint8)
-    codes[np.arange(size) >= valid[:, None]] = 0
+    valid = np.minimum(lengths[owner] - nth * size, size)
+    # The bytes of all texts fill the valid places in order; an index for every place would take 16 times the text.
+    codes = np.zeros((len(owner), size), np.uint8)
+    codes[np.arange(size) < valid[:, None]] = raw
     return codes, valid, owner
 
 

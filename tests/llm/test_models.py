@@ -1,5 +1,7 @@
 """Language, toxicity, neighbours and the pipeline: gradients, held-out accuracy and brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from conftest_llm import frame
@@ -35,6 +37,22 @@ def test_network_gradients():
         assert grads[k][at] == pytest.approx((up - down) / 2e-5, rel=1e-3)
 
 
+def test_segments_take_little_more_memory_than_the_texts():
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(0, 400, 10_000)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    raw = rng.integers(0, 256, offsets[-1]).astype(np.uint8)
+    tracemalloc.start()
+    codes, valid, owner = language.segments(raw, offsets)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * len(raw)
+    assert (valid.sum(), len(valid)) == (len(raw), sum(-(-lengths // language.SEGMENT)))
+    for text in (0, 1, 9_999):
+        held = np.concatenate([c[:v] for c, v in zip(codes[owner == text], valid[owner == text])] or [raw[:0]])
+        assert (held == raw[offsets[text]:offsets[text + 1]]).all()
+
+
 def test_fast_states_are_the_trained_ones():
     net, rng = language.ByteNetwork(["a", "b"]), np.random.default_rng(1)
     codes = rng.integers(0, 256, (40, 7)).astype(np.uint8)
