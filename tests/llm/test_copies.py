@@ -293,6 +293,18 @@ def test_copies_of_copies_are_found(spark, ordered):
         assert multiset_similarity(a, b) == pytest.approx(r.similarity) and r.similarity >= 0.8
 
 
+def test_the_only_similar_holder_is_found_at_any_distance(spark):
+    """Every shingle of the passage is once in each of 162 sets of three pieces, before and between the two texts that hold the whole of it."""
+    passage, docs = words(81_000, 64), {}
+    for i in range(3 * 162):
+        at = 20 * (i % 3)
+        docs[i + (i >= 36)] = " ".join(words(82_000 + 2 * i, 60) + passage[at:at + 24] + words(82_001 + 2 * i, 60))
+    for i in (36, 487):
+        docs[i] = " ".join(words(90_000 + 2 * i, 60) + passage + words(90_001 + 2 * i, 60))
+    rows = passages.repeated_passages(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_doc_id) for r in rows} == {(487, 36)}
+
+
 def test_distances_reach_every_near_holder_and_the_farthest():
     for holders in (0, 1, 15, 16, 17, 1_000, 10 ** 6):
         steps = passages._distances(holders)
