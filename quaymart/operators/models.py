@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import audit_leakage
+from ..session import shared
 from .attribution import class_weights
 from .cleaning import filled_with_medians
 from .columns import is_numeric
@@ -49,7 +50,8 @@ def compare_classifiers(df: DataFrame, outcome: str, features: Sequence[str], ke
     """
     banned = set(audit_leakage(list(features), outcome).suspected)
     features = [f for f in features if f not in banned]
-    rows = df.select(*keys, *features, (F.col(outcome) != good).cast("double").alias("y"))
+    # Every round of the split reads the rows, and every measure of a model its scores: both are computed once.
+    rows = shared(df.select(*keys, *features, (F.col(outcome) != good).cast("double").alias("y")))
     split = stratified_split(rows, "y", keys).persist()
     train, medians = filled_with_medians(split.where("part = 0"), features)
     weights = class_weights(train, "y")
@@ -59,7 +61,7 @@ def compare_classifiers(df: DataFrame, outcome: str, features: Sequence[str], ke
     fitted, report = {}, None
     for name, estimator in chosen.items():
         model = estimator.fit(train)
-        checked, tested = _probability(model.transform(held[1])), _probability(model.transform(held[2]))
+        checked, tested = (shared(_probability(model.transform(held[part])).select("y", "p")) for part in (1, 2))
         pick = best_threshold(threshold_search(checked, "y", "p"), auc(checked, "y", "p"))
         judged = with_scalars(tested, pick.select(F.col("threshold").alias("_t"))).withColumn("hat", (F.col("p") >= F.col("_t")).cast("double"))
         test = with_scalars(confusion(judged, "y", "hat").select(*[F.col(c).alias(f"test_{c}") for c in ("accuracy", "precision", "recall")]),
@@ -81,7 +83,7 @@ def regression_predictions(df: DataFrame, target: str, features: Sequence[str],
                            seed: int = SEED) -> DataFrame:
     """Boosted trees on log1p of a non-negative target; predictions for the held-out fifth."""
     rows = df.select(*keys, *features, F.log1p(F.col(target).cast("double")).alias("label"), F.col(target).cast("double").alias("actual"), F.lit(0).alias("_all"))
-    split = stratified_split(rows, "_all", keys, (0.8, 0.2), seed)
+    split = stratified_split(shared(rows), "_all", keys, (0.8, 0.2), seed)
     packed = _packed(split, features)
     model = GBTRegressor(labelCol="label", maxIter=rounds, maxDepth=5, seed=seed).fit(packed.where("part = 0"))
     return model.transform(packed.where("part = 1")).select(*keys, "actual", F.expm1("prediction").alias("predicted"))
@@ -94,7 +96,7 @@ def safe_logistic(df: DataFrame, outcome: str, features: Sequence[str], keys: Se
     numbers = [f for f in used if is_numeric(df, f)]
     texts = [f for f in used if f not in numbers]
     rows = df.where(F.col(outcome).isNotNull()).select(*keys, *texts, *[F.col(f).cast("double").alias(f) for f in numbers], F.col(outcome).cast("double").alias("y"))
-    split = stratified_split(rows, "y", keys, (0.8, 0.2), seed)
+    split = stratified_split(shared(rows), "y", keys, (0.8, 0.2), seed)
     stages = []
     if numbers:
         stages += [Imputer(inputCols=numbers, outputCols=[f"{f}_full" for f in numbers], strategy="median"),

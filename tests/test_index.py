@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quaymart.operators import attribution, evaluation, index_score, labels, selection
+from quaymart.operators import attribution, evaluation, index_score, labels, models, selection
 from quaymart.plans import contracts
 from quaymart.sources import bindings
 from quaymart.streaming import rollups
@@ -144,3 +144,24 @@ def test_correlations_do_not_depend_on_the_number_of_columns(spark):
     many = {(r["left"], r["right"]): r["corr"] for r in selection.correlation_pairs(wide, list(data)).collect()}
     assert few[("a", "b")] == pytest.approx(np.corrcoef(data["a"], data["b"])[0, 1], abs=1e-5) and few[("a", "same")] is None
     assert all(many[k] == pytest.approx(v) for k, v in few.items() if v is not None) and many[("b", "same")] is None
+
+
+def test_models_compute_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def passing(x):
+        seen.add(1)
+        return x
+
+    def rows():
+        seen.value = 0
+        x = F.col("id").cast("double")
+        made = spark.range(120).select(F.col("id").cast("string").alias("k"), x.alias("a"), (x % 7).alias("b"), (F.col("id") % 3 == 0).cast("int").alias("bought"))
+        return made.withColumn("a", passing.asNondeterministic()("a"))
+
+    report, fitted = models.compare_classifiers(rows(), "bought", ["a", "b"], ["k"], names=["logistic_balanced"])
+    assert [r["model"] for r in report.collect()] == list(fitted) == ["logistic_balanced"] and seen.value == 120
+    scored, _ = models.safe_logistic(rows(), "bought", ["a", "b"], ["k"])
+    assert scored.count() == 24 and seen.value == 120
+    assert models.regression_predictions(rows(), "a", ["b"], ["k"], rounds=2).count() == 24 and seen.value == 120
