@@ -24,6 +24,7 @@ the smallest id of a class; null ids come last and give a null class only if all
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,7 @@ FREQUENT = 1 / 256
 CHUNK_DOCS = 4096          # documents counted together when candidates for frequent shingles are sought
 PASS_CANDIDATES = 4_000_000  # candidates counted in one pass
 ELEMENTS = 1 << 15
+SLICE = 1 << 20            # text bytes shingled at once, which bounds the working arrays of a task
 CELLS_LOG2, LEAST_LOG2, CHUNK_LOG2 = 26, 16, 18   # counters of a table: at most, at least, and in one chunk of it
 SMALL_BUCKET = 32          # up to here the pairs between components are compared at once, without the filter
 APART = (1 - SIMILARITY) / (1 + SIMILARITY)   # similar texts differ by at most this part of the sum of their weights
@@ -52,6 +54,15 @@ def shingled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return shingle_hashes(words, word_offsets)
 
 
+def cut(batch: pa.RecordBatch, *columns: str) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``SLICE`` bytes in each of the text columns, or one row."""
+    if not columns:
+        yield batch
+        return
+    for part in slices(batch, columns[0], SLICE):
+        yield from cut(part, *columns[1:])
+
+
 def bags(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Different shingles of every text, their numbers of uses, and ``n + 1`` offsets."""
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -86,11 +97,16 @@ def _frequent_in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     spare: tuple[list, int] = ([], 0)
 
     def frequent(parts, n):
-        values, counts = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0))
-        return pa.RecordBatch.from_arrays([pa.array(values[counts >= n * FREQUENT].view(np.int64))], ["h"])
+        values = np.concatenate([np.zeros(0, np.uint64), *parts])
+        parts.clear()
+        values.sort()
+        least = max(math.ceil(n * FREQUENT), 1)
+        starts = values[:max(len(values) - least + 1, 0)]
+        often = starts[values[least - 1:] == starts]   # runs of that many equal values
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(often).view(np.int64))], ["h"])
 
     for whole in batches:
-        for batch in slices(whole):
+        for batch in cut(whole, "text"):
             hashes, _, offsets = bags(*shingled(batch.column(0)))
             held.append(hashes)
             docs += len(batch)
@@ -102,7 +118,9 @@ def _frequent_in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield frequent(*spare)
         spare = ([], 0)
     if docs or spare[1]:
-        yield frequent(spare[0] + held, spare[1] + docs)
+        spare[0].extend(held)
+        held.clear()
+        yield frequent(spare[0], spare[1] + docs)
 
 
 def frequencies(docs: DataFrame, text: str = "text") -> Frequencies:
@@ -124,7 +142,7 @@ def frequencies(docs: DataFrame, text: str = "text") -> Frequencies:
             seen[(keys >> np.uint64(42)).astype(np.int64)] = True
             found = np.zeros(len(keys), np.int64)
             for whole in batches:
-                for batch in slices(whole):
+                for batch in cut(whole, "text"):
                     h, offsets = shingled(batch.column(0))
                     owner = np.repeat(np.arange(len(batch), dtype=np.uint64), np.diff(offsets))
                     some = seen[(h >> np.uint64(42)).astype(np.int64)]
@@ -228,7 +246,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, shipped) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "ta"):
+            for batch in cut(whole, "ta", "tb"):
                 s = similarities(batch.column(2), batch.column(3), shipped.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], ["a", "b", "similarity"])
 
@@ -281,7 +299,7 @@ def _once(texts: DataFrame, log2: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Counters(log2)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in cut(whole, "text"):
                 table.add(bags(*shingled(batch.column(0)))[0])
         for k, packed in table.chunks(size):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], ["chunk", "bits"])
@@ -299,9 +317,9 @@ def _differences(sides: DataFrame, texts: DataFrame, log2: int, shipped) -> Data
     texts has, ``tokens`` of the difference in the order of the filter, and how many of these the ``short`` prefix has (see ``_by_differences``)."""
     once = texts.sparkSession.sparkContext.broadcast(_once(texts, log2))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in cut(whole, "text", "hub_text"):
                 n, keys, sums = len(batch), [], []
                 found = []
                 for column, sign in ((3, 1), (4, -1)):
@@ -336,7 +354,7 @@ def _differences(sides: DataFrame, texts: DataFrame, log2: int, shipped) -> Data
                                                  ["hub", "uid", "linked", "w", "d", "p", "tokens", "short"])
 
     return sides.select("hub", "uid", "linked", "text", "hub_text") \
-        .mapInArrow(cut, "hub binary, uid binary, linked boolean, w double, d double, p double, tokens array<long>, short int")
+        .mapInArrow(differ, "hub binary, uid binary, linked boolean, w double, d double, p double, tokens array<long>, short int")
 
 
 def _by_differences(open_: DataFrame, texts: DataFrame, shipped) -> DataFrame:
@@ -400,7 +418,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = WeightedSampler(BANDS * ROWS)
         for whole in batches:
-            for batch in slices(whole):
+            for batch in cut(whole, "text"):
                 h, counts, offsets = bags(*shingled(batch.column(2)))
                 keys = band_keys(sampler.signatures(h, counts * shipped.value.weights(h), offsets)).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel()),

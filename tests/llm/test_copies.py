@@ -3,6 +3,7 @@
 import difflib
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -447,3 +448,29 @@ def test_empty_tables(spark):
     assert decontaminate.leaks(none, items).count() == decontaminate.without_leaks(none, items).count() == 0
     assert nearcopies.near_copies(none).count() == nearcopies.one_of_each(none).count() == 0
     assert lines.line_dedup(none).count() == passages.repeated_passages(none).count() == 0
+
+
+def test_candidates_for_frequent_shingles_take_little_more_memory_than_the_shingles():
+    rng = np.random.default_rng(3)
+    said = [f"w{i}" for i in range(20_000)]
+    texts = [" ".join(["such a very common phrase"] * (i % 2) + [said[k] for k in rng.integers(0, len(said), 300)]) for i in range(3000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    held = sum(len(t.split()) - 4 for t in texts) * 8
+    tracemalloc.start()
+    found = [h for part in nearcopies._frequent_in_chunks(iter([batch])) for h in part.column(0).to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    phrase, _ = nearcopies.shingled(pa.array(["such a very common phrase"], pa.large_string()))
+    assert found == phrase.view(np.int64).tolist() and most < 2 * held + (24 << 20)   # and the arrays of one slice
+
+
+def test_parts_of_a_batch_are_bounded_in_both_texts():
+    rng = np.random.default_rng(4)
+    a, b = (["x" * int(n) for n in rng.integers(0, 200_000, 60)] for _ in range(2))
+    a[7], b[11], b[12] = None, "y" * (3 << 20), None
+    whole = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["ta", "tb"])
+    parts = list(nearcopies.cut(whole, "ta", "tb"))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([whole]))
+    for part in parts:
+        for column in part.columns:
+            assert len(part) == 1 or sum(len(t or "") for t in column.to_pylist()) <= nearcopies.SLICE
