@@ -45,6 +45,7 @@ PASS_CANDIDATES = 4_000_000  # candidates counted in one pass
 ELEMENTS = 1 << 15
 SLICE = 1 << 20            # text bytes shingled at once, which bounds the working arrays of a task
 CELLS_LOG2, LEAST_LOG2, CHUNK_LOG2 = 26, 16, 18   # counters of a table: at most, at least, and in one chunk of it
+EARLY = 16                 # tokens of a prefix that every later one of it carries, so that a pair is made once
 SMALL_BUCKET = 32          # up to here the pairs between components are compared at once, without the filter
 APART = (1 - SIMILARITY) / (1 + SIMILARITY)   # similar texts differ by at most this part of the sum of their weights
 
@@ -313,8 +314,8 @@ def _once(texts: DataFrame, log2: int) -> np.ndarray:
 
 
 def _differences(sides: DataFrame, texts: DataFrame, log2: int, shipped) -> DataFrame:
-    """``hub``, ``uid``, ``linked``, weight ``w`` of the text, weight ``d`` of its difference from its hub, the part ``p`` of ``d`` that no other of the
-    texts has, ``tokens`` of the difference in the order of the filter, and how many of these the ``short`` prefix has (see ``_by_differences``)."""
+    """``hub``, ``uid``, ``linked``, weight ``w`` of the text, weight ``d`` of its difference from its hub, ``tokens`` of the difference in the order of the filter, for each the weight ``rest`` of the difference from there on, and how many of
+    the tokens the ``short`` prefix has (see ``_by_differences``)."""
     once = texts.sparkSession.sparkContext.broadcast(_once(texts, log2))
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,7 +339,7 @@ def _differences(sides: DataFrame, texts: DataFrame, log2: int, shipped) -> Data
                 own = (once.value[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool) & ~held
                 order = np.lexsort((h, -idf, diff < 0, ~own, owner))
                 h, owner, diff, own, weight = h[order], owner[order], diff[order], own[order], (np.abs(diff) * idf)[order]
-                d, p = np.bincount(owner, weight, n), np.bincount(owner, weight * own, n)
+                d = np.bincount(owner, weight, n)
                 before = np.cumsum(weight) - weight - np.concatenate([[0.0], np.cumsum(d)])[owner]
                 linked = batch.column(2).to_numpy(zero_copy_only=False)
                 w, hub = sums
@@ -347,14 +348,15 @@ def _differences(sides: DataFrame, texts: DataFrame, log2: int, shipped) -> Data
                 slack = 1e-6 * (w + hub + 1)
                 long = (before <= (d - near + slack)[owner]) & ~own
                 short = long & (before <= (d - far + slack)[owner])
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner[long], np.arange(n + 1)), pa.int32()),
-                                                 pa.array((h[long] ^ (diff[long] < 0)).view(np.int64)))
+                ends = pa.array(np.searchsorted(owner[long], np.arange(n + 1)), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array((h[long] ^ (diff[long] < 0)).view(np.int64)))
+                rests = pa.ListArray.from_arrays(ends, pa.array((d[owner] - before)[long]))
                 counted = pa.array(np.bincount(owner[short], minlength=n).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(w), pa.array(d), pa.array(p), lists, counted],
-                                                 ["hub", "uid", "linked", "w", "d", "p", "tokens", "short"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(w), pa.array(d), lists, rests, counted],
+                                                 ["hub", "uid", "linked", "w", "d", "tokens", "rest", "short"])
 
     return sides.select("hub", "uid", "linked", "text", "hub_text") \
-        .mapInArrow(differ, "hub binary, uid binary, linked boolean, w double, d double, p double, tokens array<long>, short int")
+        .mapInArrow(differ, "hub binary, uid binary, linked boolean, w double, d double, tokens array<long>, rest array<double>, short int")
 
 
 def _by_differences(open_: DataFrame, texts: DataFrame, shipped) -> DataFrame:
@@ -365,7 +367,9 @@ def _by_differences(open_: DataFrame, texts: DataFrame, shipped) -> DataFrame:
     most ``APART * (v + w)``. At least one of them, being in another component, is not like the hub, so |D| is more than
     ``APART`` times its weight and the hub's: D(x) and D(y) must have a certain weight in common. All differences of a hub are ordered alike
     (what no other text has, then what the hub lacks, then what the text lacks), so such pairs share a token of the prefixes that leave
-    less than that weight. Tokens that no other text has are joined with nothing. Neither step can lose a link.
+    less than that weight. Tokens that no other text has are joined with nothing. The first token that D(x) and D(y) share bounds what they can
+    have in common by the lesser weight from there on, so pairs that meet too late in their order are not made, and a token makes
+    no pair that one of the first ``EARLY`` tokens of both has made. None of these steps can lose a link.
 
     Shingles are counted in a table of saturating counters whose size follows the bytes of the texts up to
     ``2 ** CELLS_LOG2`` cells; more texts are taken in passes by hub, each with a table of its own. Shingles that share a cell look
@@ -381,18 +385,20 @@ def _by_differences(open_: DataFrame, texts: DataFrame, shipped) -> DataFrame:
     log2 = min(max(int(room).bit_length(), LEAST_LOG2), CELLS_LOG2)
     hubs = members.where(F.col("hub") == F.col("uid")).select("hub", F.col("c").alias("hub_c"))
     placed = members.where(F.col("hub") != F.col("uid")).join(hubs, "hub").select("hub", "uid", (F.col("c") == F.col("hub_c")).alias("linked"))
-    overlap = F.least(F.col("dx") - F.col("px"), F.col("dy") - F.col("py"))
+    overlap = F.least("restx", "resty")
     condition = (F.col("cx") < F.col("cy")) & ((F.col("linkedx") != F.col("linkedy")) | (F.col("shortx") & F.col("shorty"))) \
         & (F.col("dx") + F.col("dy") - 2 * overlap <= APART * (F.col("wx") + F.col("wy")) + 1e-6 * (F.col("wx") + F.col("wy") + 1)) \
-        & F.arrays_overlap("bandsx", "bandsy")
+        & ~F.arrays_overlap("earlyx", "earlyy") & F.arrays_overlap("bandsx", "bandsy")
     out = None
     for k in range(passes):
         of_pass = lambda df: df if passes == 1 else df.where(F.pmod(F.xxhash64("hub"), F.lit(passes)) == k)  # noqa: B023, E731
         of_part = some if passes == 1 else some.join(of_pass(members).select("uid").distinct(), "uid")
         sides = of_pass(placed).join(some.select(F.col("uid").alias("hub"), F.col("text").alias("hub_text")), "hub").join(some.select("uid", "text"), "uid")
         known = stored(_differences(sides, of_part, log2, shipped).where(F.size("tokens") > 0))
-        rows = known.join(members, ["hub", "uid"]).select("hub", "uid", "linked", "w", "d", "p", "c", "bands", "short", F.posexplode("tokens").alias("at", "token")) \
-            .withColumn("short", ~F.col("linked") & (F.col("at") < F.col("short"))).drop("at")
+        rows = known.join(members, ["hub", "uid"]) \
+            .select("hub", "uid", "linked", "w", "d", "c", "bands", "short", F.slice("tokens", 1, EARLY).alias("early"), F.posexplode(F.arrays_zip("tokens", "rest")).alias("at", "x")) \
+            .select("hub", "uid", "linked", "w", "d", "c", "bands", (~F.col("linked") & (F.col("at") < F.col("short"))).alias("short"),
+                    F.slice("early", F.lit(1), F.col("at")).alias("early"), F.col("x.tokens").alias("token"), F.col("x.rest").alias("rest"))
         side = lambda n: rows.select(*[F.col(c).alias(c + n) for c in rows.columns])  # noqa: B023, E731
         pairs = side("x").join(side("y"), (F.col("hubx") == F.col("huby")) & (F.col("tokenx") == F.col("tokeny")) & condition) \
             .select(F.least("uidx", "uidy").alias("a"), F.greatest("uidx", "uidy").alias("b"))

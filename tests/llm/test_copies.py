@@ -188,6 +188,22 @@ def test_differences_from_the_hub_lose_no_link(spark, monkeypatch, log2):
         assert len(found) < len(every) / 2
 
 
+def test_pairs_of_large_buckets_are_made_once(spark):
+    rng = random.Random(23)
+    base, other = words(5, 100), words(6, 40)
+    texts_ = [" ".join(base)] + [" ".join(edited(rng, base[:60] + other, 1)) for _ in range(40)]
+    none = nearcopies.Frequencies(np.zeros(0, np.uint64), np.zeros(0, np.int64), len(texts_))
+    name = lambda k: f"{k:04d}".encode()
+    open_ = spark.createDataFrame([(name(0), name(k), name(k), [7]) for k in range(len(texts_))], "hub binary, uid binary, c binary, bands array<long>")
+    frame_ = spark.createDataFrame([(name(k), t) for k, t in enumerate(texts_)], "uid binary, text string")
+    made = [(int(bytes(r.a)), int(bytes(r.b))) for r in nearcopies._by_differences(open_, frame_, spark.sparkContext.broadcast(none)).collect()]
+    every = [(a, b) for a in range(1, len(texts_)) for b in range(a + 1, len(texts_))]
+    near = nearcopies.similarities(pa.array([texts_[a] for a, _ in every]), pa.array([texts_[b] for _, b in every]), none) >= nearcopies.SIMILARITY
+    links = {p for p, s in zip(every, near) if s}
+    assert links and links <= set(made)
+    assert len(made) <= 1.1 * len(set(made))
+
+
 def test_hot_group_of_near_copies(spark):
     rng = random.Random(9)
     base = words(77, 150)
