@@ -242,6 +242,31 @@ def test_compact_windows_are_those_of_brute_force():
         assert set(zip(owner.tolist(), a.tolist(), c.tolist(), b.tolist())) == want
 
 
+def test_stretches_give_the_passages_of_whole_texts():
+    shared = words(3, 80)
+    x = " é ".join([" ".join(words(10, 7000)), " ".join(shared), " ".join(words(11, 30))])
+    y = " ".join(words(12, 20) + shared[:40] + ["new"] + shared[40:] + words(13, 400))
+    sides, held = [], []
+    for text in (x, y):
+        found, _, _, at = passages.word_hashes(*passages.text_buffers(pa.array([text])))
+        hashes, offsets = passages.shingle_hashes(found, at)
+        sides.append(hashes)
+        held.append([{int(k): (int(a), int(c), int(b)) for _, k, a, c, b in zip(*passages.compact_windows(hashes, offsets, f))} for f in range(passages.FUNCTIONS)])
+    matches = [(f, *held[0][f][k], *held[1][f][k]) for f in range(passages.FUNCTIONS) for k in held[0][f].keys() & held[1][f].keys()]
+    names = ["f", "a", "c", "b", "ha", "hc", "hb"]
+    rows = pa.RecordBatch.from_pylist([{"k": 2, "u": 2, "hk": 1, "hu": 1, "found": [dict(zip(names, m)) for m in matches], "x": x}] * 2)
+    cut = [r for batch in passages._stretches(iter([rows])) for r in batch.to_pylist()]
+    assert len(cut) == 2 and cut[0] == cut[1]
+    assert len(cut[0]["x"]) < len(x) / 2
+    low = cut[0]["low"]
+    found, _, _, at = passages.word_hashes(*passages.text_buffers(pa.array([cut[0]["x"]])))
+    short = passages.shingle_hashes(found, at)[0]
+    assert (short == sides[0][low:low + len(short)]).all()
+    moved = [(f, a - low, c - low, b - low, *other) for f, a, c, b, *other in matches]
+    whole = passages.common_passages(*sides, matches)
+    assert whole and whole == [(i + low, j + low, *other) for i, j, *other in passages.common_passages(short, sides[1], moved)]
+
+
 def test_passages_are_found_where_planted(spark, corpus):
     rng = random.Random(5)
     passage = [words(900 + k, 80) for k in range(6)]
