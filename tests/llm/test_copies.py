@@ -3,15 +3,17 @@
 import difflib
 import random
 import re
+import time
 import tracemalloc
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from conftest_llm import frame, words
 
-from quaymart.llm import decontaminate, lines, nearcopies, passages
+from quaymart.llm import decontaminate, lines, nearcopies, passages, stores
 from quaymart.llm.components import components
 from quaymart.llm.words import mix, shingle_hashes, text_buffers, word_hashes
 
@@ -347,6 +349,31 @@ def test_the_only_similar_holder_is_found_at_any_distance(spark):
     assert {(r.doc_id, r.other_doc_id) for r in rows} == {(487, 36)}
 
 
+def test_ended_tables_and_shuffles_leave_the_disk(spark, monkeypatch):
+    """Of the tables that a run stores, those that its result does not read are gone at its end; shuffle files go with their step."""
+    folders, plain = [], passages.stored
+
+    def recorded(df, **options):
+        table = plain(df, **options)
+        folders.append(Path(table.inputFiles()[0].removeprefix("file:")).parent)
+        return table
+
+    blocks = [Path(str(x)) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    count = lambda: sum(1 for x in blocks for _ in x.glob("*/shuffle_*.data"))
+    monkeypatch.setattr(passages, "stored", recorded)
+    docs = spark.createDataFrame([(i, " ".join(words(91_000, 60))) for i in range(6)], "doc_id long, text string")
+    stores.release_shuffles(docs)
+    time.sleep(3)
+    before = count()
+    rows = passages.repeated_passages(docs)
+    assert not folders[0].exists() and not folders[2].exists()   # windows, texts
+    assert rows.count() >= 5 and sum(x.exists() for x in folders) < len(folders) - 5
+    until = time.time() + 20
+    while count() > before + 4 and time.time() < until:
+        time.sleep(0.5)
+    assert count() <= before + 4   # those of the count above, in four parts
+
+
 def test_distances_reach_every_near_holder_and_the_farthest():
     for holders in (0, 1, 15, 16, 17, 1_000, 10 ** 6):
         steps = passages._distances(holders)
