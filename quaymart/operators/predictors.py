@@ -10,9 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared, written
+from . import forest
 from .scale import attach_group_stats
 
 ROWS_AT_ONCE = 500_000   # training rows of a task
+SPARK_ROWS = 5_000_000   # most lines for Spark's forest, which keeps each with a count for every tree
 HISTORY_COLUMNS = ("pair_mean", "supplier_mean", "item_mean")
 
 
@@ -85,13 +87,17 @@ def _predictions(sales: DataFrame, label: str, features: list[str], fixed: dict[
     rows = attach_group_stats(sales.where(value.isNotNull()).withColumn("_pair", pair),
                               histories.withColumn("_pair", pair).drop("sku_id", "supplier_id", "_usual"), ["_pair"], "_rows")
     train = _filled(_with_means(_calendar(rows).withColumn("_label", value), overall, F.col("_label")), inputs)
+    ask = pairs.withColumnRenamed("_usual", "units_sold").withColumns({c: F.lit(v) for c, v in fixed.items()})
+    ask = _filled(_with_means(ask, overall), inputs)
+    if size["n"] > SPARK_ROWS:
+        model = forest.fit(train.select("_label", *columns), "_label", columns, trees, overall)
+        return model.transform(ask.select("sku_id", "supplier_id", *columns), columns, "_p").select("sku_id", "supplier_id", F.round("_p", 2).alias(name))
     # Even parts, whatever the sizes of the pairs: the forest deals rows to tasks as they come and keeps them with a count for every tree.
     parts = max(2 * sales.sparkSession.sparkContext.defaultParallelism, -(-size["n"] // ROWS_AT_ONCE))
     train = train.select("_label", *columns).repartition(parts)
     model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="_features"),
                              RandomForestRegressor(labelCol="_label", featuresCol="_features", predictionCol="_p", numTrees=trees, maxDepth=6, seed=42)]).fit(train)
-    ask = pairs.withColumnRenamed("_usual", "units_sold").withColumns({c: F.lit(v) for c, v in fixed.items()})
-    return model.transform(_filled(_with_means(ask, overall), inputs)).select("sku_id", "supplier_id", F.round("_p", 2).alias(name))
+    return model.transform(ask).select("sku_id", "supplier_id", F.round("_p", 2).alias(name))
 
 
 def lead_time_predictions(sales: DataFrame, month: int = 7, weekday: int = 0, trees: int = 60, kept: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from conftest_llm import frame, words
 
-from quaymart.llm import decontaminate, lines, nearcopies, passages, stores
+from quaymart.llm import decontaminate, lines, nearcopies, passages
 from quaymart.llm.components import components
 from quaymart.llm.words import mix, shingle_hashes, text_buffers, word_hashes
 
@@ -362,7 +362,7 @@ def test_ended_tables_and_shuffles_leave_the_disk(spark, monkeypatch):
     count = lambda: sum(1 for x in blocks for _ in x.glob("*/shuffle_*.data"))
     monkeypatch.setattr(passages, "stored", recorded)
     docs = spark.createDataFrame([(i, " ".join(words(91_000, 60))) for i in range(6)], "doc_id long, text string")
-    stores.release_shuffles(docs)
+    passages.release_shuffles(docs)
     time.sleep(3)
     before = count()
     rows = passages.repeated_passages(docs)
