@@ -105,3 +105,13 @@ def test_unit_costs_of_many_lines_take_the_forest_of_passes(spark, monkeypatch):
     # A forest shrinks towards the mean; every cost is still nearest to that of its brand.
     assert all(abs(v - 10 * BRANDS.index(b) - 20) < 5 for (b, _), v in found.items()), found
     assert len(folders) == 2 and not any(os.path.exists(f) for f in folders)
+
+
+def test_lead_times_of_many_lines_take_the_forest_of_passes(spark, monkeypatch):
+    monkeypatch.setattr(predictors, "SPARK_ROWS", 100)
+    monkeypatch.setattr(predictors, "RandomForestRegressor", refused)
+    found = {(r.sku_id, r.supplier_id): r.predicted_lead_time for r in predictors.lead_time_predictions(sales(spark)).collect()}
+    assert found.keys() == {(b, s) for b in BRANDS for s in SUPPLIERS}
+    # Suppliers need 3, 5, 7 and 9 days; a forest shrinks towards the mean and keeps their order.
+    days = [np.mean([found[b, s] for b in BRANDS]) for s in SUPPLIERS]
+    assert days == sorted(days) and days[-1] - days[0] > 3, days
