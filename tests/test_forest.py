@@ -115,3 +115,16 @@ def test_lead_times_of_many_lines_take_the_forest_of_passes(spark, monkeypatch):
     # Suppliers need 3, 5, 7 and 9 days; a forest shrinks towards the mean and keeps their order.
     days = [np.mean([found[b, s] for b in BRANDS]) for s in SUPPLIERS]
     assert days == sorted(days) and days[-1] - days[0] > 3, days
+
+
+def test_learned_orders_of_many_lines_leave_no_rows_of_the_forests_on_disk(spark, monkeypatch):
+    from quaymart.plans.order_execution import learned_execution
+
+    monkeypatch.setattr(predictors, "SPARK_ROWS", 100)
+    monkeypatch.setattr(predictors, "RandomForestRegressor", refused)
+    folders, plain = [], forest.scratch_folder
+    monkeypatch.setattr(forest, "scratch_folder", lambda s: folders.append(plain(s)) or folders[-1])
+    stock = spark.createDataFrame([(b, 50) for b in BRANDS], "sku_id string, stock_on_hand long")
+    rows = learned_execution(sales(spark, missing=False), stock, as_of="2026-01-05").collect()
+    assert sorted(r.sku_id for r in rows) == list(BRANDS) and all(r.lead_time_days is not None for r in rows)
+    assert len(folders) == 4 and not any(os.path.exists(f) for f in folders)
